@@ -271,7 +271,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
                 if writer is None:
                     fs, at = open_fs(path)
                     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                    out = fs.open_output_stream(at)
+                    out = fs.open_output_stream(at, compression=None)
                     writer, encode = Writer(out, frame_ids), encoder(tokenizer)
                 found, counts = encode(piece.column(1))
                 for part in np.split(found, np.cumsum(counts)[:-1]):
