@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import sharding, simhash, tokenfile
-from paperlake.llm.common import table
+from paperlake.llm import bpe, langid, sharding, simhash, tokenfile, toxicity
+from paperlake.llm.common import crc_of_id, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,5 +29,38 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_token_files": op4_token_files, "op6_sharding": op6_sharding}
+def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.Network:
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of_id("doc_id") % 3 != 1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxic_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_of_id("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    return langid.fit(table(spark, sf_dir, "documents").where(crc_of_id("doc_id") % 5 != 0))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = langid.predict(docs, language_model(spark, sf_dir))
+    return found.select("doc_id", (crc_of_id("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_token_files": op4_token_files,
+    "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
+}
 ORACLE_SQL: dict[str, str] = {}
