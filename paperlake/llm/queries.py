@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, fingerprint, langid, quality, sharding, simhash, tokenfile, toxicity
+from paperlake.llm import bpe, decontaminate, fingerprint, langid, quality, sharding, simhash, tokenfile, toxicity, warc
 from paperlake.llm.common import crc_of_id, table
 
 
@@ -19,6 +19,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages"), least_bytes=0))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
@@ -72,6 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_fingerprints": op5_fingerprints,
@@ -81,4 +87,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op2_warc": warc.ORACLE}
