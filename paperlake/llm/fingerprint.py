@@ -5,11 +5,11 @@ vector; a document's fingerprint is the sum of its paragraphs' vectors, lane by
 power of two. So it does not depend on their order, repeats count, and a paragraph is added
 to or taken from a document by adding or subtracting its vector (``combine``).
 
-Lanes 0 to 15 are the SHA-512 of the paragraph as 32-bit numbers, added modulo 2^32: equal
-multisets of paragraphs have equal lanes, others differ but for collisions. Lanes 16 to 79
-are the sum over the paragraph's ``SHINGLE``-word shingles (all words, if fewer) of +1 or -1
-by the bits of their XXH64, added modulo 2^16: their cosine estimates that of the two
-documents' shingle counts, which is the likeness.
+Lanes 0 to 15 are drawn from the SHA-512 of the paragraph as 32-bit numbers, added modulo
+2^32: equal multisets of paragraphs have equal lanes, others differ but for collisions. Lanes
+16 to 79 are the sum over the paragraph's pairs of neighbouring words (split at blanks; the
+last word stands alone) of +1 or -1 by the bits of their XXH64, added modulo 2^16: their
+cosine estimates that of the two documents' pair counts, which is the likeness.
 
 Everything is DataFrame operations. Null texts count as empty; the fingerprint of a text
 without a word is zero, its likeness is 1 to an equal one and 0 to others.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.common import stored
 
-EXACT, GRADED, SHINGLE = 16, 64, 3
+EXACT, GRADED = 16, 64
 MOST_BUCKETS, ROWS_IN_BUCKET, NULL_BUCKETS = 4096, 256, 64
 
 
@@ -31,20 +31,21 @@ def of_texts(rows: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
     rows are told apart by ``key``. Texts without a word have no row."""
     one = rows.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.coalesce(F.col(t), F.lit("")).alias("t")) for i, t in enumerate(texts)])).alias("x"))
     parts = one.select(*key, F.col("x.which").alias("which"), F.explode(F.split("x.t", "\n")).alias("p"))
-    digest = F.sha2("p", 2 * 256)
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), lambda j: F.conv(F.substring(F.col("_d"), j * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    words = F.filter(F.split(F.translate("p", "\t\r\x0b\x0c", "    "), " "), lambda w: w != "")
-    w, last = F.col("_w"), F.size("_w") - SHINGLE
-    grams = F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).otherwise(F.array(F.xxhash64(F.concat_ws(" ", w))))
-    parts = parts.withColumn("_w", words).where(F.size("_w") > 0).withColumn("_d", digest)
-    units = parts.select(*key, "which", lanes.alias("d"), F.posexplode(grams).alias("pos", "h"))
+    parts = parts.where(F.trim("p") != "")
+    # the digest is drawn out to eight numbers of 64 bits, two lanes each
+    lanes = parts.select(*key, "which", F.sha2("p", 512).alias("_d")).select(*key, "which", *[F.xxhash64(F.lit(j), "_d").alias(f"h{j}") for j in range(EXACT // 2)])
+    low = F.lit(0xFFFFFFFF).cast("long")
+    exact = lanes.groupBy(*key, "which").agg(*[F.sum(x).alias(f"e{2 * j + i}") for j in range(EXACT // 2) for i, x in enumerate((F.col(f"h{j}").bitwiseAND(low), F.shiftrightunsigned(f"h{j}", 32)))])
+    # pairs of neighbours; the last word of a paragraph stands alone
+    grams = F.zip_with("_w", F.slice("_w", F.lit(2), F.size("_w")), lambda x, y: F.xxhash64(x, y))
+    units = parts.select(*key, "which", F.array_remove(F.split("p", " "), "").alias("_w")).select(*key, "which", F.explode(grams).alias("h"))
     # two counts of 32 bits to a sum: bits i and i + 32 of all hashes
     pairs = F.lit((1 << 32) | 1).cast("long")
-    sums = [F.sum(F.when(F.col("pos") == 0, F.get("d", F.lit(j))).otherwise(F.lit(0).cast("long"))).alias(f"e{j}") for j in range(EXACT)]
-    sums += [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pairs)).alias(f"g{i}") for i in range(GRADED // 2)]
-    found = units.groupBy(*key, "which").agg(F.count("*").alias("n"), *sums)
-    ones = [F.col(f"g{i}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) for i in range(GRADED // 2)] + [F.shiftrightunsigned(f"g{i}", 32) for i in range(GRADED // 2)]
-    return found.select(*key, "which", F.array(*[F.pmod(F.col(f"e{j}"), F.lit(1 << 32)) for j in range(EXACT)], *[F.pmod(2 * c - F.col("n"), F.lit(1 << 16)) for c in ones]).alias("lanes"))
+    graded = units.groupBy(*key, "which").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pairs)).alias(f"g{i}") for i in range(GRADED // 2)])
+    ones = [F.col(f"g{i}").bitwiseAND(low) for i in range(GRADED // 2)] + [F.shiftrightunsigned(f"g{i}", 32) for i in range(GRADED // 2)]
+    exact = exact.select(*key, "which", F.array(*[F.pmod(F.col(f"e{j}"), F.lit(1 << 32)) for j in range(EXACT)]).alias("_e"))
+    graded = graded.select(*key, "which", F.array(*[F.pmod(2 * c - F.col("n"), F.lit(1 << 16)) for c in ones]).alias("_g"))
+    return exact.join(graded, [*key, "which"]).select(*key, "which", F.concat("_e", "_g").alias("lanes"))
 
 
 def zero() -> Column:
