@@ -110,7 +110,7 @@ def mentions(text: Column, term: Column) -> Column:
     """Whether ``term`` stands in ``text`` in any case: by itself for ASCII terms, anywhere for
     terms with CJK characters."""
     low, name = F.lower(blank(text)), F.lower(term)
-    bounded = low.rlike(F.concat(F.lit(r"(?<![a-z0-9])\Q"), name, F.lit(r"\E(?![a-z0-9])")))
+    bounded = F.rlike(low, F.concat(F.lit(r"(?<![a-z0-9])\Q"), name, F.lit(r"\E(?![a-z0-9])")))
     return F.when(name.rlike(f"[{CJK}]"), F.contains(low, name)).otherwise(bounded)
 
 

@@ -64,21 +64,23 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_
     return top(scored, [query], [F.desc("score_micro"), F.asc(doc)], k).select(query, "rank", doc, "score_micro")
 
 
-def pair_score(claim: Column, source: Column) -> Column:
-    """Claim against one source: .65 of their cosine and .35 of the share of the claim's words
-    that the source has. With a single document idf is 1 for its words and ln 2 + 1 for
-    others, so a closed form over two arrays serves."""
-    c, s = tokens(claim), tokens(source)
-    other = F.ln(F.lit(2.0)) + 1
-    tf = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    in_s = lambda t: F.array_contains(s, t)
-    qw = lambda t: (1 + F.ln(tf(c, t).cast("double"))) * F.when(in_s(t), 1.0).otherwise(other)
-    dw = lambda t: 1 + F.ln(tf(s, t).cast("double"))
-    add = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0.0), lambda x, v: x + v)
-    cs, ss = F.array_distinct(c), F.array_distinct(s)
-    both = F.array_intersect(cs, ss)
-    cosine = F.try_divide(add(both, lambda t: qw(t) * dw(t)), F.sqrt(add(cs, lambda t: qw(t) * qw(t))) * F.sqrt(add(ss, lambda t: dw(t) * dw(t))))
-    return F.when(F.size(cs) == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.65 * F.coalesce(cosine, F.lit(0.0)) + 0.35 * F.size(both) / F.size(cs)))
+def _pair_terms(pairs: DataFrame, claim: str, source: str) -> DataFrame:
+    """(pair_id, term, ctf, stf): counts in claim and source, null where a side lacks a term."""
+    c = pairs.select("pair_id", F.explode(tokens(F.col(claim))).alias("term")).groupBy("pair_id", "term").agg(F.count("*").alias("ctf"))
+    s = pairs.select("pair_id", F.explode(tokens(F.col(source))).alias("term")).groupBy("pair_id", "term").agg(F.count("*").alias("stf"))
+    return c.join(s, ["pair_id", "term"], "full")
+
+
+def pair_scores(pairs: DataFrame, claim: str = "claim", source: str = "source") -> DataFrame:
+    """Adds ``score`` to pairs (pair_id, claim, source): .65 of their cosine and .35 of the share
+    of the claim's words that the source has. The source is the only document, so idf is 1
+    for its words and ln 2 + 1 for others. A claim without words scores 0."""
+    both = F.col("ctf").isNotNull() & F.col("stf").isNotNull()
+    cw = F.when(F.col("ctf").isNotNull(), (1 + F.ln("ctf")) * F.when(F.col("stf").isNotNull(), F.lit(1.0)).otherwise(F.ln(F.lit(2.0)) + 1)).otherwise(0.0)
+    sw = F.when(F.col("stf").isNotNull(), 1 + F.ln("stf")).otherwise(0.0)
+    sums = _pair_terms(pairs, claim, source).groupBy("pair_id").agg(F.sum(cw * sw).alias("dot"), F.sqrt(F.sum(cw * cw)).alias("cn"), F.sqrt(F.sum(sw * sw)).alias("sn"), F.count_if(both).alias("found"), F.count("ctf").alias("words"))
+    value = 0.65 * F.coalesce(F.try_divide("dot", F.col("cn") * F.col("sn")), F.lit(0.0)) + 0.35 * F.coalesce(F.try_divide("found", "words"), F.lit(0.0))
+    return pairs.join(sums.select("pair_id", F.least(F.lit(1.0), value).alias("score")), "pair_id", "left").fillna(0.0, ["score"])
 
 
 def blend_scores(pairs: DataFrame, idf: DataFrame, claim: str = "claim", source: str = "source") -> DataFrame:
@@ -86,9 +88,7 @@ def blend_scores(pairs: DataFrame, idf: DataFrame, claim: str = "claim", source:
     the claim's words found; times .7 under six different words; 1 at most. Unseen words
     weigh ln 2 + 1 in the cosine and 1 in the share. Pairs are told apart by ``pair_id``."""
     other = F.ln(F.lit(2.0)) + 1
-    c = pairs.select("pair_id", F.explode(tokens(F.col(claim))).alias("term")).groupBy("pair_id", "term").agg(F.count("*").alias("ctf"))
-    s = pairs.select("pair_id", F.explode(tokens(F.col(source))).alias("term")).groupBy("pair_id", "term").agg(F.count("*").alias("stf"))
-    t = c.join(s, ["pair_id", "term"], "full").join(idf.select("term", "idf"), "term", "left")
+    t = _pair_terms(pairs, claim, source).join(idf.select("term", "idf"), "term", "left")
     cw = F.when(F.col("ctf").isNotNull(), (1 + F.ln("ctf")) * F.coalesce("idf", other)).otherwise(0.0)
     sw = F.when(F.col("stf").isNotNull(), (1 + F.ln("stf")) * F.coalesce("idf", other)).otherwise(0.0)
     share = F.coalesce("idf", F.lit(1.0))
