@@ -57,11 +57,29 @@ def restore(c: Column) -> Column:
     return F.translate(c, POINT + ABBREVIATED, "..")
 
 
+def _pieces(c: Column) -> Column:
+    return F.regexp_extract_all(protect(blank(c)), F.lit(r"(?s)(?:.*?(?:[。！？!?]|\.(?=(?U)\s|\z)))|.+\z"), F.lit(0))
+
+
+def _sentence(piece: Column) -> Column:
+    return F.regexp_replace(restore(piece), r"^(?U)\s+|(?U)\s+$", "")
+
+
+def sentences(c: Column) -> Column:
+    """ARRAY<STRING> of the sentences, trimmed, empty ones left out."""
+    return F.filter(F.transform(_pieces(c), _sentence), lambda s: s != "")
+
+
 def sentence_spans(c: Column) -> Column:
-    """ARRAY<STRUCT<sentence, start, end>>: offsets (from 0) are exact in ``c``."""
-    pieces = F.regexp_extract_all(protect(blank(c)), F.lit(r"(?s)(?:.*?(?:[。！？!?]|\.(?=(?U)\s|$)))|.+$"), F.lit(0))
-    start = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p))
-    spans = F.transform(pieces, lambda p, i: F.struct(F.regexp_replace(restore(p), r"^(?U)\s+|(?U)\s+$", "").alias("sentence"), start(i).alias("start"), (start(i) + F.length(p)).alias("end")))
+    """ARRAY<STRUCT<sentence, start, end>>: offsets (from 0) are exact in ``c``. One fold over
+    the pieces, so they are found once."""
+    none = F.array().cast("array<struct<sentence:string,start:int,end:int>>")
+
+    def step(held: Column, piece: Column) -> Column:
+        upto = held["n"] + F.length(piece)
+        return F.struct(upto.alias("n"), F.array_append(held["spans"], F.struct(_sentence(piece).alias("sentence"), held["n"].alias("start"), upto.alias("end"))).alias("spans"))
+
+    spans = F.aggregate(_pieces(c), F.struct(F.lit(0).alias("n"), none.alias("spans")), step, lambda held: held["spans"])
     return F.filter(spans, lambda s: s["sentence"] != "")
 
 

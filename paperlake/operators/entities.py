@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import blank, dedup_key, mentions, sentence_spans
+from paperlake.functions.text import blank, dedup_key, mentions, sentences
 from paperlake.operators.common import small, top
 
 # fixed values: what a graph may hold, names that say nothing, and aliases
@@ -88,7 +88,7 @@ def rule_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def rule_relations(docs: DataFrame, key: str, text: str = "text", most: int = 12) -> DataFrame:
     """(key, src, rel, dst, ev): pairs of trigger names in one sentence that hints at a
     relation, in order of sentences and names, ``most`` a text."""
-    sentences = docs.select(key, F.posexplode(F.transform(sentence_spans(F.col(text)), lambda s: s["sentence"])).alias("no", "s"))
+    sentences = docs.select(key, F.posexplode(sentences(F.col(text))).alias("no", "s"))
     rel = F.coalesce(*[F.when(F.col("s").rlike(f"(?iu){p}"), F.lit(r)) for r, p in HINTS])
     sentences = sentences.withColumn("rel", rel).where("rel is not null").withColumn("id", F.xxhash64(key, "no"))
     found = rule_entities(sentences.select(F.struct(key, "no", "s", "rel").alias("k"), F.col("s").alias("t")), "k", "t")

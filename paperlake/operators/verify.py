@@ -18,7 +18,7 @@ def citations(drafts: DataFrame) -> DataFrame:
     loc = location(F.col("x.l"))
     # the k-th occurrence of an equal citation starts where k - 1 equal ones end
     same = F.size(F.filter(F.slice(hit(0), F.lit(1), F.col("no") + 1), lambda c: c == F.col("x.c")))
-    before = F.substring_index(F.col("text"), F.col("x.c"), same)
+    before = F.call_function("substring_index", F.col("text"), F.col("x.c"), same)
     rows = rows.withColumn("l", loc)
     return rows.select("draft_id", "no", F.col("x.c").alias("citation"), F.trim("x.r").alias("ref"), F.col("l.sec").alias("sec"), F.get("l.items", F.lit(0)).alias("item"), F.col("l.many").alias("many"), F.length(before).alias("start"))
 
@@ -93,14 +93,17 @@ def draft_status(drafts: DataFrame, reports: DataFrame) -> DataFrame:
     return rows.select("draft_id", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
 
 
-def lexical_support(claim: Column, context: Column, most: int = 8, least: float = 0.34) -> Column:
-    """Whether a third of the claim's top keywords stand in the context; none: false. Keywords
-    rank by frequency, then alphabetically."""
+def support_words(claim: Column, most: int = 8) -> Column:
+    """The claim's top keywords: by frequency, then alphabetically."""
     words = keyword_tokens(claim)
     counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("w")))
-    chosen = F.slice(F.transform(F.array_sort(counted), lambda s: s["w"]), 1, most)
+    return F.slice(F.transform(F.array_sort(counted), lambda s: s["w"]), 1, most)
+
+
+def lexical_support(words: Column, context: Column, least: float = 0.34) -> Column:
+    """Whether a third of a claim's ``support_words`` stand in the context; none: false."""
     low = F.lower(blank(context))
-    return (F.size(chosen) > 0) & (F.size(F.filter(chosen, lambda w: F.contains(low, F.lower(w)))) >= least * F.size(chosen))
+    return (F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.contains(low, F.lower(w)))) >= least * F.size(words))
 
 
 def quotes_hold(quotes: DataFrame, evidence: DataFrame, shortest: int = 12) -> DataFrame:
