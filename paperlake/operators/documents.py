@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import blank, keyword_tokens, normal_item, sentences
+from paperlake.functions import text as X
+from paperlake.functions.text import blank, keyword_tokens, normal_item
 from paperlake.operators.common import top
 
 # fixed values: headings by section name with their default numbers, and what ends a paper
@@ -123,7 +124,7 @@ def chunks(parts: DataFrame, key: str = "paper_id", sec: str = "sec", text: str
 def extractive(docs: DataFrame, key: str, text: str = "text", most: int = 500, sentences: int = 6, words: int = 8) -> DataFrame:
     """(key, summary): of the ``sentences`` with most keyword hits, in their order, those that
     fit into ``most`` characters before the first that does not."""
-    rows = docs.select(key, F.slice(F.array_distinct(F.transform(keyword_tokens(F.col(text)), F.lower)), 1, words).alias("kw"), F.posexplode(sentences(F.col(text))).alias("pos", "s"))
+    rows = docs.select(key, F.slice(F.array_distinct(F.transform(keyword_tokens(F.col(text)), F.lower)), 1, words).alias("kw"), F.posexplode(X.sentences(F.col(text))).alias("pos", "s"))
     rows = rows.withColumn("hits", F.size(F.filter("kw", lambda k: F.contains(F.lower("s"), k)))).drop("kw")
     best = top(rows, [key], [F.desc("hits"), F.asc("pos")], sentences)
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
