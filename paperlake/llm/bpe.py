@@ -27,7 +27,7 @@ NONE = np.int32(2**31 - 1)
 LONG = 256
 WIDTHS = np.array([3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128, LONG])
 ROWS = 1 << 15
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 # fixed values: the split pattern whose pieces never cross a single blank from the left, and white space
 BLANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -24,7 +24,7 @@ from paperlake.llm.common import slices
 
 ORDERS, BINS = (1, 2, 3), 1 << 14
 SHARPNESS = 40.0
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MOST_LANGUAGES = 1024
 LETTER = re.compile(r"[^\W\d_]")
 _letters: list[np.ndarray] = []
@@ -116,9 +116,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str |
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(ORDERS), BINS, len(names)))
-    got = counted.toPandas()
+    got = counted.toArrow()
     at = {n: i for i, n in enumerate(names)}
-    counts.reshape(-1, len(names))[got["bin"].to_numpy(np.int64), got["lang"].map(at).to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    column = np.array([at[n] for n in got["lang"].to_pylist()], np.int64)
+    counts.reshape(-1, len(names))[got["bin"].to_numpy(), column] = got["n"].to_numpy()
     counts += smoothing
     logs = np.log(counts / counts.sum(axis=1, keepdims=True)).reshape(-1, len(names))
     return Model(names, np.vstack([logs, np.zeros((1, len(names)))]).astype(np.float32))

@@ -36,7 +36,7 @@ from paperlake.llm.common import new_path, slices, stored
 
 SEEK_MAGIC, SEEK_FOOT, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
 FRAME_IDS = 1 << 16
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 CACHED_PIECES, CACHED_LENGTH = 300_000, 48
 
 

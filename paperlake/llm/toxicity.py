@@ -16,6 +16,9 @@ of both labels the model says 0 for all.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from dataclasses import dataclass, field
 
@@ -31,7 +34,7 @@ from paperlake.llm.tokenfile import spans
 
 WINDOW, STRIDE = 24, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 8
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 CHUNK = 2048
 
 
@@ -227,13 +230,21 @@ class Network:
         return sigmoid(self.scale * self.highest(texts).astype(np.float64) + self.shift)
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int = 5, steps: int = 80, batch: int = 128, rate: float = 0.01, cut: float = 0.7) -> Network:
+def release() -> None:
+    """Gives what training held back to the system, as drivers live long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, seed: int = 7, rounds: int = 5, steps: int = 80, batch: int = 128, rate: float = 0.01, cut: float = 0.7) -> Network:
     """Fits a network to texts (in memory) and their labels."""
-    y = np.array(labels, np.int64)
+    y = np.asarray(labels, np.int64)
     if len(set(y.tolist())) < 2:
         return Network()
     rng, net = np.random.default_rng(seed), Network.new(seed)
-    words, index, counts = tokens(pa.array(texts, pa.large_string()))
+    words, index, counts = tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     ids, tri, own = grams(words)
     ids, own = np.append(ids, 0), np.append(own, 0)  # the last one pads
     words_in = (ids, tri, own, np.cumsum(own) - own)
@@ -292,10 +303,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, accept, most: tuple[i
     return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, accept, label: str = "toxic", most: tuple[int, int] = (2500, 1200)) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, accept, label: str = "toxic", most: tuple[int, int] = (1500, 1200)) -> Network:
     """Trains on the driver on a bounded sample: ``most`` rows of labels 0 and 1."""
-    rows = sorted(sample(docs, labels, label, accept, most).collect(), key=lambda r: (r["doc_id"], r["text"] or "", r["label"]))
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    rows = sample(docs, labels, label, accept, most).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+    net = train(rows["text"].combine_chunks(), rows["label"].to_numpy())
+    del rows
+    release()
+    return net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
