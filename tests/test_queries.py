@@ -12,7 +12,7 @@ import paperlake.plans as plans
 
 def shape(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return ""
         if hasattr(v, "__len__") and not isinstance(v, str):
             return str([str(x) for x in v])
