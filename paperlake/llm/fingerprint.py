@@ -48,6 +48,17 @@ def of_texts(rows: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
     return exact.join(graded, [*key, "which"]).select(*key, "which", F.concat("_e", "_g").alias("lanes"))
 
 
+def packed(lanes: Column) -> list[Column]:
+    """``lanes`` as columns e (32-bit numbers) and g (16-bit numbers), a third of their size."""
+    wrapped = lambda part, bits, kind: F.transform(part, lambda x: F.when(x >= 1 << (bits - 1), x - (1 << bits)).otherwise(x).cast(kind))
+    return [wrapped(F.slice(lanes, 1, EXACT), 32, "int").alias("e"), wrapped(F.slice(lanes, EXACT + 1, GRADED), 16, "smallint").alias("g")]
+
+
+def unpacked(e: Column, g: Column) -> Column:
+    whole = lambda part, bits: F.transform(part, lambda x: F.pmod(x.cast("long"), F.lit(1 << bits)))
+    return F.concat(whole(e, 32), whole(g, 16))
+
+
 def zero() -> Column:
     return F.array_repeat(F.lit(0).cast("long"), EXACT + GRADED)
 
@@ -125,11 +136,10 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third)))
-    prints = stored(of_texts(rows, ["bucket", "rn"], ["text", "edited"]), "prints")
-    facts = stored(rows.select("bucket", "rn", "next_bucket", "next_rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")), "facts")
-    own = prints.where("which = 0").select("bucket", "rn", F.col("lanes").alias("a"))
-    edited = prints.where("which = 1").select("bucket", "rn", F.col("lanes").alias("b"))
-    after = prints.where("which = 0").select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("lanes").alias("c"))
-    out = facts.join(own, ["bucket", "rn"], "left").join(edited, ["bucket", "rn"], "left").join(after, ["next_bucket", "next_rn"], "left")
-    out = out.select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(x, zero()).alias(x) for x in "abc"])
+    key = ["bucket", "rn"]
+    prints = stored(of_texts(rows, key, ["text", "edited"]).select(*key, "which", *packed(F.col("lanes"))), "prints")
+    facts = stored(rows.select(*key, "next_bucket", "next_rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")), "facts")
+    side = lambda which, name, keys: prints.where(F.col("which") == which).select(*[F.col(k).alias(k2) for k, k2 in zip(key, keys)], F.struct("e", "g").alias(name))
+    out = facts.join(side(0, "a", key), key, "left").join(side(1, "b", key), key, "left").join(side(0, "c", ["next_bucket", "next_rn"]), ["next_bucket", "next_rn"], "left")
+    out = out.select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(unpacked(F.col(f"{x}.e"), F.col(f"{x}.g")), zero()).alias(x) for x in "abc"])
     return out.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("a")).alias("fingerprint"), text_of(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
