@@ -87,9 +87,11 @@ def should_link(a, b, least: float = 0.28):
 
 def link_candidates(notes: DataFrame, most: int = 12, terms: int = 6) -> DataFrame:
     """(id, other): earlier notes that share one of a note's first keywords, ``most`` for each
-    note by id. Blocking is an equi-join on the keyword."""
+    note by id. Blocking is an equi-join on the keyword; as the smallest ids count,
+    ``most`` notes of a keyword are all it can give to any note, however many hold it."""
     first = notes.select("id", F.explode(F.slice("keywords", 1, terms)).alias("w")).withColumn("w", F.lower("w")).distinct()
     every = notes.select(F.col("id").alias("other"), F.explode("keywords").alias("w")).withColumn("w", F.lower("w")).distinct()
+    every = top(every, ["w"], [F.asc("other")], most).drop("rank")
     pairs = first.join(every, "w").where("other < id").select("id", "other").distinct()
     return top(pairs, ["id"], [F.asc("other")], most).drop("rank")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
 from paperlake.operators import budget, documents, entities, evaluate, graph, memory, ranking, verify
-from paperlake.operators.common import micro, small
+from paperlake.operators.common import micro, small, top
 from paperlake.plans.tables import query, rows, table, values
 
 # fixtures shared by Spark and SQL
@@ -94,19 +94,32 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(e.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst")))
 
 
-@query("""WITH k AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-]{2,}|\\d+(?:\\.\\d+)?'), lambda t: lower(t))) AS w FROM documents WHERE lang = 'de'),
-t AS (SELECT doc_id, unnest(w) AS x FROM k), d AS (SELECT x, count(*) AS n FROM t GROUP BY 1),
-r AS (SELECT a.doc_id AS id, b.doc_id AS other, count(*) AS n FROM t a JOIN t b USING (x) JOIN d USING (x) WHERE a.doc_id > b.doc_id AND d.n <= 20 AND length(x) >= 5 GROUP BY 1, 2)
-SELECT id, other, n FROM r WHERE n >= 5""")
+def note_links(docs: DataFrame) -> DataFrame:
+    """(id, other, n, kind) of ``docs`` (doc_id, text): each copy of a text hangs on the text's
+    smallest id ("copy"), and these link as notes do ("link"); n keywords are common."""
+    docs = docs.select("doc_id", X.blank(F.col("text")).alias("text"))
+    of = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    first = of.groupBy("h").agg(F.min("doc_id").alias("id"))
+    copies = of.join(first, "h").where("doc_id <> id").select(F.col("doc_id").alias("copy"), "id")
+    own = docs.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    words = own.select(F.col("doc_id").alias("id"), F.explode(X.keyword_tokens(F.col("text"))).alias("w"))
+    ranked = top(words.groupBy("id", "w").agg(F.count("*").alias("n")), ["id"], [F.desc("n"), F.asc("w")], 12)
+    notes = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "w"))), lambda x: x["w"]).alias("keywords")).checkpoint()
+    k = notes.select("id", F.array_distinct(F.transform("keywords", F.lower)).alias("k"))
+    pairs = graph.link_candidates(notes).join(k, "id").join(k.select(F.col("id").alias("other"), F.col("k").alias("l")), "other")
+    links = top(pairs.where(graph.should_link(F.col("k"), F.col("l"))), ["id"], [F.asc("other")], 6).select("id", "other", F.size(F.array_intersect("k", "l")).alias("n"), F.lit("link").alias("kind"))
+    members = copies.join(k, "id", "left").select(F.col("copy").alias("id"), F.col("id").alias("other"), F.when(F.col("k").isNull(), 0).otherwise(F.size("k")).alias("n"), F.lit("copy").alias("kind"))
+    return links.unionByName(members)
+
+
+@query()
 def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links by rare long words: blocking on words of at most 20 documents."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'")
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z\-]{2,}|\d+(?:\.\d+)?"), F.lit(0)), F.lower))
-    t = docs.select("doc_id", F.explode(words).alias("x")).where("length(x) >= 5")
-    rare = t.groupBy("x").agg(F.count("*").alias("n")).where("n between 2 and 20").select("x")
-    kept = t.join(rare, "x", "left_semi")
-    pairs = kept.alias("a").join(kept.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.doc_id") > F.col("b.doc_id")))
-    return pairs.groupBy(F.col("a.doc_id").alias("id"), F.col("b.doc_id").alias("other")).agg(F.count("*").alias("n")).where("n >= 5")
+    """Links of all documents by the rule of notes; 12 candidates and 6 links from a note
+    are the reference's, and no links to a note are dropped. SQL would repeat five operators; brute force tests it."""
+    from paperlake.plans.tables import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    return note_links(table(spark, sf_dir, "documents"))
 
 
 # entities
