@@ -1,0 +1,150 @@
+"""Near copies by the exact Jaccard index of five-word shingles, candidates from MinHash bands.
+
+Words and shingles are those of ``simhash``. A text's node is the XXH64 of its lower-cased
+words joined by blanks, so equal texts meet before any join. Each node gets ``BANDS`` keys
+of ``ROWS`` MinHash values; two nodes with index j share a key with probability
+1 - (1 - j ** ROWS) ** BANDS, 0.997 at 0.8. Nodes that share a key are candidates; in a key of
+more than ``hot`` nodes each one meets ``hubs`` of them only, other ones in each band.
+A candidate links if its exact index is ``least`` or more; only links make components.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from paperlake.llm.common import components, saved, slices, stored
+
+BANDS, ROWS = 16, 5
+BLOCK = 1 << 12
+#: Up to so many nodes with a candidate are broadcast after they were counted.
+FEW = 200_000
+_random = np.random.default_rng(42)
+_A = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: bytes | None, shingle: int = 5) -> tuple[int, np.ndarray]:
+    """The node and the distinct shingles' hashes; 0 and none for a text without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return 0, np.empty(0, np.uint64)
+    line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    node = digest(line, 42)
+    if len(words) <= shingle:
+        return node, np.array([node], np.uint64)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+    hashes = (digest(line[a:b], 42) for a, b in zip(at[:-shingle].tolist(), (at[shingle:] - 1).tolist()))
+    return node, np.unique(np.fromiter(hashes, np.uint64, len(words) - shingle + 1))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), BLOCK):
+        low = np.minimum(low, (hashes[i : i + BLOCK, None] * _A + _B).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def _signed(values) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def _mapped(docs: DataFrame, text: str, schema: str, run) -> DataFrame:
+    """``docs`` with the columns ``schema`` that ``run`` makes of a list of texts."""
+    at = docs.columns.index(text)
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [schema])
+
+    def batches(parts):
+        for whole in parts:
+            for batch in slices(whole, at):
+                arrays = run(batch.column(at).cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(batches, out)
+
+
+def with_node(docs: DataFrame, text: str = "text", name: str = "_node") -> DataFrame:
+    def run(texts):
+        lines = (b" ".join((t or b"").lower().split()) for t in texts)
+        return [pa.array(_signed([xxhash.xxh64_intdigest(x, 42) if x else 0 for x in lines]))]
+
+    return _mapped(docs, text, f"{name} long", run)
+
+
+def with_keys(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """Adds node, n (distinct shingles) and keys."""
+
+    def run(texts):
+        nodes, sizes, keys = [], [], []
+        for t in texts:
+            node, hashes = shingles(t, shingle)
+            nodes.append(node)
+            sizes.append(len(hashes))
+            keys.append(_signed(band_keys(hashes)))
+        return [pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+
+    return _mapped(docs, text, "node long, n long, keys array<long>", run)
+
+
+def with_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    return _mapped(docs, text, "shingles array<long>", lambda texts: [pa.array([shingles(t, shingle)[1].view(np.int64) for t in texts], pa.list_(pa.int64()))])
+
+
+def candidates(nodes: DataFrame, least: float = 0.8, hot: int = 32, hubs: int = 4) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, n, keys) that share a key and whose sizes allow an
+    index of ``least``."""
+    index = nodes.select("node", "n", F.explode("keys").alias("key"))
+    many = saved(index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    crowded = many.where(F.col("c") > hot).select("key")
+    rest, dense = index.join(many.where(F.col("c") <= hot).select("key"), "key", "left_semi"), index.join(crowded, "key", "left_semi")
+    close = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    few = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # the hubs are the smallest by a hash, each as a grouped minimum over its residue
+    part = F.pmod(F.xxhash64("node", "key"), F.lit(hubs))
+    hub = dense.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")).alias("h")).select("key", "h.node", "h.n")
+    stars = dense.alias("x").join(hub.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & close)
+    return few.union(stars.select(F.least("x.node", "y.node"), F.greatest("x.node", "y.node"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets (node, shingles) have a Jaccard index of ``least``."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    common = F.size(F.array_intersect("s", "t"))
+    return pairs.join(a, "a").join(b, "b").where(common >= least * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 32, hubs: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id. If rows repeat
+    that id one of them stays; of components without any id one row stays. Texts without
+    words are copies of each other."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = stored(with_keys(rows, shingle=shingle).drop("text"), "bands")
+    firsts = saved(found.groupBy("node").agg(F.min("doc_id").alias("first")))
+    # rows of one node have the same keys
+    nodes = found.dropDuplicates(["node"]).select("node", "n", "keys")
+    pairs = saved(candidates(nodes, least, hot, hubs))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node")
+    wanted = saved(wanted.select(F.col("node").alias("_node"), "first"))
+    if wanted.limit(FEW + 1).count() <= FEW:
+        wanted = F.broadcast(wanted)
+    own = with_node(rows)
+    own = own.join(wanted, (own["_node"] == wanted["_node"]) & own["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
+    sets = stored(with_sets(own, shingle=shingle).select(F.col("_node").alias("node"), "shingles"), "shingles").dropDuplicates(["node"])
+    roots = components(verified(pairs, sets, least))
+    of = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    best = of.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("m"))
+    stays = best.select(F.col("m.node").alias("_node"), _key("m.first"))
+    rows = with_node(docs.withColumn("_key", _key(doc_id)), text)
+    return rows.join(stays, ["_key", "_node"]).dropDuplicates(["_key", "_node"]).select(*docs.columns)
+
+
+def _key(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
