@@ -41,3 +41,31 @@ def test_links_of_many_copies_and_frequent_words(spark):
     got = {tuple(r) for r in knowledge.note_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == _note_links(docs)
     assert sum(r[3] == "copy" for r in got) == 61
+
+
+def _duck(sf_dir, sql):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "lineitem", "orders", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return {tuple(r) for r in con.execute(sql).fetchall()}
+
+
+def test_claims_meet_all_documents(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import verify
+
+    got = {(r["item_id"], r["doc_id"]): r["supported"] for r in plans.QUERIES["claim_lexical_support"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", verify.support_words(F.col("text")).alias("w")).collect()
+    for d in docs:
+        low = (d["text"] or "").lower()
+        for i in items:
+            n = sum(w.lower() in low for w in i["w"])
+            assert got.pop((i["item_id"], d["doc_id"])) == (len(i["w"]) > 0 and n >= 0.34 * len(i["w"]))
+    assert not got
+
+
+def test_claims_equal_sql_on_its_part(spark, sf_dir):
+    rows = plans.QUERIES["claim_lexical_support"](spark, sf_dir).where("doc_id % 50 = 0").select("item_id", "doc_id", "supported").collect()
+    assert {tuple(r) for r in rows} == _duck(sf_dir, knowledge.SUPPORT_SQL)
