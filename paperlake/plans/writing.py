@@ -13,11 +13,15 @@ NAMES = {"the": "THE", "tion": "Tion", "de la": "DE-LA"}
 STATES = [("p1", "draft", "CLEAN"), ("p1", "review", "CLEAN"), ("p2", "draft", "CLEAN"), ("p3", "draft", "DIRTY"), ("p3", "review", "CLEAN"), ("p4", "draft", "NEEDS_REVIEW"), ("p4", "review", "CLEAN")]
 
 
-@query("""SELECT doc_id, CAST(CASE WHEN n = 0 THEN 1000000 ELSE floor(round(g / n::DOUBLE, 4) * 1e6 + 0.5) END AS BIGINT) AS ratio_micro FROM (SELECT doc_id, len(f) AS n, len(list_filter(f, lambda x: x = 'THE')) AS g
-FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9À-ÿ]', ' ', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x) = 'the') AS f FROM (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))))""")
+#: The documents of ASCII characters alone, a part of the query's rows.
+ASCII_CONSISTENCY_SQL = """SELECT doc_id, CAST(CASE WHEN n = 0 THEN 1000000 ELSE floor(round(g / n::DOUBLE, 4) * 1e6 + 0.5) END AS BIGINT) AS ratio_micro FROM (SELECT doc_id, len(f) AS n, len(list_filter(f, lambda x: x = 'THE')) AS g
+FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9À-ÿ]', ' ', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x) = 'the') AS f FROM (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))))"""
+
+
+@query()
 def term_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", F.floor(terms.consistency(F.col("text"), {"the": "THE"}) * 1e6 + 0.5).cast("long").alias("ratio_micro"))
+    """Boundary rules by lookaround, as for ``unify_terms``; null texts have no term."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.floor(terms.consistency(F.col("text"), {"the": "THE"}) * 1e6 + 0.5).cast("long").alias("ratio_micro"))
 
 
 @query()

@@ -69,3 +69,18 @@ def test_claims_meet_all_documents(spark, sf_dir):
 def test_claims_equal_sql_on_its_part(spark, sf_dir):
     rows = plans.QUERIES["claim_lexical_support"](spark, sf_dir).where("doc_id % 50 = 0").select("item_id", "doc_id", "supported").collect()
     assert {tuple(r) for r in rows} == _duck(sf_dir, knowledge.SUPPORT_SQL)
+
+
+def test_terms_of_all_documents(spark, sf_dir):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["ratio_micro"] for r in plans.QUERIES["term_consistency"](spark, sf_dir).collect()}
+
+    def ratio(text):
+        found = re.findall(r"(?i)(?<![A-Za-z0-9])the(?![A-Za-z0-9])", text or "")
+        share = Decimal(repr(found.count("THE") / len(found))) if found else Decimal(1)
+        return int(share.quantize(Decimal("0.0001"), ROUND_HALF_UP) * 10**6)
+
+    assert got == {i: ratio(t) for i, t in docs.items()}
+    assert _duck(sf_dir, plans.writing.ASCII_CONSISTENCY_SQL) == {(i, got[i]) for i, t in docs.items() if t.isascii()}
