@@ -305,9 +305,14 @@ def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASCII = "regexp_replace(left(text, 200), '[^ -~]', '', 'g')"
 
 
-@query(f"SELECT a.item_id, CAST(floor(greatest(0.0, 1 - levenshtein(a.t, b.t) / length(a.t)::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS score_micro FROM (SELECT item_id, {ASCII} AS t FROM benchmark) a JOIN (SELECT item_id - 1 AS item_id, {ASCII} AS t FROM benchmark) b USING (item_id)")
+#: Scores of the first 200 characters, which are the query's where no text is longer.
+PREFIX_SCORE_SQL = f"SELECT a.item_id, CAST(floor(greatest(0.0, 1 - levenshtein(a.t, b.t) / length(a.t)::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS score_micro FROM (SELECT item_id, {ASCII} AS t FROM benchmark) a JOIN (SELECT item_id - 1 AS item_id, {ASCII} AS t FROM benchmark) b USING (item_id)"
+
+
+@query()
 def levenshtein_text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.left("text", F.lit(200)), "[^ -~]", "").alias("t"))
+    """Whole texts, without characters beyond ASCII."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
     return t.join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u")), "item_id").select("item_id", micro(X.text_score(F.col("t"), F.col("u"))).alias("score_micro"))
 
 

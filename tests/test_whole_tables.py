@@ -84,3 +84,22 @@ def test_terms_of_all_documents(spark, sf_dir):
 
     assert got == {i: ratio(t) for i, t in docs.items()}
     assert _duck(sf_dir, plans.writing.ASCII_CONSISTENCY_SQL) == {(i, got[i]) for i, t in docs.items() if t.isascii()}
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_text_scores_of_whole_texts(spark, sf_dir):
+    t = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {r["item_id"]: r["score_micro"] for r in plans.QUERIES["levenshtein_text_score"](spark, sf_dir).collect()}
+    clean = {i: re.sub("[^ -~]", "", x) for i, x in t.items()}
+    assert max(map(len, clean.values())) > 200
+    assert got == {i: int(max(0.0, 1 - _distance(clean[i], clean[i + 1]) / len(clean[i])) * 1e6 + 0.5) for i in clean if i + 1 in clean}
+    short = {i for i in got if max(len(t[i]), len(t[i + 1])) <= 200}
+    assert short and {(i, got[i]) for i in short} == {r for r in _duck(sf_dir, knowledge.PREFIX_SCORE_SQL) if r[0] in short}
