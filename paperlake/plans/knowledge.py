@@ -65,33 +65,46 @@ SHARED = """pc AS (SELECT DISTINCT s_nationkey AS paper_id, l_partkey AS c FROM
 w AS (SELECT x.paper_id AS a, y.paper_id AS b, count(*) AS weight FROM pc x JOIN pc y ON x.c = y.c AND x.paper_id < y.paper_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
-def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as papers, parts delivered in full loads as their concepts."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey")
-    return li.join(small(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("paper_id"), F.col("l_partkey").cast("string").alias("concept"))
+def concepts_of(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Nations as papers, parts delivered as their concepts."""
+    li = lineitem.select("l_partkey", "l_suppkey")
+    return li.join(small(supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("paper_id"), F.col("l_partkey").cast("string").alias("concept"))
 
 
-@query(f"WITH {SHARED} SELECT * FROM w")
+#: Both over full loads only; they test the operators on those rows.
+SHARED_SQL = f"WITH {SHARED} SELECT * FROM w"
+CONCEPT_PAPERS_SQL = "WITH pc AS (SELECT DISTINCT s_nationkey AS paper_id, CAST(l_partkey AS VARCHAR) AS concept FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49), n AS (SELECT concept, count(*) AS papers FROM pc GROUP BY 1 HAVING count(*) >= 2) SELECT * FROM n ORDER BY papers DESC, concept LIMIT 50"
+
+
+@query()
 def paper_shared_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shared_concepts(_concepts(spark, sf_dir))
+    return graph.shared_concepts(concepts_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")))
 
 
-@query("WITH pc AS (SELECT DISTINCT s_nationkey AS paper_id, CAST(l_partkey AS VARCHAR) AS concept FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49), n AS (SELECT concept, count(*) AS papers FROM pc GROUP BY 1 HAVING count(*) >= 2) SELECT * FROM n ORDER BY papers DESC, concept LIMIT 50")
+@query()
 def concept_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.concept_papers(_concepts(spark, sf_dir))
+    return graph.concept_papers(concepts_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")))
 
 
-@query("""WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS src, 1000000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.09),
+#: Components of the thinned graph only; over all rows the recursion is quadratic.
+THIN_COMPONENTS_SQL = """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS src, 1000000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.09),
 e AS (SELECT src, dst FROM o UNION ALL SELECT dst, src FROM o),
 r(node, root) AS (SELECT src, src FROM e UNION SELECT e.dst, r.root FROM r JOIN e ON r.node = e.src WHERE e.dst > r.root OR TRUE)
-SELECT node, min(root) AS component FROM r GROUP BY 1""")
+SELECT node, min(root) AS component FROM r GROUP BY 1"""
+
+
+def order_edges(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    li = lineitem.select("l_orderkey", "l_suppkey")
+    e = li.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return e.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
+
+
+@query()
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperlake.plans.tables import ensure_checkpoints
 
     ensure_checkpoints(spark)
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")
-    e = li.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return graph.components(e.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst")))
+    return graph.components(order_edges(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")))
 
 
 def note_links(docs: DataFrame) -> DataFrame:

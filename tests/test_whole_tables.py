@@ -103,3 +103,41 @@ def test_text_scores_of_whole_texts(spark, sf_dir):
     assert got == {i: int(max(0.0, 1 - _distance(clean[i], clean[i + 1]) / len(clean[i])) * 1e6 + 0.5) for i in clean if i + 1 in clean}
     short = {i for i in got if max(len(t[i]), len(t[i + 1])) <= 200}
     assert short and {(i, got[i]) for i in short} == {r for r in _duck(sf_dir, knowledge.PREFIX_SCORE_SQL) if r[0] in short}
+
+
+def test_components_and_concepts_of_all_rows(spark, sf_dir):
+    li, orders, supplier = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "supplier"))
+    customer = {r["o_orderkey"]: r["o_custkey"] for r in orders.collect()}
+    nation = {r["s_suppkey"]: r["s_nationkey"] for r in supplier.collect()}
+    rows, near, papers = li.collect(), defaultdict(set), defaultdict(set)
+    for r in rows:
+        if r["l_orderkey"] in customer:
+            a, b = customer[r["l_orderkey"]], r["l_suppkey"] + 10**9
+            near[a].add(b)
+            near[b].add(a)
+        if r["l_suppkey"] in nation:
+            papers[str(r["l_partkey"])].add(nation[r["l_suppkey"]])
+    root = {}
+    for start in sorted(near):
+        todo = [start] if start not in root else []
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = start
+                todo += near[x]
+    assert {tuple(r) for r in plans.QUERIES["connected_components"](spark, sf_dir).select("node", "component").collect()} == set(root.items())
+    pairs = Counter((a, b) for p in papers.values() for a in p for b in p if a < b)
+    assert {tuple(r) for r in plans.QUERIES["paper_shared_concepts"](spark, sf_dir).select("a", "b", "weight").collect()} == {(*k, n) for k, n in pairs.items() if n >= 2}
+    most = sorted((-len(p), c) for c, p in papers.items() if len(p) >= 2)[:50]
+    assert {tuple(r) for r in plans.QUERIES["concept_papers"](spark, sf_dir).select("concept", "papers").collect()} == {(c, -n) for n, c in most}
+
+
+def test_operators_equal_sql_on_its_rows(spark, sf_dir):
+    from paperlake.operators import graph
+
+    li, orders, supplier = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "supplier"))
+    edges = knowledge.order_edges(li.where("l_quantity >= 50 and l_discount >= 0.09"), orders)
+    assert {tuple(r) for r in graph.components(edges).collect()} == _duck(sf_dir, knowledge.THIN_COMPONENTS_SQL)
+    concepts = knowledge.concepts_of(li.where("l_quantity >= 49"), supplier)
+    assert {tuple(r) for r in graph.shared_concepts(concepts).collect()} == _duck(sf_dir, knowledge.SHARED_SQL)
+    assert {tuple(r) for r in graph.concept_papers(concepts).collect()} == _duck(sf_dir, knowledge.CONCEPT_PAPERS_SQL)
