@@ -37,9 +37,11 @@ def artefact_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def outline_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections, chunks, outline and draft of documents under given headings."""
-    head = F.concat(F.lit("Abstract\n"), F.left("text", F.lit(300)), F.lit("\n1. Introduction\n"), F.col("text"), F.lit("\nConclusion\n"), F.right("text", F.lit(300)))
-    parts = documents.sections(table(spark, sf_dir, "documents").where("n_chars > 300").select("doc_id", head.alias("text")), "doc_id")
+    """Sections, chunks, outline and draft of all documents under given headings; a null text
+    counts as an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit("Abstract\n"), F.left(text, F.lit(300)), F.lit("\n1. Introduction\n"), text, F.lit("\nConclusion\n"), F.right(text, F.lit(300)))
+    parts = documents.sections(table(spark, sf_dir, "documents").select("doc_id", head.alias("text")), "doc_id")
     pieces = documents.chunks(parts, "doc_id")
     return outline.drafts(outline.outline(parts, pieces, "doc_id"), pieces, "doc_id").select("doc_id", "ord", F.length("text").alias("n"))
 

@@ -141,3 +141,12 @@ def test_operators_equal_sql_on_its_rows(spark, sf_dir):
     concepts = knowledge.concepts_of(li.where("l_quantity >= 49"), supplier)
     assert {tuple(r) for r in graph.shared_concepts(concepts).collect()} == _duck(sf_dir, knowledge.SHARED_SQL)
     assert {tuple(r) for r in graph.concept_papers(concepts).collect()} == _duck(sf_dir, knowledge.CONCEPT_PAPERS_SQL)
+
+
+def test_outlines_of_short_empty_and_null_texts(spark, tmp_path):
+    docs = [(1, "A short text.", 13), (2, "", 0), (3, None, None), (4, "No count. " * 50, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(set)
+    for r in plans.QUERIES["outline_drafts"](spark, str(tmp_path)).collect():
+        got[r["doc_id"]].add(r["ord"])
+    assert got.keys() == {1, 2, 3, 4} and got[2] == got[3]
