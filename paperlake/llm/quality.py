@@ -112,8 +112,9 @@ class Rules:
         return 1 / (1 + F.exp(-total))
 
 
-def train(x: np.ndarray, labels: np.ndarray, columns: list[str], seed: int = 11, trees: int = 60, depth: int = 3, penalty: float = 0.004, steps: int = 400, most: int = 400) -> Rules:
-    """Rules from trees boosted on (x, labels), weighted by lasso logistic regression."""
+def train(x: np.ndarray, labels: np.ndarray, columns: list[str], seed: int = 11, trees: int = 60, depth: int = 3, penalty: float = 0.004, steps: int = 400) -> Rules:
+    """Rules from trees boosted on (x, labels), weighted by lasso logistic regression: all
+    distinct ones are offered, and its penalty chooses."""
     y = labels.astype(np.float64)
     if len(np.unique(y)) < 2:
         return Rules(columns, [], 30.0)
@@ -132,7 +133,7 @@ def train(x: np.ndarray, labels: np.ndarray, columns: list[str], seed: int = 11,
     for rule in sorted(rules, key=lambda r: (len(r), r)):
         holds = _holds(x, rule)
         mark = np.packbits(holds).tobytes()
-        if 0 < holds.sum() < len(y) and mark not in seen and len(kept) < most:
+        if 0 < holds.sum() < len(y) and mark not in seen:
             seen.add(mark)
             kept.append((rule, holds))
     z = np.stack([h for _, h in kept], axis=1).astype(np.float64) if kept else np.zeros((len(y), 0))
