@@ -5,14 +5,17 @@ vector; a document's fingerprint is the sum of its paragraphs' vectors, lane by
 power of two. So it does not depend on their order, repeats count, and a paragraph is added
 to or taken from a document by adding or subtracting its vector (``combine``).
 
-Lanes 0 to 15 are drawn from the SHA-512 of the paragraph as 32-bit numbers, added modulo
-2^32: equal multisets of paragraphs have equal lanes, others differ but for collisions. Lanes
-16 to 79 are the sum over the paragraph's pairs of neighbouring words (split at blanks; the
-last word stands alone) of +1 or -1 by the bits of their XXH64, added modulo 2^16: their
-cosine estimates that of the two documents' pair counts, which is the likeness.
+Lanes 0 to 15 are the halves of eight XXH64 of the paragraph's SHA-512, added modulo 2^32:
+equal multisets of paragraphs have equal lanes, others differ but for collisions. Lanes 16 to
+143 are the sum over the paragraph's pairs of neighbouring words (split at blanks; the last
+word stands alone) of +1 or -1 by the bits of two XXH64 of the pair, added modulo 2^16: the
+cosine of these lanes estimates that of the two documents' pair counts, which is the likeness.
+Its standard error is about ``(1 - cosine ** 2) / 11``; counts of pairs beyond 32,767 in one
+direction wrap around.
 
 Everything is DataFrame operations. Null texts count as empty; the fingerprint of a text
-without a word is zero, its likeness is 1 to an equal one and 0 to others.
+without a word is zero, its likeness is 1 to an equal one and 0 to others. Extra columns of a
+table, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,36 +25,45 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.common import stored
 
-EXACT, GRADED = 16, 64
-MOST_BUCKETS, ROWS_IN_BUCKET, NULL_BUCKETS = 4096, 256, 64
+EXACT, GRADED = 16, 128
+#: Buckets of the chain of rows: so many at most, of about so many rows each.
+MOST_BUCKETS, ROWS_IN_BUCKET = 1 << 16, 64
+#: Rows of one repeated id, or of none, are dealt over so many buckets by their hash.
+SPREAD = 64
 
 
-def of_texts(rows: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
-    """(key..., which, lanes): the fingerprint of text column number ``which`` of each row;
-    rows are told apart by ``key``. Texts without a word have no row."""
-    one = rows.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.coalesce(F.col(t), F.lit("")).alias("t")) for i, t in enumerate(texts)])).alias("x"))
-    parts = one.select(*key, F.col("x.which").alias("which"), F.explode(F.split("x.t", "\n")).alias("p"))
-    parts = parts.where(F.trim("p") != "")
-    # the digest is drawn out to eight numbers of 64 bits, two lanes each
-    lanes = parts.select(*key, "which", F.sha2("p", 512).alias("_d")).select(*key, "which", *[F.xxhash64(F.lit(j), "_d").alias(f"h{j}") for j in range(EXACT // 2)])
-    low = F.lit(0xFFFFFFFF).cast("long")
-    exact = lanes.groupBy(*key, "which").agg(*[F.sum(x).alias(f"e{2 * j + i}") for j in range(EXACT // 2) for i, x in enumerate((F.col(f"h{j}").bitwiseAND(low), F.shiftrightunsigned(f"h{j}", 32)))])
+def sums_of(texts: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key..., e, g): the lanes of each row's text, as 32- and 16-bit numbers. ``key`` tells
+    rows apart. If ``texts`` are partitioned by a part of ``key`` nothing is shuffled."""
+    paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda p: F.trim(p) != "")
+    parts = texts.select(*key, F.explode_outer(paragraphs).alias("_p"))
+    words = F.array_remove(F.split("_p", " "), "")
+    parts = parts.select(*key, F.sha2("_p", 512).alias("_d"), words.alias("_w"))
     # pairs of neighbours; the last word of a paragraph stands alone
-    grams = F.zip_with("_w", F.slice("_w", F.lit(2), F.size("_w")), lambda x, y: F.xxhash64(x, y))
-    units = parts.select(*key, "which", F.array_remove(F.split("p", " "), "").alias("_w")).select(*key, "which", F.explode(grams).alias("h"))
+    pairs = F.zip_with("_w", F.slice("_w", F.lit(2), F.size("_w")), lambda x, y: F.xxhash64(x, y))
+    parts = parts.select(*key, *[F.xxhash64(F.lit(j), "_d").alias(f"_h{j}") for j in range(EXACT // 2)], pairs.alias("_w"))
+    units = parts.select(*key, *[f"_h{j}" for j in range(EXACT // 2)], F.posexplode_outer("_w").alias("_at", "_u0"))
+    units = units.withColumn("_u1", F.when(F.col("_u0").isNotNull(), F.xxhash64(F.lit(1), "_u0")))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    # a paragraph's own lanes count with its first pair
+    first = lambda x: F.sum(F.when(F.col("_at") == 0, x))
+    exact = [first(x) for j in range(EXACT // 2) for x in (F.col(f"_h{j}").bitwiseAND(low), F.shiftrightunsigned(f"_h{j}", 32))]
     # two counts of 32 bits to a sum: bits i and i + 32 of all hashes
-    pairs = F.lit((1 << 32) | 1).cast("long")
-    graded = units.groupBy(*key, "which").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pairs)).alias(f"g{i}") for i in range(GRADED // 2)])
-    ones = [F.col(f"g{i}").bitwiseAND(low) for i in range(GRADED // 2)] + [F.shiftrightunsigned(f"g{i}", 32) for i in range(GRADED // 2)]
-    exact = exact.select(*key, "which", F.array(*[F.pmod(F.col(f"e{j}"), F.lit(1 << 32)) for j in range(EXACT)]).alias("_e"))
-    graded = graded.select(*key, "which", F.array(*[F.pmod(2 * c - F.col("n"), F.lit(1 << 16)) for c in ones]).alias("_g"))
-    return exact.join(graded, [*key, "which"]).select(*key, "which", F.concat("_e", "_g").alias("lanes"))
+    both = F.lit((1 << 32) | 1).cast("long")
+    half = GRADED // 4
+    graded = [F.sum(F.shiftrightunsigned(f"_u{k}", i).bitwiseAND(both)) for k in (0, 1) for i in range(half)]
+    found = units.groupBy(*key).agg(F.count("_u0").alias("_n"), *[x.alias(f"_e{j}") for j, x in enumerate(exact)], *[x.alias(f"_g{j}") for j, x in enumerate(graded)])
+    wrapped = lambda x, bits, kind: F.when(x >= 1 << (bits - 1), x - (1 << bits)).otherwise(x).cast(kind)
+    number = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    e = [wrapped(F.pmod(number(F.col(f"_e{j}")), F.lit(1 << 32)), 32, "int") for j in range(EXACT)]
+    ones = [x for k in (0, 1) for x in [F.col(f"_g{k * half + i}").bitwiseAND(low) for i in range(half)] + [F.shiftrightunsigned(f"_g{k * half + i}", 32) for i in range(half)]]
+    g = [wrapped(F.pmod(number(2 * c - F.col("_n")), F.lit(1 << 16)), 16, "smallint") for c in ones]
+    return found.select(*key, F.array(*e).alias("e"), F.array(*g).alias("g"))
 
 
-def packed(lanes: Column) -> list[Column]:
-    """``lanes`` as columns e (32-bit numbers) and g (16-bit numbers), a third of their size."""
-    wrapped = lambda part, bits, kind: F.transform(part, lambda x: F.when(x >= 1 << (bits - 1), x - (1 << bits)).otherwise(x).cast(kind))
-    return [wrapped(F.slice(lanes, 1, EXACT), 32, "int").alias("e"), wrapped(F.slice(lanes, EXACT + 1, GRADED), 16, "smallint").alias("g")]
+def of_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key..., lanes): the fingerprint of each row's text; rows are told apart by ``key``."""
+    return sums_of(rows, key, text).select(*key, unpacked(F.col("e"), F.col("g")).alias("lanes"))
 
 
 def unpacked(e: Column, g: Column) -> Column:
@@ -88,58 +100,65 @@ def likeness(a: Column, b: Column) -> Column:
 
 def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows in descending order of doc_id (then of text hash and text, null ids last), as
-    (bucket, rn, doc_id, text, next_bucket, next_rn, next_text); after the last row comes the
-    first. Buckets are ranges of ids by quantiles, highest first; each has the first row of
-    the one after it as a guest, so that no task sees more than one bucket."""
+    (bucket, guest, rn, doc_id, text, next_text); after the last row comes the first. Buckets
+    are ranges of ids by quantiles, highest first; a repeated id that fills whole ranges, and
+    null ids, are cut further by the hash of the text. Each bucket ends with the first row of
+    the one after it as a guest, so no task needs more than one bucket. Rows are partitioned
+    by ``bucket`` and texts are shuffled once."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = rows.count()
-    size = min(MOST_BUCKETS, max(1, n // ROWS_IN_BUCKET))
-    side = max(1, int(size**0.5))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / (side * side) for i in range(1, side * side)] or [0.5], 20 * MOST_BUCKETS)).first()[0] or []
-    cuts = [c for c in cuts if c is not None][: side * side - 1]
-    found = F.lit(0)
+    side = max(1, int(min(MOST_BUCKETS, rows.count() // ROWS_IN_BUCKET) ** 0.5))
+    n = side * side
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    found, repeated = F.lit(0), []
     if cuts:
+        repeated = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
         groups = [cuts[i : i + side] for i in range(0, len(cuts), side)]
         # how many cuts are at or below the id, looked up in two steps
         below = lambda part: F.size(F.filter(part, lambda c: c <= F.col("doc_id")))
         block = F.greatest(below(F.lit([g[0] for g in groups])) - 1, F.lit(0))
         found = block * side + below(F.get(F.lit(groups), block))
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(NULL_BUCKETS)).cast("int")).otherwise(found)
-    rows = rows.withColumn("bucket", bucket).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    by_hash = F.shiftright("h", 58).cast("int") + SPREAD // 2
+    # a repeated id is the smallest of its range: its rows come after the others there
+    part = F.when(F.col("doc_id").isNull(), by_hash - SPREAD)
+    if repeated:
+        part = part.when(F.col("doc_id").isin(repeated), found * (SPREAD + 1) + by_hash)
+    rows = rows.withColumn("bucket", part.otherwise(found * (SPREAD + 1) + SPREAD))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()]
     # at most a row for each bucket, whatever the input: ids first, then their texts
-    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"), F.max(F.when(F.col("doc_id").isNull(), F.col("h"))).alias("head_h"))
-    heads = F.broadcast(heads.withColumnRenamed("bucket", "b"))
-    firsts = rows.join(heads, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("head_h").isNull() | (F.col("h") == F.col("head_h")))).select("bucket", "doc_id", "text", "h")
-    firsts = firsts.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where("k = 1").drop("k")
-    firsts = stored(firsts, "firsts")
-    chain = sorted((r["bucket"] for r in firsts.select("bucket").distinct().collect()), reverse=True)
-    before = {b: chain[i - 1] for i, b in enumerate(chain)}
-    guests = firsts
-    if chain:
-        lookup = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        guests = firsts.withColumn("own", F.col("bucket")).withColumn("bucket", F.element_at(lookup, F.col("bucket")))
-    else:
-        guests = firsts.withColumn("own", F.col("bucket"))
-    both = rows.withColumn("guest", F.lit(False)).withColumn("own", F.col("bucket")).unionByName(guests.withColumn("guest", F.lit(True)))
+    heads = F.broadcast(rows.groupBy(F.col("bucket").alias("b")).agg(F.max("doc_id").alias("head")))
+    firsts = rows.join(heads, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("bucket", "doc_id", "text", "h")
+    firsts = stored(firsts.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where("k = 1").drop("k"), "firsts")
+    chain = sorted((r["bucket"] for r in firsts.select("bucket").collect()), reverse=True)
+    before = docs.sparkSession.createDataFrame([(b, chain[i - 1]) for i, b in enumerate(chain)], "own int, bucket int")
+    guests = firsts.withColumnRenamed("bucket", "own").join(F.broadcast(before), "own").select("doc_id", "text", "h", "bucket", F.lit(True).alias("guest"))
+    both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
     w = Window.partitionBy("bucket").orderBy("guest", *order)
-    both = both.select("bucket", "guest", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"), F.lead("guest").over(w).alias("last"), F.lead("own").over(w).alias("next_bucket"))
-    return both.where(~F.col("guest")).select("bucket", "rn", "doc_id", "text", "next_bucket", F.when(F.col("last"), F.lit(1)).otherwise(F.col("rn") + 1).alias("next_rn"), "next_text")
+    return both.select("bucket", "guest", F.row_number().over(w).alias("rn"), "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. The edited text has its last third (whole code
     points, rounded down) replaced by as many of the first ones of the next document. A table
-    of one row is its own next one; an empty table gives no rows."""
+    of one row is its own next one; an empty table gives no rows; of rows of one id, equal ones
+    are interchangeable.
+
+    One shuffle brings each text beside the next one; sums, comparisons and the result follow
+    in the same stage, so nothing else is written."""
     rows = numbered(docs, doc_id, text)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third)))
-    key = ["bucket", "rn"]
-    prints = stored(of_texts(rows, key, ["text", "edited"]).select(*key, "which", *packed(F.col("lanes"))), "prints")
-    facts = stored(rows.select(*key, "next_bucket", "next_rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")), "facts")
-    side = lambda which, name, keys: prints.where(F.col("which") == which).select(*[F.col(k).alias(k2) for k, k2 in zip(key, keys)], F.struct("e", "g").alias(name))
-    out = facts.join(side(0, "a", key), key, "left").join(side(1, "b", key), key, "left").join(side(0, "c", ["next_bucket", "next_rn"]), ["next_bucket", "next_rn"], "left")
-    out = out.select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(unpacked(F.col(f"{x}.e"), F.col(f"{x}.g")), zero()).alias(x) for x in "abc"])
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
+    rows = rows.withColumn("edited", F.when(~F.col("guest"), edited).otherwise(F.lit("")))
+    # the digest goes through the sums as four numbers, which make a narrow key
+    sha = [F.conv(F.substring(F.sha2("edited", 256), 16 * i + 1, 16), 16, -10).cast("long").alias(f"s{i}") for i in range(4)]
+    key = ["bucket", "rn", "guest", "doc_id", "n_chars", "s0", "s1", "s2", "s3", "which"]
+    rows = rows.select("bucket", "rn", "guest", "doc_id", n.cast("long").alias("n_chars"), *sha, F.array("text", "edited").alias("texts"))
+    rows = rows.select(*key[:-1], F.posexplode_outer("texts").alias("which", "text"))
+    w = Window.partitionBy("bucket").orderBy("rn", "which")
+    lanes = sums_of(rows, key, "text").withColumn("v", F.struct("e", "g"))
+    out = lanes.select(*key, F.col("v").alias("a"), F.lead("v", 1).over(w).alias("b"), F.lead("v", 2).over(w).alias("c")).where((F.col("which") == 0) & ~F.col("guest"))
+    digest = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
+    out = out.select("doc_id", "n_chars", digest.alias("edited_sha256"), *[unpacked(F.col(f"{x}.e"), F.col(f"{x}.g")).alias(x) for x in "abc"])
     return out.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("a")).alias("fingerprint"), text_of(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

@@ -2,12 +2,15 @@
 
 import hashlib
 import io
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from paperlake.llm import bpe, common, decontaminate, fingerprint, langid, quality, sharding, simhash, tokenfile, toxicity, warc
@@ -296,13 +299,81 @@ def test_fingerprints(spark, odd, empty):
     assert fingerprint.compared(empty).count() == 0 and fingerprint.compared(df.limit(1)).count() == 1
 
 
+def own_lanes(text):
+    """The lanes of a text by a plain loop: hashes as Spark chains them."""
+    number = lambda v, n, seed=42: xxhash.xxh64_intdigest(v.to_bytes(n, "little"), seed)
+    exact, graded = [0] * 16, [0] * 128
+    for p in text.split("\n"):
+        words = [w for w in p.split(" ") if w]
+        if not words:
+            continue
+        digest = hashlib.sha512(p.encode()).hexdigest().encode()
+        for j in range(8):
+            h = xxhash.xxh64_intdigest(digest, number(j, 4))
+            exact[2 * j] += h & 0xFFFFFFFF
+            exact[2 * j + 1] += h >> 32
+        for x, y in zip(words, [*words[1:], None]):
+            one = xxhash.xxh64_intdigest(x.encode(), 42)
+            one = one if y is None else xxhash.xxh64_intdigest(y.encode(), one)
+            for k, h in enumerate((one, number(one, 8, number(1, 4)))):
+                for i in range(64):
+                    graded[64 * k + i] += 1 if h >> i & 1 else -1
+    return [x % (1 << 32) for x in exact] + [x % (1 << 16) for x in graded]
+
+
+def test_fingerprints_equal_a_plain_loop(spark):
+    docs = [(9, "one two three four five six\nseven  eight\n\n nine"), (5, "ä ö 漢字 ü\nlast line here"), (5, "a b"), (4, None), (2, " \n "), (None, "without an id"), (7, "one two three four five six\nseven  eight")]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, bucket string, _h0 int")
+    got = fingerprint.compared(df).collect()
+    hexed = lambda lanes: "".join(f"{x:08x}" for x in lanes[:16]) + "".join(f"{x:04x}" for x in lanes[16:])
+    by_hash = {r["edited_sha256"]: r for r in got}
+    order = [docs[0], docs[6], *sorted(docs[1:3], key=lambda d: -np.array([xxhash.xxh64_intdigest(d[1].encode(), 42)], np.uint64).view(np.int64)[0]), docs[3], docs[4], docs[5]]
+    assert len(got) == len(docs)
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        text, after = text or "", after or ""
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        row = by_hash[hashlib.sha256(edited.encode()).hexdigest()]
+        if text:
+            assert row["doc_id"] == i
+            assert row["fingerprint"] == hexed(own_lanes(text)) and row["edited_fingerprint"] == hexed(own_lanes(edited))
+
+
+def test_fingerprint_likeness_is_near_the_cosine(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(120, 400)))) for i in range(60)]
+
+    def pairs(text):
+        words = text.split(" ")
+        return Counter(zip(words, [*words[1:], None]))
+
+    def cosine(a, b):
+        return sum(n * b[x] for x, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+    got = {r["doc_id"]: r for r in fingerprint.compared(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    off_edited, off_next = [], []
+    for i, text in docs:
+        after = docs[(i - 1) % len(docs)][1]
+        k = len(text) // 3
+        off_edited.append(got[i]["near_edited"] - cosine(pairs(text), pairs(text[: len(text) - k] + after[:k])))
+        off_next.append(got[i]["near_next"] - cosine(pairs(text), pairs(after)))
+    assert max(map(abs, off_edited)) < 0.25 and np.std(off_edited) < 0.09 and max(map(abs, off_next)) < 0.4
+
+
+def test_fingerprints_of_one_repeated_id(spark):
+    docs = [(7, f"text number {i}") for i in range(900)] + [(i, "other") for i in range(8, 40)]
+    rows = fingerprint.compared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs) and len({r["fingerprint"] for r in rows}) == 901
+
+
 def test_fingerprints_add_up(spark):
-    df = spark.createDataFrame([(1, "a b c\nd e\na b c", "d e\na b c\na b c"), (2, "a b c\nd e", "a b c")], "k long, x string, y string")
-    lanes = {(r["k"], r["which"]): r["lanes"] for r in fingerprint.of_texts(df, ["k"], ["x", "y"]).collect()}
-    assert lanes[1, 0] == lanes[1, 1] != lanes[2, 0]
-    rows = spark.createDataFrame([(lanes[2, 0], lanes[2, 1], lanes[1, 0])], "a array<bigint>, b array<bigint>, c array<bigint>")
+    df = spark.createDataFrame([(1, "a b c\nd e\na b c"), (2, "d e\na b c\na b c"), (3, "a b c\nd e"), (4, "a b c")], "k long, text string")
+    lanes = {r["k"]: r["lanes"] for r in fingerprint.of_texts(df, ["k"]).collect()}
+    assert lanes[1] == lanes[2] != lanes[3]
+    rows = spark.createDataFrame([(lanes[3], lanes[4], lanes[1])], "a array<bigint>, b array<bigint>, c array<bigint>")
     both = rows.select(fingerprint.combine(F.col("a"), F.col("b")).alias("s"), fingerprint.combine(F.col("c"), F.col("b"), -1).alias("d")).first()
-    assert both["s"] == lanes[1, 0] and both["d"] == lanes[2, 0]
+    assert both["s"] == lanes[1] and both["d"] == lanes[3]
 
 
 def test_components(spark):
