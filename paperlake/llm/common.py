@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has none (tests on one machine) a temporary one is made.
+    Only where a session on one machine has none (tests) a temporary one is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
@@ -64,6 +66,18 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
         yield batch.slice(low, high - low)
 
 
+def named_apart(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of the id as text; null ids count as the text ''."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import saved
+from paperlake.llm.common import named_apart, saved
 
 #: Tables of items up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -99,10 +99,14 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     return hits.where(F.col("n_found") >= F.ceil(F.col("size") * F.lit(least) - 1e-9)).select("doc_id", "item_id", F.col("size").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("size")).alias("containment"))
 
 
-def keep_uncontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    found = contained(docs, items, doc_id, "item_id", text, shingle, least).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_d")), "left_anti")
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, least_words: int = 1) -> DataFrame:
+    """``docs`` without the documents that contain an item of ``least_words`` words or more. An
+    item of one common word would take most documents along: raise ``least_words`` where a
+    benchmark has such. Rows of one id go together; columns may have any names."""
+    items = items.where(F.size(words(F.col(text))) >= least_words)
+    (own,) = named_apart(docs, "_d")
+    found = contained(docs, items, doc_id, "item_id", text, shingle, least).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left_anti")
 
 
 #: The same result in DuckDB's SQL, for items of five words or more.

@@ -6,12 +6,12 @@ them in Spark, so at most languages x bins rows reach the driver. Scoring adds t
 the broadcast log-probability matrix for all n-grams of a batch of texts at once.
 
 Null texts, and texts without a letter, are ``und`` with score 0; so is everything if no
-labelled row was given. Ties go to the first language in alphabetical order.
+labelled row was given. Ties go to the first language in alphabetical order. Repeated rows
+count as often as they occur in fitting and have the same result in scoring.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import slices
+from paperlake.llm.common import named_apart, slices
 
 ORDERS, BINS = (1, 2, 3), 1 << 14
 SHARPNESS = 40.0
 SLICE_BYTES = 1 << 20
-MOST_LANGUAGES = 1024
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGUAGES = 256
 _letters: list[np.ndarray] = []
 
 
@@ -37,6 +36,11 @@ def _table() -> np.ndarray:
     return _letters[0]
 
 
+def has_letter(text: str | None) -> bool:
+    """Digits, fractions, numerals and marks are no letters."""
+    return any(map(str.isalpha, text or ""))
+
+
 def bins_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bins of all n-grams, a row for each order, and where each text begins in the columns.
     What runs over a text's end has the bin after the last. Texts must not be empty."""
@@ -66,7 +70,7 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if has_letter(t)]
         if rows and self.languages:
             bins, starts = bins_of([texts[i] for i in rows])
             total = sum(np.add.reduceat(self.weights[b], starts, axis=0, dtype=np.float64) for b in bins)
@@ -106,7 +110,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str |
             for piece in slices(batch, 0, SLICE_BYTES):
                 texts, langs = piece.column(0).to_pylist(), piece.column(1).to_pylist()
                 for name in set(langs):
-                    own = [t for t, n in zip(texts, langs) if n == name and LETTER.search(t)]
+                    own = [t for t, n in zip(texts, langs) if n == name and has_letter(t)]
                     if own:
                         add = np.bincount(bins_of(own)[0].ravel(), minlength=len(ORDERS) * BINS + 1)[:-1]
                         sums[name] = sums[name] + add if name in sums else add
@@ -142,8 +146,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` in a learned language with a score of ``least`` or more. If no
-    language was learned nothing can be told, and all rows stay."""
+    language was learned nothing can be told, and all rows stay. Columns may have any names."""
     if not model.languages:
         return docs
-    own = ("_lang_pred", "_lang_score")
+    own = tuple(named_apart(docs, "_lang_pred", "_lang_score"))
     return predict(docs, model, text, own).where((F.col(own[0]) != "und") & (F.col(own[1]) >= least)).drop(*own)

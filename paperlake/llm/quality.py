@@ -24,17 +24,18 @@ from paperlake.llm.toxicity import sample
 PREFIX = "_q_"
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the numbers that rules look at, all DOUBLE and none null."""
+def statistics(docs: DataFrame, text: str = "text", prefix: str = PREFIX) -> DataFrame:
+    """``docs`` with the numbers that rules look at, all DOUBLE and none null, in columns that
+    start with ``prefix``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn(PREFIX + "text", t).withColumn(PREFIX + "words", F.filter(F.split(F.translate(t, "\n\t\r", "   "), " "), lambda w: w != ""))
-    c = lambda name: F.col(PREFIX + name)
+    rows = docs.withColumn(prefix + "text", t).withColumn(prefix + "words", F.filter(F.split(F.translate(t, "\n\t\r", "   "), " "), lambda w: w != ""))
+    c = lambda name: F.col(prefix + name)
     n = F.greatest(F.length(c("text")), F.lit(1)).cast("double")
     words = F.greatest(F.size(c("words")), F.lit(1)).cast("double")
     without = lambda pattern: F.length(F.regexp_replace(c("text"), pattern, ""))
     chars = F.length(c("text"))
     lines = F.filter(F.split(c("text"), "\n"), lambda x: x != "")
-    rows = rows.withColumn(PREFIX + "distinct", F.array_distinct(c("words"))).withColumn(PREFIX + "lines", lines)
+    rows = rows.withColumn(prefix + "distinct", F.array_distinct(c("words"))).withColumn(prefix + "lines", lines)
     line_count = F.greatest(F.size(c("lines")), F.lit(1)).cast("double")
     # a word's successor being itself is what a run of repeats is made of
     repeats = F.size(F.filter(F.zip_with(F.slice(c("words"), 2, 1 << 30), c("words"), lambda a, b: a == b), lambda same: same))
@@ -57,11 +58,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "line_length": chars / line_count,
         "distinct_lines": F.size(F.array_distinct(c("lines"))) / line_count,
     }
-    return rows.select(*docs.columns, *[v.cast("double").alias(PREFIX + k) for k, v in found.items()])
+    return rows.select(*[F.col(f"`{x}`") for x in docs.columns], *[v.cast("double").alias(prefix + k) for k, v in found.items()])
 
 
-def names(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c.startswith(PREFIX)]
+def names(rows: DataFrame, prefix: str = PREFIX) -> list[str]:
+    return [c for c in rows.columns if c.startswith(prefix)]
 
 
 Condition = tuple[int, bool, float]  # statistic, above, threshold
@@ -103,11 +104,11 @@ class Rules:
     rules: list[tuple[tuple[Condition, ...], float]]
     bias: float
 
-    def column(self) -> Column:
-        """The score (0 to 1) as an expression over ``statistics``."""
+    def column(self, prefix: str = "") -> Column:
+        """The score (0 to 1) as an expression over ``statistics``, their names after ``prefix``."""
         total = F.lit(self.bias)
         for rule, weight in self.rules:
-            holds = reduce(Column.__and__, [F.col(self.statistics[k]) > at if above else F.col(self.statistics[k]) <= at for k, above, at in rule])
+            holds = reduce(Column.__and__, [F.col(prefix + self.statistics[k]) > at if above else F.col(prefix + self.statistics[k]) <= at for k, above, at in rule])
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -157,10 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, accept, label: str = "quality", most
     rows = statistics(sample(docs, labels, label, accept, most))
     columns = names(rows)
     got = rows.select("doc_id", "label", *columns).toPandas().sort_values(["doc_id", "label", *columns])
-    return train(got[columns].to_numpy(np.float64), got["label"].to_numpy(), columns)
+    return train(got[columns].to_numpy(np.float64), got["label"].to_numpy(), [c.removeprefix(PREFIX) for c in columns])
 
 
 def score(docs: DataFrame, rules: Rules, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score as ``name``; a column of that name is replaced."""
-    rows = statistics(docs.drop(name), text)
-    return rows.withColumn(name, rules.column()).drop(*names(rows))
+    """``docs`` with the score as ``name``; a column of that name is replaced, others may have
+    any names and stay. Repeated rows have equal scores."""
+    docs, prefix = docs.drop(name), PREFIX
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    rows = statistics(docs, text, prefix)
+    return rows.withColumn(name, rules.column(prefix)).drop(*names(rows, prefix))

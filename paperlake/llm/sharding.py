@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from paperlake.llm.common import named_apart
+
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
     """The shard (0 to len(weights) - 1) of ``key``; all weights must be above zero."""
@@ -36,7 +38,7 @@ def assign(docs: DataFrame, weights: Sequence[float], doc_id: str = "doc_id", te
     from 0 without gaps: a shard's rows are dealt over ``buckets`` by their hash, numbered in
     each, and moved by the rows of the buckets before, so no task holds a whole shard. Slots
     of equal rows are interchangeable. ``grown_shard``: the shard with one more of the last
-    weight. Empty tables give no rows.
+    weight. Empty tables give no rows; extra columns are not looked at.
     """
     weights = list(weights)
     key = F.col(doc_id)
@@ -55,5 +57,6 @@ def write_shards(docs: DataFrame, path: str, weights: Sequence[float], doc_id: s
     """Writes ``docs`` under ``path`` in folders ``shard=N``; a shard is spread over ``files``
     tasks by the hash of its rows. A column ``shard`` of the table is replaced."""
     rows = docs.withColumn("shard", shard_of(F.col(doc_id), weights))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*docs.columns), F.lit(files)))
-    rows.repartition("shard", "_part").drop("_part").write.mode("overwrite").partitionBy("shard").parquet(path)
+    (part,) = named_apart(rows, "_part")
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(*docs.columns), F.lit(files)))
+    rows.repartition("shard", part).drop(part).write.mode("overwrite").partitionBy("shard").parquet(path)

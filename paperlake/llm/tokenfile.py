@@ -38,6 +38,8 @@ SEEK_MAGIC, SEEK_FOOT, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
 FRAME_IDS = 1 << 16
 SLICE_BYTES = 8 << 20
 CACHED_PIECES, CACHED_LENGTH = 300_000, 48
+#: Documents in a row of the manifest, and bytes of text that a file is made for.
+LISTED, FILE_BYTES = 8192, 128 << 20
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -134,25 +136,31 @@ class WordEncoder:
     between blanks, in order; Arrow tells them apart. Runs of ASCII and Latin-1 letters need
     no normalising but lower case: these are cut by the tokenizer's own pattern here (letters
     and then marks without Python, others with ``re``) and their pieces go to its merge model
-    alone. All other runs go through the whole tokenizer. A file with another normalizer or
-    pattern is given whole texts. ``known`` and ``old``: generations of a bounded cache.
+    alone. All other runs, and those that hold a special token, go through the whole
+    tokenizer. A file with another normalizer or pattern, or with special tokens that look
+    beyond their own characters, is given whole texts. Special tokens in a text are found as
+    the library does by default, or are plain text if ``special_as_text``. ``known`` and
+    ``old``: generations of a bounded cache.
     """
 
     # fixed values: what the file must hold for words to be independent
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         said = json.loads(self.whole.to_str())
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])] == self.NORMALIZERS and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": self.PATTERN} and not steps[1]["add_prefix_space"]
+        added = said.get("added_tokens") or []
+        self.special = [a["content"] for a in added if not (special_as_text and a["special"])]
+        self.by_word = self.by_word and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or a["content"].split() != [a["content"]] for a in added)
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
@@ -192,11 +200,15 @@ class WordEncoder:
         low = pc.utf8_lower(words)
         cut = pc.extract_regex(low, "^(?P<a>[a-zß-öø-ÿ]*)(?P<b>[!-/:-`{-~]*)$")
         simple = pc.is_valid(cut).to_numpy(zero_copy_only=False) & pc.match_substring_regex(words, "^[!-~À-ÖØ-öø-ÿ]*$").to_numpy(zero_copy_only=False)
+        special = np.zeros(len(words), bool)
+        for content in self.special:
+            special |= pc.match_substring(words, content).to_numpy(zero_copy_only=False)
+        simple &= ~special
         rest, more, sizes = np.flatnonzero(~simple), [], []
         if len(rest):
             taken = words.take(pa.array(rest))
-            for word, plain in zip(taken.to_pylist(), pc.match_substring_regex(taken, "^[!-~À-ÖØ-öø-ÿ]*$").to_pylist()):
-                own = self.pieces(word.lower()) if plain else [" " + word]
+            for word, plain, whole in zip(taken.to_pylist(), pc.match_substring_regex(taken, "^[!-~À-ÖØ-öø-ÿ]*$").to_pylist(), special[rest].tolist()):
+                own = self.pieces(word.lower()) if plain and not whole else [" " + word]
                 more += own
                 sizes.append(len(own))
         counts = np.full(len(words), 2, np.int64)
@@ -237,85 +249,108 @@ class WordEncoder:
         return out, np.diff(bounds)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """One per Python worker, so that what it learned serves later tasks too."""
-    if path not in _encoders:
+    if (path, special_as_text) not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        _encoders[path, special_as_text] = WordEncoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
-MANIFEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("documents", T.LongType()), T.StructField("ids", T.LongType())])
+MANIFEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("first", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("documents", T.LongType()), T.StructField("ids", T.LongType())])
+_MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("documents", pa.int64()), ("ids", pa.int64())])
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+_ROWS = pa.schema([(f.name, pa.int64()) for f in ROWS])
 
 
-def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, files: int | None = None, frame_ids: int = FRAME_IDS) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, files: int | None = None, frame_ids: int = FRAME_IDS, special_as_text: bool = False) -> DataFrame:
     """Writes the ids of all rows in ascending order of doc_id (null first; rows of one id by
-    their text) and returns the manifest, itself stored in the shared folder: a row per file
-    and chunk of its doc_ids. Null and empty texts have ``end_id`` alone. A task writes under
-    a name of its own and attempt, so only files of tasks that ended well are listed."""
+    the hash of their text) and returns the manifest, itself stored in the shared folder: a
+    row for every ``LISTED`` documents of a file, with their ids and the number of the first.
+    Null and empty texts have ``end_id`` alone. ``files``: by default one for each shuffle
+    partition, more if a file would hold over ``FILE_BYTES`` of text; a repeated id is spread
+    over files by the hash. A task writes under a name of its own and attempt, so only files
+    of tasks that ended well are listed. Extra columns are not looked at; an empty table gives
+    an empty manifest."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches: Iterable[pa.RecordBatch]):
-        task, encode, writer, ids, total, out = TaskContext.get(), None, None, [], 0, None
+        task, encode, writer, ids, first, total, out = TaskContext.get(), None, None, [], 0, 0, None
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.ids.zst"
+        listed = lambda: pa.RecordBatch.from_pylist([{"part": task.partitionId(), "path": path, "first": first, "doc_ids": ids, "documents": len(ids), "ids": total}], _MANIFEST)
         for batch in batches:
             for piece in slices(batch, 1, SLICE_BYTES):
                 if writer is None:
                     fs, at = open_fs(path)
                     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(at, compression=None)
-                    writer, encode = Writer(out, frame_ids), encoder(tokenizer)
+                    writer, encode = Writer(out, frame_ids), encoder(tokenizer, special_as_text)
                 found, counts = encode(piece.column(1))
-                for part in np.split(found, np.cumsum(counts)[:-1]):
+                for own, part in zip(piece.column(0).to_pylist(), np.split(found, np.cumsum(counts)[:-1])):
+                    if len(ids) == LISTED:
+                        yield listed()
+                        first, ids, total = first + len(ids), [], 0
                     writer.add(np.append(part, np.uint32(end_id)))
-                total += len(found) + len(counts)
-                ids += piece.column(0).to_pylist()
+                    ids.append(own)
+                    total += len(part) + 1
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "path": path, "doc_ids": ids, "documents": len(ids), "ids": total}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("documents", pa.int64()), ("ids", pa.int64())]))
+            yield listed()
 
     return stored(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32, each taken from
-    the files. A task per file, which holds one frame at a time."""
-    files = manifest.select("part", "path", "doc_ids", F.col("ids").alias("total"))
-    before = manifest.select("part", "ids").withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).drop("ids")
-    tasks = files.join(before, "part").repartition(max(1, manifest.count()), "part")
+    the files. Tasks get about as many rows of the manifest as a file has; each holds one
+    frame and one row's results at a time."""
+    totals = manifest.groupBy("part").agg(F.sum("ids").alias("_n"))
+    # a row for each file
+    totals = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_base"))
+    own = F.sum("ids").over(Window.partitionBy("part").orderBy("first")) - F.col("ids")
+    tasks = manifest.withColumn("_own", own).join(F.broadcast(totals), "part").select("part", "path", "first", "doc_ids", F.col("ids").alias("total"), (F.col("_own") + F.col("_base")).alias("base"))
+    tasks = tasks.repartitionByRange(max(1, manifest.select("part").distinct().count()), "part", "first")
 
     def run(batches):
+        path, reader, source = None, None, None
         for batch in batches:
             for row in batch.to_pylist():
-                fs, at = open_fs(row["path"])
-                with fs.open_input_file(at) as source:
-                    reader, start, out = Reader(source), row["base"], []
-                    if len(reader) != len(row["doc_ids"]):
-                        raise ValueError(f"{at} has {len(reader)} documents, its manifest {len(row['doc_ids'])}")
-                    for doc_id, ids in zip(row["doc_ids"], reader):
-                        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start += len(ids)
+                if row["path"] != path:
+                    if source is not None:
+                        source.close()
+                    fs, at = open_fs(row["path"])
+                    source, path = fs.open_input_file(at), row["path"]
+                    reader = Reader(source)
+                start, first, out = row["base"], row["first"], []
+                if first + len(row["doc_ids"]) > len(reader):
+                    raise ValueError(f"{path} has {len(reader)} documents, its manifest {first + len(row['doc_ids'])}")
+                for i, doc_id in enumerate(row["doc_ids"], first):
+                    ids = reader.document(i)
+                    out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                    start += len(ids)
                 if start - row["base"] != row["total"]:
-                    raise ValueError(f"{at} has {start - row['base']} ids, its manifest {row['total']}")
-                for low in range(0, len(out), 8192):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[low : low + 8192])], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    raise ValueError(f"{path} has {start - row['base']} ids, its manifest {row['total']}")
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_ROWS)
+        if source is not None:
+            source.close()
 
     return tasks.mapInArrow(run, ROWS)
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """(doc_id, ids) of the documents in ``doc_ids`` (column doc_id), from their frames alone."""
-    asked = manifest.select("path", F.posexplode("doc_ids").alias("at", "doc_id")).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = asked.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id"))).alias("asked"))
+    asked = manifest.select("path", "first", F.posexplode("doc_ids").alias("at", "doc_id")).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = asked.groupBy("path", "first").agg(F.sort_array(F.collect_list(F.struct((F.col("first") + F.col("at")).alias("at"), "doc_id"))).alias("asked"))  # LISTED at most
 
     def run(batches):
         for batch in batches:

@@ -6,12 +6,15 @@ trigram vectors. Windows of ``WINDOW`` words, one every ``STRIDE``, cover the wh
 last one is moved back to end with it); both directions of the network run over each window,
 attention pools its states, and the document's logit is that of its highest window.
 
-Only documents are labelled, so training alternates: all windows of documents first, then,
-round by round, the highest windows of toxic documents against the highest and some random
+Only documents are labelled, so training has to find the windows that count: first those of
+toxic documents that hold the words most peculiar to such documents (around these, other words
+are drawn from clean windows), then, round by round,
+the network's own highest windows of toxic documents against the highest and some random
 windows of clean ones. A part of the sample is held back to place the score of 0.7.
 
 A null or empty text, or one without a word, has the score of an empty window. Without rows
-of both labels the model says 0 for all.
+of both labels the model says 0 for all. Repeated rows count as often as they occur in the
+sample and have equal scores.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import slices
+from paperlake.llm.common import named_apart, slices
 from paperlake.llm.tokenfile import spans
 
 WINDOW, STRIDE = 24, 16
@@ -238,6 +241,18 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def peculiar(n_words: int, index: np.ndarray, counts: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How much each word speaks for toxic documents: the number of ``known`` toxic documents
+    that have it times the smoothed log of its odds there; 0 in fewer than two of them, and
+    for the padding after the last word."""
+    has = np.unique(np.repeat(np.arange(len(y)), counts) * np.int64(n_words + 1) + index)
+    owner, word = has // (n_words + 1), has % (n_words + 1)
+    of = lambda label: np.bincount(word[(known & (y == label))[owner]], minlength=n_words + 1)
+    toxic, clean = of(1), of(0)
+    odds = np.log((toxic + 0.5) / ((known & (y == 1)).sum() + 1)) - np.log((clean + 0.5) / ((known & (y == 0)).sum() + 1))
+    return np.where(toxic < 2, 0.0, toxic * np.maximum(odds, 0))
+
+
 def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, seed: int = 7, rounds: int = 5, steps: int = 80, batch: int = 128, rate: float = 0.01, cut: float = 0.7) -> Network:
     """Fits a network to texts (in memory) and their labels."""
     y = np.asarray(labels, np.int64)
@@ -252,7 +267,15 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, se
     padded, steps_in = np.append(index, len(words)), np.arange(WINDOW)
     aside = rng.random(len(y)) < 0.2
     fit = ~aside[doc]
-    bad, good = np.flatnonzero(fit & (y[doc] == 1)), np.flatnonzero(fit & (y[doc] == 0))
+    value = peculiar(len(words), index, counts, y, ~aside)
+    placed = np.append(value[index], 0.0)
+    best = np.empty(len(start))
+    for low in range(0, len(start), 1 << 16):
+        here = slice(low, low + (1 << 16))
+        best[here] = placed[np.where(steps_in < size[here, None], start[here, None] + steps_in, len(index))].max(axis=1)
+    highest = np.zeros(len(y))
+    np.maximum.at(highest, doc, best)
+    bad, good = np.flatnonzero(fit & (y[doc] == 1) & (best >= 0.5 * highest[doc])), np.flatnonzero(fit & (y[doc] == 0))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -270,6 +293,12 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, se
             low = rng.choice(good, batch // 4) if k else rng.choice(good, batch // 2)
             pick = np.concatenate([rng.choice(bad, batch // 2), low, *([rng.choice(hard, batch // 4)] if k else [])])
             at = padded[np.where(steps_in < size[pick, None], start[pick, None] + steps_in, len(padded) - 1)]
+            # around the words that tell, toxic windows get most of their words from clean ones,
+            # so that what they share by chance isn't learned
+            own, told = value[at], value[at].max(axis=1, keepdims=True)
+            other = at[rng.choice(np.flatnonzero(y[doc[pick]] == 0), len(pick))]
+            swap = (y[doc[pick]] == 1)[:, None] & (told > 0) & (own < 0.5 * told) & (rng.random(at.shape) < 0.8) & (at < len(words)) & (other < len(words))
+            at = np.where(swap, other, at)
             grads = net.gradients(words_in, at, size[pick], y[doc[pick]].astype(np.float32), np.ones(len(pick), np.float32), rng)
             step += 1
             pace = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -303,9 +332,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, accept, most: tuple[i
     return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, accept, label: str = "toxic", most: tuple[int, int] = (1500, 1200)) -> Network:
-    """Trains on the driver on a bounded sample: ``most`` rows of labels 0 and 1."""
-    rows = sample(docs, labels, label, accept, most).toArrow()
+def fit(docs: DataFrame, labels: DataFrame, accept, label: str = "toxic", most: tuple[int, int] = (1500, 1200), most_bytes: int = 48 << 20) -> Network:
+    """Trains on the driver on a bounded sample: ``most`` rows of labels 0 and 1, and of each
+    label as many whole texts, in the order of their ids' hashes, as begin within
+    ``most_bytes``."""
+    rows = sample(docs, labels, label, accept, most)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    before = F.sum(size).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most_bytes).drop("_before").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
     net = train(rows["text"].combine_chunks(), rows["label"].to_numpy())
     del rows
@@ -328,5 +362,6 @@ def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score"
 
 
 def keep_clean(docs: DataFrame, net: Network, text: str = "text", cut: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``cut``."""
-    return score(docs, net, text, "_toxic").where(F.col("_toxic") < cut).drop("_toxic")
+    """The rows of ``docs`` that score below ``cut``; columns may have any names."""
+    (own,) = named_apart(docs, "_toxic")
+    return score(docs, net, text, own).where(F.col(own) < cut).drop(own)

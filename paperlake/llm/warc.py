@@ -97,8 +97,10 @@ class _Members:
         return True
 
     def line(self) -> bytes:
-        while (i := self.data.find(b"\r\n")) < 0:
-            if len(self.data) > 1 << 20 or not self._fill():
+        at = 0
+        while (i := self.data.find(b"\r\n", at)) < 0:
+            at = max(0, len(self.data) - 1)
+            if not self._fill():
                 raise ValueError("a header line without an end")
         line, self.data = self.data[:i], self.data[i + 2 :]
         return line

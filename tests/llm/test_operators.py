@@ -139,28 +139,44 @@ def test_token_files(spark, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    manifest = tokenfile.write(odd, path, files=3, frame_ids=50)
+    marked = spark.createDataFrame([(7, "hello <|endoftext|> world", None, None, 1), (8, "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", None, None, 1)], SCHEMA)
+    manifest = tokenfile.write(odd.union(marked), path, files=3, frame_ids=50)
     rows = sorted(tokenfile.read(manifest).collect(), key=lambda r: r["start"])
-    want = sorted(ODD, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or ""))
+    by_hash = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) - (xxhash.xxh64_intdigest(x.encode(), 42) >> 63 << 64) if x is not None else 42
+    want = sorted([*ODD, *map(tuple, marked.collect())], key=lambda d: (d[0] is not None, d[0] or 0, by_hash(d[1])))
     start = 0
     for r, d in zip(rows, want, strict=True):
         ids = np.array([*t.encode(d[1] or "", add_special_tokens=False).ids, 1], "<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d[0], start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    assert 49407 in t.encode("hello <|endoftext|> world", add_special_tokens=False).ids
     one = tokenfile.read_documents(spark, manifest, spark.createDataFrame([(6,)], "doc_id long")).collect()
     assert one[0]["ids"][:-1] == t.encode("x" * 4000, add_special_tokens=False).ids
     assert tokenfile.read(tokenfile.write(empty, path)).count() == 0
 
 
-def test_word_encoder_equals_library():
-    e = tokenfile.WordEncoder(tokenizers.path("word_bpe_49k.json"))
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_word_encoder_equals_library(special_as_text):
+    from tokenizers import Tokenizer
+
+    e, t = tokenfile.WordEncoder(tokenizers.path("word_bpe_49k.json"), special_as_text), Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = special_as_text
     assert e.by_word
     rng, alphabet = random.Random(5), " \n\t'sabcZÀéß日12,.!¡\x1c\x85\xa0 İΣςtre²_^`]\\\r|̸"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["<|endoftext|> a", "가 ᆨ"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["<|endoftext|> a", "가 ᆨ", "x<|endoftext|><|startoftext|>y's <|endoftext", "<|ENDOFTEXT|>\n<|endoftext|>."]
     ids, counts = e(pa.array(texts))
     for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
-        assert own.tolist() == e.whole.encode(text, add_special_tokens=False).ids, repr(text)
+        assert own.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_manifest_lists_documents_in_rows(spark, monkeypatch):
+    path = tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    whole = sorted(map(tuple, tokenfile.read(tokenfile.write(docs, path, files=2)).collect()))
+    monkeypatch.setattr(tokenfile, "LISTED", 7)
+    parts = tokenfile.write(docs, path, files=2)
+    assert parts.agg(F.max("documents")).first()[0] <= 7 and sorted(map(tuple, tokenfile.read(parts).collect())) == whole
+    assert [r["doc_id"] for r in tokenfile.read_documents(spark, parts, spark.createDataFrame([(41,)], "doc_id long")).collect()] == [41]
 
 
 def test_token_file_checksums(tmp_path):
@@ -208,6 +224,84 @@ def test_bpe_equals_tiktoken(odd, empty):
 # learned operators
 
 
+def test_language_model_equals_a_recount(spark):
+    rows = [("Ab c", "x"), ("a b", "x"), ("½ 12", "x"), ("zz z", "y"), (None, "y"), ("q", None)]
+    model = langid.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"), rows_per_language=None)
+    want = np.full((3, langid.BINS, 2), 0.5)
+    for text, lang in rows:
+        if text and lang and any(c.isalpha() for c in text):
+            chars = [c if c.isalpha() else " " for c in text.lower()]
+            for order in (1, 2, 3):
+                for i in range(len(chars) - order + 1):
+                    h = 0
+                    for c in chars[i : i + order]:
+                        h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                    want[order - 1, ((h ^ h >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 18, "xy".index(lang)] += 1
+    logs = np.log(want / want.sum(axis=1, keepdims=True)).reshape(-1, 2)
+    assert model.languages == ["x", "y"] and np.allclose(model.weights[:-1], logs, atol=1e-5)
+    assert model.score(["½", "²³", "Ⅷ ①", "12", "zzz"])[0] == ["und"] * 4 + ["y"]
+
+
+def test_simhash_equals_a_plain_count():
+    rng = random.Random(11)
+    for n in (1, 3, 4, 5, 9, 200):
+        words = [rng.choice(["Aa", "b", "ç", "dd", "É"]) for _ in range(n)]
+        low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+        hashes = [xxhash.xxh64_intdigest(" ".join(low[i : i + 4]).encode(), 42) for i in range(max(1, n - 3))]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint("\t".join(words).encode()) == want
+
+
+def test_shards_equal_a_plain_draw(spark):
+    rows = sharding.assign(spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), [1.0, 2.0, 1.0]).collect()
+    for r in rows:
+        def winner(weights):
+            scores = []
+            for shard, weight in enumerate(weights):
+                seed = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), 42)
+                u = ((xxhash.xxh64_intdigest(f"k{r['doc_id']}".encode(), seed) >> 11) + 0.5) / 2**53
+                scores.append((-weight / math.log(u), shard))
+            return max(scores)[1]
+
+        assert r["shard"] == winner([1.0, 2.0, 1.0]) and r["grown_shard"] == winner([1.0, 2.0, 1.0, 1.0])
+
+
+def test_columns_of_any_name_stay(spark, sf_dir, tmp_path):
+    names = ["_q_x", "_Q_words", "_key", "_text_hash", "_toxic", "_lang_pred", "_lang_score", "_part", "_d", "node", "segs", "h", "bucket", "guest", "shard"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, (_, t, *_) in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    own = sorted(map(tuple, docs.collect()), key=str)
+
+    def same(found):
+        assert found.columns[: len(docs.columns)] == docs.columns
+        got = {r[0]: tuple(r)[: len(docs.columns)] for r in found.collect()}
+        assert got and all(got[r[0]] == r for r in own if r[0] in got)
+        return len(got)
+
+    net = toxicity.Network()
+    assert same(toxicity.score(docs, net)) == same(toxicity.keep_clean(docs, net)) == len(own)
+    model = langid.fit(common.table(spark, sf_dir, "documents"))
+    assert same(langid.predict(docs, model)) == len(own) and same(langid.keep_known(docs, model)) > 0
+    rules = quality.train(np.array([[float(i % 7)] for i in range(60)]), np.array([int(i % 7 > 3) for i in range(60)]), ["chars"])
+    assert same(quality.score(docs, rules)) == len(own)
+    assert same(simhash.keep_one(docs)) < len(own)
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", "k")], "item_id long, text string, _d string")
+    assert same(decontaminate.keep_uncontaminated(docs, items)) == len(own) - 2
+    assert simhash.near_duplicates(docs).count() == fingerprint.compared(docs).count() == sharding.assign(docs, [1.0]).count() == len(own)
+    assert tokenfile.read(tokenfile.write(docs, tokenizers.path("word_bpe_49k.json"), files=2)).count() == len(own)
+    assert bpe.digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).count() == len(own)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *[F.col(f"`{c}`") for c in names])
+    assert warc.read(warc.write(pages)).count() == len(own)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", [1.0, 1.0])
+    assert spark.read.parquet(f"file://{tmp_path}/shards").count() == len(own)
+
+
+def test_warc_takes_very_long_addresses(spark):
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * 3_000_000, "p")], "page_id long, url string, html string")
+    row = warc.read(warc.write(pages)).first()
+    assert len(row["url"]) == 3_000_009 and row["payload_bytes"] == 1
+
+
 def test_language(spark, odd, empty, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(common.crc_of_id("doc_id") % 5 != 0))
