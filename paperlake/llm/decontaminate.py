@@ -8,9 +8,13 @@ Items are partitioned by their number of shingles, [2^k, 2^(k+1)). The signature
 is the set of its ``m`` smallest shingle hashes (its bottom-m MinHash), where m follows from
 the largest size u of its partition: ``u - ceil(least * u) + 1``. Whoever lacks all of these
 lacks more than ``1 - least`` of the item, so a document that contains it shares one of them:
-the search loses nothing, however long the document is. Of a document only hashes up to the
-largest one in any signature are looked up. The shingles of the documents found are then
-compared as words with those of the items.
+the search loses nothing, however long the document is.
+
+Each partition prunes on its own. A document with fewer shingles than the share ``least`` of
+its smallest items can't contain any of them and doesn't ask it; others ask it for hashes up
+to the largest in its signatures only, or, if its signatures have few hashes at all (as those
+of one-shingle items, which may lie anywhere), for just these. The shingles of the documents
+found are then compared as words with those of the items.
 
 Everything is DataFrame operations. Rows of one id (null is an id) are one document or item;
 null and empty texts contain nothing and are contained in nothing. Empty tables give no rows.
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.common import named_apart, saved
 
-#: Tables of items up to so many rows are broadcast; larger ones are joined by a shuffle.
+#: Tables of items and candidates up to so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: A partition whose signatures have so many hashes is asked for these by value.
+FEW_HASHES = 256
 
 
 def words(text: Column) -> Column:
@@ -77,6 +83,21 @@ def signatures(shingles: DataFrame, least: float) -> DataFrame:
     return sets.select("item_id", "part", F.explode(F.slice("all", F.lit(1), m.cast("int"))).alias("hash"))
 
 
+def probes(rows: DataFrame, signed: DataFrame, sizes: list[int], least: float) -> DataFrame:
+    """(doc_id, hash): what documents (doc_id, _w) ask the partitions for."""
+    parts = signed.groupBy("part").agg(F.max("hash").alias("highest"), F.countDistinct("hash").alias("n")).collect()  # 64 rows at most
+    few = [r["part"] for r in parts if r["n"] <= FEW_HASHES]
+    values = [r["hash"] for r in signed.where(F.col("part").isin(few)).select("hash").distinct().collect()] if few else []
+    hashes = rows.select("doc_id", _all(sizes, _hashes).alias("_h"))
+    limit = F.lit(-(1 << 63)).cast("long")
+    for r in parts:
+        if r["part"] not in few:
+            need = -int(-(least * (1 << r["part"]) - 1e-9) // 1)
+            limit = F.greatest(limit, F.when(F.size("_h") >= need, F.lit(r["highest"])))
+    asked = lambda h: (h <= F.col("_limit")) | h.isin(values) if values else h <= F.col("_limit")
+    return hashes.withColumn("_limit", limit).select("doc_id", F.explode(F.filter("_h", asked)).alias("hash"))
+
+
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """A row for each document and item it contains: doc_id, item_id, n_shingles (of the
     item), n_found, containment."""
@@ -87,9 +108,10 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     if not sizes:
         return rows.limit(0).crossJoin(shingles.limit(0)).select("doc_id", "item_id", F.col("size").alias("n_shingles"), F.col("size").alias("n_found"), F.lit(0.0).alias("containment"))
     signed = saved(signatures(shingles, least))
-    highest = signed.agg(F.max("hash")).first()[0]
-    probes = rows.select("doc_id", words(F.col("_t")).alias("_w")).select("doc_id", F.explode(F.filter(_all(sizes, _hashes), lambda h: h <= highest)).alias("hash"))
-    candidates = probes.join(near(signed.select("hash").distinct()), "hash", "left_semi").select(F.col("doc_id").alias("_d")).distinct()
+    found = probes(rows.select("doc_id", words(F.col("_t")).alias("_w")), signed, sizes, least)
+    candidates = saved(found.join(near(signed.select("hash").distinct()), "hash", "left_semi").select(F.col("doc_id").alias("_d")).distinct())
+    if candidates.count() <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
     # whole documents again, but only those found
     again = rows.join(candidates, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").select("doc_id", words(F.col("_t")).alias("_w"))
     held = again.select("doc_id", F.explode(F.array_distinct(_all(sizes, _lines))).alias("line"))

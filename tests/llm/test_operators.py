@@ -366,6 +366,31 @@ def test_decontamination(spark, odd, empty):
     assert {r["doc_id"] for r in decontaminate.contained(odd, items).collect()} == {1}
 
 
+@pytest.mark.parametrize("few", [0, 256])
+def test_decontamination_equals_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW_HASHES", few)
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(500)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 5, 6, 8, 20, 70])))) for i in range(60)]
+    docs = []
+    for d in range(120):
+        own = items[rng.randrange(60)][1].split()
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = word()
+        docs.append((d, " ".join([word() for _ in range(rng.randrange(30))] + own + [word() for _ in range(rng.randrange(300))])))
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for i, t in items:
+        w = t.split()
+        own = runs(w, min(5, len(w)))
+        for d, text in docs:
+            found = len(own & runs(text.split(), min(5, len(w))))
+            if found * 5 >= len(own) * 4:
+                want.add((d, i, len(own), found))
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in got} == want and len(want) > 20
+
+
 def test_signatures_lose_nothing():
     rng = random.Random(2)
     for size in range(1, 70):
