@@ -220,11 +220,12 @@ def with_shingles(rows: DataFrame, shingle: int) -> DataFrame:
     return _mapped(rows, "shingles array<long>", lambda texts: [pa.array([runs(words_of(t), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))])
 
 
-def candidates(nodes: DataFrame, hot: int = 32, hubs: int = 4) -> DataFrame:
+def candidates(nodes: DataFrame, hot: int = 8, hubs: int = 2) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, segs) that share a one-wildcard variant of a segment
     and differ in at most ``MOST_DIFFERENT`` bits. A variant of two nodes gives its pair out
-    of the grouped count; in one of more than ``hot`` nodes each meets ``hubs`` of them only,
-    other ones for each variant."""
+    of the grouped count; in one of more than ``hot`` nodes each meets ``hubs`` of them only.
+    These follow one order of all nodes, so in a group of near copies they are the same for
+    most variants, and pairs grow with the group's size, not with its square."""
     keys = [F.lit((s * WIDTH + bit) << 32).cast("long").bitwiseOR(F.get("segs", s).bitwiseAND(F.lit(((1 << WIDTH) - 1) & ~(1 << bit))).cast("long")) for s in range(SEGMENTS) for bit in range(WIDTH)]
     index = spread(nodes.where(F.size("segs") > 0)).select("node", F.explode(F.array(*keys)).alias("key"))
     many = saved(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("c > 1"))
@@ -235,9 +236,8 @@ def candidates(nodes: DataFrame, hot: int = 32, hubs: int = 4) -> DataFrame:
     more = saved(index.join(more, "key"))
     rest, dense = more.where(F.col("c") <= hot), more.where(F.col("c") > hot)
     few = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # the hubs are the smallest by a hash, each as a grouped minimum over its residue
-    part = F.pmod(F.xxhash64("node", "key"), F.lit(hubs))
-    hub = dense.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("h")).select("key", "h.node")
+    # nodes are hashes: the smallest of each residue are the hubs
+    hub = dense.groupBy("key", F.pmod("node", F.lit(hubs)).alias("part")).agg(F.min("node").alias("node")).select("key", "node")
     stars = dense.alias("x").join(hub.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")))
     pairs = two.union(few).union(stars.select(F.least("x.node", "y.node"), F.greatest("x.node", "y.node"))).distinct()
     side = lambda name, segs: nodes.select(F.col("node").alias(name), F.col("segs").alias(segs))
@@ -252,7 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
     return pairs.join(a, "a").join(b, "b").where(common >= least * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
 
-def similar_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 32, hubs: int = 4) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 8, hubs: int = 2) -> tuple[DataFrame, DataFrame]:
     """Two tables: the nodes (node, doc_id, text_hash: its row of the smallest id, nulls last,
     then hash of the text) and the links (a, b) between different nodes whose texts are near
     copies."""
@@ -270,7 +270,7 @@ def similar_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return firsts, saved(verified(pairs, sets, least))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 32, hubs: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 8, hubs: int = 2) -> DataFrame:
     """``docs`` with one row of each component of near copies: that of its smallest doc_id, so
     one without an id stays only if all have none; of equal rows one stays. Null and empty
     texts and those of white space are copies of each other. Extra columns may have any names;
