@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sides of up to so many rows are broadcast after they were counted.
@@ -22,6 +27,40 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows, which is checked by counting up to the
-    bound; else as it is, so that the join shuffles."""
+    """``df``, a table or columns of one, with a broadcast hint if it has few rows, which is
+    checked by counting up to the bound; else as it is, so that the join shuffles. What has to
+    be computed first goes through ``kept``, or the count would compute it a second time."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def light(df: DataFrame, text: str = "text", most: int = 32 << 20) -> bool:
+    """Whether the texts of a table have few bytes, so that what follows from each of their
+    words is small too."""
+    return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= most
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share. Only
+    where a session on one machine has none (tests) a temporary one is made."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written to the shared folder and read again, so that all that use it compute it
+    once and a lost executor costs a reread."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

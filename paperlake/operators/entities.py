@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import blank, dedup_key, mentions, sentences
@@ -87,14 +87,18 @@ def rule_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def rule_relations(docs: DataFrame, key: str, text: str = "text", most: int = 12) -> DataFrame:
     """(key, src, rel, dst, ev): pairs of trigger names in one sentence that hints at a
-    relation, in order of sentences and names, ``most`` a text."""
-    sentences = docs.select(key, F.posexplode(sentences(F.col(text))).alias("no", "s"))
+    relation, in order of sentences and names. A text's search stops after the first name with
+    which it has ``most`` pairs, repeats counted; each pair is given once."""
+    rows = docs.select(key, F.posexplode(sentences(F.col(text))).alias("no", "s"))
     rel = F.coalesce(*[F.when(F.col("s").rlike(f"(?iu){p}"), F.lit(r)) for r, p in HINTS])
-    sentences = sentences.withColumn("rel", rel).where("rel is not null").withColumn("id", F.xxhash64(key, "no"))
-    found = rule_entities(sentences.select(F.struct(key, "no", "s", "rel").alias("k"), F.col("s").alias("t")), "k", "t")
+    rows = rows.withColumn("rel", rel).where("rel is not null")
+    found = rule_entities(rows.select(F.struct(key, "no", "s", "rel").alias("k"), F.col("s").alias("t")), "k", "t")
     pairs = found.alias("a").join(found.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.ord") != F.col("b.ord")))
     rows = pairs.select(F.col(f"a.k.{key}").alias(key), F.col("a.k.no").alias("no"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.col("a.name").alias("src"), F.col("a.k.rel").alias("rel"), F.col("b.name").alias("dst"), F.left(F.col("a.k.s"), F.lit(160)).alias("ev"))
-    first = top(rows, [key, "src", "rel", "dst"], [F.asc("no"), F.asc("i"), F.asc("j")], 1, "_d")
+    order = [F.asc("no"), F.asc("i"), F.asc("j")]
+    raw = top(rows, [key], order, most + len(TRIGGERS), "_n")
+    begun = raw.withColumn("_first", F.min("_n").over(Window.partitionBy(key, "no", "i"))).where(F.col("_first") <= most)
+    first = top(begun, [key, "src", "rel", "dst"], order, 1, "_d")
     return top(first, [key], [F.asc("no"), F.asc("i"), F.asc("j")], most, "_r").select(key, "src", "rel", "dst", "ev")
 
 

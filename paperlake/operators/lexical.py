@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import expanded, tokens
-from paperlake.operators.common import micro, small, top
+from paperlake.operators.common import kept, light, micro, top
+
+#: Terms up to so many are broadcast to their postings.
+BROADCAST_TERMS = 500_000
 
 
 def postings(docs: DataFrame, key: str, text: str = "text", words=tokens) -> DataFrame:
@@ -32,35 +37,66 @@ def norms(weights: DataFrame, key: str) -> DataFrame:
     return n.withColumn("norm", F.when(F.col("norm") == 0, F.lit(1.0)).otherwise(F.col("norm")))
 
 
-def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+@dataclass
+class Index:
+    """Postings (key, term, tf) and idf (term, df, idf) in the shared folder. ``terms``: how
+    many different ones there are; up to ``BROADCAST_TERMS`` go to the postings."""
+
+    key: str
+    posts: DataFrame
+    idf: DataFrame
+    terms: int
+
+    def idf_near(self) -> DataFrame:
+        return F.broadcast(self.idf) if self.terms <= BROADCAST_TERMS else self.idf
+
+
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", words=tokens) -> Index:
+    """Reads the texts once; all rankings over one index share it."""
+    posts = kept(postings(docs, key, text, words), "postings")
+    idf = kept(idf_table(posts, docs.agg(F.count("*").alias("n"))), "idf")
+    return Index(key, posts, idf, idf.count())
+
+
+def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc: str = "doc_id", query: str = "item_id", at: Index | None = None) -> DataFrame:
     """(query, rank, doc, score_micro): the k documents of the highest cosine. Documents that
-    share no term with a query score 0 and are not listed."""
-    posts = postings(docs, doc)
-    idf = idf_table(posts, docs.agg(F.count("*").alias("n")))
-    weights = weighted(posts, idf)
-    asked = weighted(postings(queries, query), idf, F.ln(F.lit(2.0)) + 1)
-    # only postings of query terms meet the queries; queries are few or shuffled by term
-    dots = weights.select(doc, "term", F.col("w").alias("dw")).join(small(asked.select(query, "term", F.col("w").alias("qw"))), "term")
-    dots = dots.groupBy(query, doc).agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms(weights, doc), doc).join(small(norms(asked, query).withColumnRenamed("norm", "qnorm")), query)
+    share no term with a query score 0 and are not listed. ``at``: the documents' index, if
+    there is one."""
+    at = at or index(docs, doc)
+    asked = postings(queries, query).join(at.idf.select("term", "idf"), "term", "left")
+    asked = asked.withColumn("idf", F.coalesce("idf", F.ln(F.lit(2.0)) + 1)).withColumn("qw", (1 + F.ln("tf")) * F.col("idf")).select(query, "term", "qw", "idf")
+    asked = kept(asked, "asked")
+    near = F.broadcast if light(queries) else (lambda df: df)
+    # only postings of query terms are weighted for products; all of them count for the norms
+    dots = at.posts.join(near(asked), "term").groupBy(query, doc).agg(F.sum((1 + F.ln("tf")) * F.col("idf") * F.col("qw")).alias("dot"))
+    norm = norms(weighted(at.posts, at.idf_near()), doc)
+    asked_norm = asked.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm")).withColumn("qnorm", F.when(F.col("qnorm") == 0, F.lit(1.0)).otherwise(F.col("qnorm")))
+    scored = dots.join(norm, doc).join(near(asked_norm), query)
     scored = scored.select(query, doc, micro(F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score_micro"))
     return top(scored, [query], [F.desc("score_micro"), F.asc(doc)], k).select(query, "rank", doc, "score_micro")
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "item_id", k1: float = 1.2, b: float = 0.75, most_terms: int = 24) -> DataFrame:
+def low_expanded(c: Column) -> Column:
+    return F.transform(expanded(c), F.lower)
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "item_id", k1: float = 1.2, b: float = 0.75, most_terms: int = 24, posts: DataFrame | None = None) -> DataFrame:
     """(query, rank, doc, score_micro). Terms are index tokens; a query is its first
     ``most_terms`` of them, repeats counted once; n and the mean length are those of all
-    documents; an idf under 1e-6 is 1e-6."""
-    low = lambda c: F.transform(expanded(c), F.lower)
-    asked = queries.select(query, F.explode(F.array_distinct(F.slice(low(F.col("text")), 1, most_terms))).alias("term"))
-    lengths = docs.select(doc, F.size(expanded(F.col("text"))).alias("len"))
-    facts = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    posts = postings(docs, doc, words=low).join(small(asked.select("term").distinct()), "term", "left_semi")
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))
-    idf = df.select("term", F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), "mean")
-    hits = posts.join(lengths, doc).join(small(asked.join(idf, "term")), "term")
-    value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = hits.groupBy(query, doc).agg(micro(F.sum(value)).alias("score_micro"))
+    documents; an idf under 1e-6 is 1e-6. ``posts``: the postings of these tokens, if there
+    are any."""
+    posts = kept(postings(docs, doc, words=low_expanded), "postings") if posts is None else posts
+    near = F.broadcast if light(queries) else (lambda df: df)
+    asked = queries.select(query, F.explode(F.array_distinct(F.slice(low_expanded(F.col("text")), 1, most_terms))).alias("term"))
+    n = docs.count()
+    lengths = posts.groupBy(doc).agg(F.sum("tf").alias("len"))
+    mean = (posts.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
+    hits = posts.join(near(asked.select("term").distinct()), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", F.greatest(F.lit(1e-6), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    rows = hits.join(near(asked.join(idf, "term")), "term").join(lengths, doc)
+    value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
+    scored = rows.groupBy(query, doc).agg(micro(F.sum(value)).alias("score_micro"))
     return top(scored, [query], [F.desc("score_micro"), F.asc(doc)], k).select(query, "rank", doc, "score_micro")
 
 
@@ -99,9 +135,9 @@ def blend_scores(pairs: DataFrame, idf: DataFrame, claim: str = "claim", source:
 
 
 def confidence(query: Column, contents: Column) -> Column:
-    """The share of the query's first 12 index tokens of two characters or more that occur in
-    the joined contents of the highest hits."""
-    words = F.slice(F.filter(F.transform(expanded(query), F.lower), lambda t: F.length(t) >= 2), 1, 12)
+    """The share of the query's first 12 words of two characters or more (repeats counted) that
+    occur in the joined contents of the highest hits."""
+    words = F.slice(F.filter(tokens(query), lambda t: F.length(t) >= 2), 1, 12)
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda t: F.contains(F.lower(contents), t))) / F.size(words))
 
 

@@ -32,9 +32,9 @@ def importance(kind: Column, content: Column) -> Column:
 
 
 def recency(last_access: Column, created_at: Column, as_of: Column, half_life_h: float = 168.0) -> Column:
-    """0.5 to the age in half lives; times are epoch seconds, a stored 0 counts as none."""
+    """0.5 to the age in half lives, four digits; times are epoch seconds, a stored 0 counts as none."""
     seen = F.coalesce(F.nullif(last_access, F.lit(0.0)), F.nullif(created_at, F.lit(0.0)), as_of)
-    return F.pow(F.lit(0.5), F.greatest(F.lit(0.0), (as_of - seen) / 3600.0) / half_life_h)
+    return F.round(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), (as_of - seen) / 3600.0) / half_life_h), 4)
 
 
 def boost(hits: Column) -> Column:
@@ -49,7 +49,8 @@ def final_score(relevance: Column, imp: Column, rec: Column, boosted: Column | f
 def hybrid(lexical: DataFrame, semantic: DataFrame, notes: DataFrame, query: str, key: str, limit: int = 80) -> DataFrame:
     """Fuses two ranked lists. ``lexical``: (query, key, rank, trust of the query); ``semantic``:
     (query, key, rank). Trust under .5 keeps 12 of each list, else max(limit, 40); vectors
-    weigh 1 - trust (two digits) if that is over .05. ``notes``: (key, imp, rec, hits)."""
+    weigh 1 - trust (two digits) if that is over .05. ``notes``: (key, imp, rec, hits); what
+    doesn't come from relevance counts by trust, and so does the lift of preferred terms."""
     pool = max(limit, 40)
     room = F.when(F.col("trust") < 0.5, 12).otherwise(pool)
     trusts = lexical.select(query, "trust").distinct()
@@ -58,8 +59,8 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, notes: DataFrame, query: str
     b = b.where((F.col("rank") <= room) & (F.col("weight") > 0.05)).select(query, key, "rank", "weight")
     fused = minmax(rrf(a.unionByName(b), query, key).withColumn("rrf", F.round("rrf", 12)), query, "rrf", "rel")
     joined = fused.join(notes, key).join(trusts, query, "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
-    lifted = 1 + (boost(F.col("hits")) - 1) * (1 - F.col("trust"))
-    scored = joined.withColumn("score_micro", micro(final_score(F.col("rel"), F.col("imp"), F.col("rec"), lifted)))
+    lifted = 1 + (boost(F.col("hits")) - 1) * F.col("trust")
+    scored = joined.withColumn("score_micro", micro(final_score(F.col("rel"), F.col("imp"), F.col("rec"), lifted, F.col("trust"))))
     return top(scored, [query], [F.desc("score_micro"), F.asc(key)], limit).select(query, "rank", key, "score_micro")
 
 

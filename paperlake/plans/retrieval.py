@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
 from paperlake.operators import evaluate, lexical, memory, ranking, vectors
-from paperlake.operators.common import micro, small, top
+from paperlake.operators.common import kept, micro, small, top
 from paperlake.plans.tables import query, table
 
 TOKENS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9一-鿿]+(?:[-_][A-Za-z0-9一-鿿]+)*'), lambda t: lower(t))"
@@ -74,27 +74,31 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{BM25}, t3 AS (SELECT item_id, string_agg(text, ' ' ORDER BY rank) AS blob FROM b JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1),
-w AS (SELECT item_id, list_filter({expd('text')}, lambda x: length(x) >= 2)[1:12] AS k FROM benchmark),
+w AS (SELECT item_id, list_filter({toks('text')}, lambda x: length(x) >= 2)[1:12] AS k FROM benchmark),
 c AS (SELECT item_id, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_filter(k, lambda x: contains(lower(coalesce(blob, '')), x))) / len(k)::DOUBLE END AS conf FROM w LEFT JOIN t3 USING (item_id))
 SELECT item_id, CAST(floor(conf * 1e6 + 0.5) AS BIGINT) AS conf_micro, CAST(floor(greatest(0.0, least(1.0, (conf - 0.6) / 0.4)) * 1e6 + 0.5) AS BIGINT) AS trust_micro FROM c""")
 def lexical_confidence_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    best = lexical.bm25_topk(docs, items, 3)
-    blobs = docs.join(small(best), "doc_id").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]), " ").alias("blob"))
-    c = lexical.confidence(F.col("text"), F.coalesce("blob", F.lit("")))
-    rows = items.join(blobs, "item_id", "left").select("item_id", c.alias("c"))
+    rows = _confidence(docs, items, lexical.bm25_topk(docs, items, 3))
     return rows.select("item_id", micro(F.col("c")).alias("conf_micro"), micro(lexical.trust(F.col("c"))).alias("trust_micro"))
 
 
+def _confidence(docs: DataFrame, items: DataFrame, best: DataFrame) -> DataFrame:
+    """(item_id, c) from the three best lexical hits of each item."""
+    best = small(kept(best.where("rank <= 3").select("item_id", "rank", "doc_id"), "best"))
+    blobs = docs.join(best, "doc_id").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]), " ").alias("blob"))
+    return items.join(blobs, "item_id", "left").select("item_id", lexical.confidence(F.col("text"), F.coalesce("blob", F.lit(""))).alias("c"))
+
+
 PAIRS = f"""{TFIDF}, p AS (SELECT item_id, doc_id, b.text AS claim, x.text AS source FROM r JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id) WHERE rank <= 3),
 ct AS (SELECT item_id, doc_id, t AS term, count(*) AS ctf FROM (SELECT item_id, doc_id, unnest({toks('claim')}) AS t FROM p) GROUP BY ALL),
 st AS (SELECT item_id, doc_id, t AS term, count(*) AS stf FROM (SELECT item_id, doc_id, unnest({toks('source')}) AS t FROM p) GROUP BY ALL),
 j AS (SELECT * FROM ct FULL JOIN st USING (item_id, doc_id, term))"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, at: lexical.Index | None = None) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = lexical.tfidf_topk(docs, items, 3).select("item_id", "doc_id")
+    found = kept(lexical.tfidf_topk(docs, items, 3, at=at).select("item_id", "doc_id"), "found")
     return docs.select("doc_id", F.col("text").alias("source")).join(small(found), "doc_id").join(small(items.select("item_id", F.col("text").alias("claim"))), "item_id")
 
 
@@ -103,7 +107,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
  count(CASE WHEN ctf IS NOT NULL AND stf IS NOT NULL THEN 1 END) / count(ctf)::DOUBLE AS share FROM j GROUP BY 1, 2)
 SELECT item_id, doc_id, CAST(floor(least(1.0, 0.65 * dot / (cn * sn) + 0.35 * share) * 1e6 + 0.5) AS BIGINT) AS score_micro FROM g""")
 def tfidf_pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("/", "item_id", "doc_id"))
+    pairs = kept(_pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("/", "item_id", "doc_id")), "pairs")
     return lexical.pair_scores(pairs).select("item_id", "doc_id", micro(F.col("score")).alias("score_micro"))
 
 
@@ -113,10 +117,9 @@ g AS (SELECT item_id, doc_id, sum(CASE WHEN ctf IS NOT NULL AND stf IS NOT NULL
 b AS (SELECT item_id, doc_id, least(1.0, (0.25 * dot / (cn * sn) + 0.75 * share) * CASE WHEN words < 6 THEN 0.7 ELSE 1 END) AS x FROM g)
 SELECT item_id, doc_id, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS blend_micro, CASE WHEN x < 0.35 THEN 'UNVERIFIED' WHEN x < 0.82 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS band FROM b""")
 def blend_score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    idf = lexical.idf_table(lexical.postings(docs, "doc_id"), docs.agg(F.count("*").alias("n")))
-    pairs = _pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("/", "item_id", "doc_id"))
-    scored = lexical.blend_scores(pairs, idf)
+    at = lexical.index(table(spark, sf_dir, "documents"))
+    pairs = kept(_pairs(spark, sf_dir, at).withColumn("pair_id", F.concat_ws("/", "item_id", "doc_id")), "pairs")
+    scored = lexical.blend_scores(pairs, at.idf_near())
     band = F.when(F.col("blend") < 0.35, "UNVERIFIED").when(F.col("blend") < 0.82, "NEEDS_REVIEW").otherwise("PASS")
     return scored.select("item_id", "doc_id", micro(F.col("blend")).alias("blend_micro"), band.alias("band"))
 
@@ -208,23 +211,37 @@ def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequential fold; tested against a plain loop."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pool = lexical.bm25_topk(docs, items, 12).select("item_id", "doc_id", (F.col("rank") - 1).alias("position"))
+    pool = kept(lexical.bm25_topk(docs, items, 12).select("item_id", "doc_id", (F.col("rank") - 1).alias("position")), "pool")
     chosen = docs.join(small(pool.select("doc_id").distinct()), "doc_id", "left_semi")
     words = memory.keywords(chosen, "doc_id").groupBy("doc_id").agg(F.collect_list("term").alias("keywords"))
     return ranking.mmr(pool.join(words, "doc_id"), "item_id", "doc_id", 6)
 
 
-@query(f"""{FUSED}, c AS (SELECT item_id, 0.25 AS trust FROM benchmark),
-a1 AS (SELECT item_id, doc_id, rank, 1.0 AS weight FROM b WHERE rank <= 12 UNION ALL SELECT item_id, doc_id, rank, 0.75 FROM r WHERE rank <= 12),
-f1 AS (SELECT item_id, doc_id, round(sum(weight / (60 + rank)), 12) AS rrf FROM a1 GROUP BY 1, 2),
+def said(names: list[str], text: str) -> str:
+    """How many of ``names`` a text mentions between non-letters, in SQL."""
+    return " + ".join(f"CASE WHEN regexp_matches(lower({text}), '(^|[^a-z0-9]){n}($|[^a-z0-9])') THEN 1 ELSE 0 END" for n in names)
+
+
+@query(f"""{FUSED}, t3 AS (SELECT item_id, string_agg(text, ' ' ORDER BY rank) AS blob FROM b JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1),
+w3 AS (SELECT item_id, list_filter({toks('text')}, lambda x: length(x) >= 2)[1:12] AS k FROM benchmark),
+c AS (SELECT item_id, greatest(0.0, least(1.0, (CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_filter(k, lambda x: contains(lower(coalesce(blob, '')), x))) / len(k)::DOUBLE END - 0.6) / 0.4)) AS trust FROM w3 LEFT JOIN t3 USING (item_id)),
+a1 AS (SELECT item_id, doc_id, rank, 1.0 AS weight, trust FROM b JOIN c USING (item_id) WHERE rank <= CASE WHEN trust < 0.5 THEN 12 ELSE 80 END
+ UNION ALL SELECT item_id, doc_id, rank, round_even(1 - trust, 2), trust FROM r JOIN c USING (item_id) WHERE rank <= CASE WHEN trust < 0.5 THEN 12 ELSE 80 END AND round_even(1 - trust, 2) > 0.05),
+f1 AS (SELECT item_id, doc_id, trust, round(sum(weight / (60 + rank)), 12) AS rrf FROM a1 GROUP BY 1, 2, 3),
 m1 AS (SELECT *, min(rrf) OVER (PARTITION BY item_id) AS lo, max(rrf) OVER (PARTITION BY item_id) AS hi FROM f1),
-s1 AS (SELECT item_id, doc_id, (0.8 * (rrf - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + (0.12 * CASE WHEN regexp_matches(text, '[0-9]') THEN 0.6 ELSE 0.55 END + 0.08 * 0.5)) AS x FROM m1 JOIN documents USING (doc_id)),
-k1 AS (SELECT item_id, doc_id, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score_micro FROM s1)
-SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score_micro DESC, doc_id) AS INTEGER) AS rank, doc_id, score_micro FROM k1""")
+h1 AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 0.6 ELSE 0.55 END AS imp, round(pow(0.5, greatest(0.0, ({AS_OF} - (1700000000.0 + (doc_id % 1000) * 100000.0)) / 3600.0) / 168.0), 4) AS rec, {said(PREFERRED, 'text')} AS hits FROM documents),
+s1 AS (SELECT item_id, doc_id, (0.8 * (rrf - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + trust * (0.12 * imp + 0.08 * rec)) * (1 + 0.2 * least(1.0, hits / 2.0) * trust) AS x FROM m1 JOIN h1 USING (doc_id)),
+k1 AS (SELECT item_id, doc_id, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score_micro FROM s1), o1 AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score_micro DESC, doc_id) AS INTEGER) AS rank, doc_id, score_micro FROM k1)
+SELECT * FROM o1 WHERE rank <= 80""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 as the lexical list and TF-IDF in the place of the vector list, trust .25."""
+    """BM25 as the lexical list and TF-IDF in the place of the vector list; trust from the three
+    best lexical hits; times of access follow from ids, as documents have none."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    lexic = lexical.bm25_topk(docs, items, 40).withColumn("trust", F.lit(0.25))
-    near = lexical.tfidf_topk(docs, items, 40)
-    notes = docs.select("doc_id", ranking.importance(F.lit("document"), F.col("text")).alias("imp"), F.lit(0.5).alias("rec"), F.lit(0).alias("hits"))
-    return ranking.hybrid(lexic, near, notes, "item_id", "doc_id", 80)
+    lexic = kept(lexical.bm25_topk(docs, items, 80), "lexical")
+    near = kept(lexical.tfidf_topk(docs, items, 80), "near")
+    trust = _confidence(docs, items, lexic).select("item_id", lexical.trust(F.col("c")).alias("trust"))
+    hits = sum(F.when(X.mentions(F.col("text"), F.lit(n)), 1).otherwise(0) for n in PREFERRED)
+    rec = ranking.recency(F.lit(None).cast("double"), F.lit(1.7e9) + (F.col("doc_id") % 1000) * 100_000.0, F.lit(AS_OF))
+    wanted = small(kept(lexic.select("doc_id").union(near.select("doc_id")).distinct(), "wanted"))
+    notes = docs.join(wanted, "doc_id", "left_semi").select("doc_id", ranking.importance(F.lit("document"), F.col("text")).alias("imp"), rec.alias("rec"), hits.alias("hits"))
+    return ranking.hybrid(lexic.join(trust, "item_id"), near, notes, "item_id", "doc_id", 80)

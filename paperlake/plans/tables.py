@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperlake.operators.common import shared_dir as ensure_checkpoints, shared_path  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -45,22 +47,3 @@ def values(data: list[tuple], names: str) -> str:
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in data) + f") AS v({names}))"
-
-
-def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where unset."""
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{ensure_checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
