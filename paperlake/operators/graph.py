@@ -87,13 +87,40 @@ def should_link(a, b, least: float = 0.28):
 
 def link_candidates(notes: DataFrame, most: int = 12, terms: int = 6) -> DataFrame:
     """(id, other): earlier notes that share one of a note's first keywords, ``most`` for each
-    note by id. Blocking is an equi-join on the keyword; as the smallest ids count,
-    ``most`` notes of a keyword are all it can give to any note, however many hold it."""
+    note by id; only those that can be found and are no entities, where the table says so
+    (status, invalid_at, kind). A note of two keywords or more that meets none gets the
+    ``most`` newest before it.
+
+    Blocking is an equi-join on the keyword; as the smallest ids count, ``most`` notes of a
+    keyword are all it can give to any note, however many hold it. The newest before a note
+    are those of the same block of ids or the one before, blocks being of ``most`` notes."""
+    from paperlake.operators.memory import retrievable
+
+    found = notes
+    if {"status", "invalid_at"} <= set(notes.columns):
+        found = found.where(retrievable())
+    if "kind" in notes.columns:
+        found = found.where("kind <> 'entity'")
     first = notes.select("id", F.explode(F.slice("keywords", 1, terms)).alias("w")).withColumn("w", F.lower("w")).distinct()
-    every = notes.select(F.col("id").alias("other"), F.explode("keywords").alias("w")).withColumn("w", F.lower("w")).distinct()
+    every = found.select(F.col("id").alias("other"), F.explode("keywords").alias("w")).withColumn("w", F.lower("w")).distinct()
     every = top(every, ["w"], [F.asc("other")], most).drop("rank")
     pairs = first.join(every, "w").where("other < id").select("id", "other").distinct()
-    return top(pairs, ["id"], [F.asc("other")], most).drop("rank")
+    met = top(pairs, ["id"], [F.asc("other")], most).drop("rank")
+    alone = notes.where(F.size("keywords") >= 2).select("id").join(met.select("id"), "id", "left_anti")
+    return met.unionByName(newest_before(alone, notes.select(F.col("id").alias("other")), most))
+
+
+def newest_before(asking: DataFrame, notes: DataFrame, most: int) -> DataFrame:
+    """(id, other): for each id the ``most`` largest of ``notes`` (other) under it. Ids are cut
+    into ranges of at most a few thousand notes by quantiles; a note looks at its own range and
+    the one before, which holds ``most`` notes or more."""
+    n = notes.count()
+    size = max(1, min(4096, n // max(2 * most, 64)))
+    cuts = sorted(set(notes.agg(F.percentile_approx("other", [i / size for i in range(1, size)] or [0.5], 100 * size)).first()[0] or []))
+    place = lambda c: F.size(F.filter(F.lit(cuts), lambda x: x <= c)) if cuts else F.lit(0)
+    near = asking.withColumn("_r", place(F.col("id"))).select("id", F.explode(F.array(F.col("_r"), F.col("_r") - 1)).alias("_r"))
+    rows = near.join(notes.withColumn("_r", place(F.col("other"))), "_r").where("other < id").select("id", "other")
+    return top(rows, ["id"], [F.desc("other")], most).drop("rank")
 
 
 def link_notes(notes: DataFrame, candidates: DataFrame, forward: int = 6, backward: int = 24, least: float = 0.28) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperlake.functions.text import blank, keyword_tokens, location, sentence_spans
 from paperlake.operators.common import top
 
+# fixed values: the shape of a citation
 CITATION = r"(?i)[\[【]\s*ref\s*[:：]\s*([^,\]】，]+?)\s*[,，]\s*([^\]】]+?)\s*[\]】]"
 
 

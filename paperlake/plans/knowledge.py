@@ -127,8 +127,8 @@ def note_links(docs: DataFrame) -> DataFrame:
 
 @query()
 def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of all documents by the rule of notes; 12 candidates and 6 links from a note
-    are the reference's, and no links to a note are dropped. SQL would repeat five operators; brute force tests it."""
+    """Links of all documents by the rule of notes, with its 12 candidates and 6 links from a
+    note; no links to a note are dropped. SQL would repeat five operators; brute force tests it."""
     from paperlake.plans.tables import ensure_checkpoints
 
     ensure_checkpoints(spark)

@@ -174,7 +174,7 @@ def profile_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'claim' WHEN 'assistant' THEN '方法' ELSE 'note' END AS kind, text FROM conversations),
 a AS (SELECT user_id, max(epoch(ts)) AS last FROM events GROUP BY 1),
-s AS (SELECT conv_id, turn, least(1.0, CASE kind WHEN 'claim' THEN 0.9 WHEN '方法' THEN 0.7 ELSE 0.3 END + CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 0.05 ELSE 0 END) AS imp, pow(0.5, greatest(0.0, (1800000000.0 - coalesce(last, 1800000000.0)) / 3600.0) / 168.0) AS rec FROM c LEFT JOIN a ON conv_id = user_id)
+s AS (SELECT conv_id, turn, least(1.0, CASE kind WHEN 'claim' THEN 0.9 WHEN '方法' THEN 0.7 ELSE 0.3 END + CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 0.05 ELSE 0 END) AS imp, round(pow(0.5, greatest(0.0, (1800000000.0 - coalesce(last, 1800000000.0)) / 3600.0) / 168.0), 4) AS rec FROM c LEFT JOIN a ON conv_id = user_id)
 SELECT conv_id, turn, CAST(floor(imp * 1e3 + 0.5) AS BIGINT) AS imp_milli, CAST(floor((0.8 * 0.5 + 0.12 * imp + 0.08 * rec) * 1e6 + 0.5) AS BIGINT) AS score_micro FROM s""")
 def importance_recency_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("role") == "user", "claim").when(F.col("role") == "assistant", "方法").otherwise("note")

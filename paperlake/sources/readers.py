@@ -36,38 +36,53 @@ def pages_quality(pages: DataFrame) -> DataFrame:
     return rows.select("paper_id", "rate", route.alias("route"), "low_pages")
 
 
+def _page(df: DataFrame) -> list[str]:
+    """What tells pages apart: the page, and the paper if the table has one."""
+    return [c for c in ("paper_id", "page") if c in df.columns]
+
+
 def ocr_pages(words: DataFrame) -> DataFrame:
-    """(page, text, confidence) of OCR words (page, no, block, par, line, conf, word): a new
-    line starts where block, paragraph or line changes."""
-    by = Window.partitionBy("page").orderBy("no")
+    """(paper_id if there is one, page, text, confidence) of OCR words (page, no, block, par,
+    line, conf, word): a new line starts where block, paragraph or line changes."""
+    key = _page(words)
+    by = Window.partitionBy(*key).orderBy("no")
     place = F.struct("block", "par", "line")
     rows = words.where("word is not null and trim(word) <> ''").withColumn("_new", F.lag(place).over(by).isNotNull() & ~F.lag(place).over(by).eqNullSafe(place))
     piece = F.concat(F.when(F.col("_new"), "\n").when(F.lag("no").over(by).isNull(), "").otherwise(" "), F.trim("word"))
     rows = rows.withColumn("piece", piece)
-    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "piece"))), lambda s: s["piece"]), "").alias("text"), (F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) / 100).alias("confidence"))
+    return rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "piece"))), lambda s: s["piece"]), "").alias("text"), (F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) / 100).alias("confidence"))
+
+
+def ocr_accepted(pages: DataFrame, least_pages: float = 0.9, least: float = 0.5) -> DataFrame:
+    """(paper_id, pages, read, confidence, accepted): a paper's OCR counts if ``least_pages`` of
+    its pages gave text and their mean confidence is ``least``."""
+    seen = F.trim(F.coalesce("text", F.lit(""))) != ""
+    g = pages.groupBy("paper_id").agg(F.count("*").alias("pages"), F.count_if(seen).alias("read"), F.avg(F.when(seen, F.coalesce("confidence", F.lit(0.0)))).alias("confidence"))
+    return g.withColumn("accepted", (F.col("read") >= least_pages * F.col("pages")) & (F.coalesce("confidence", F.lit(0.0)) >= least))
 
 
 def captions(lines: DataFrame) -> DataFrame:
-    """(page, no, item, caption): lines that begin with a figure or table number; a punctuated
-    one displaces bare ones of the same item."""
+    """(paper_id if there is one, page, no, item, caption): lines that begin with a figure or
+    table number; a punctuated one displaces bare ones of the same item on its page."""
     from paperlake.functions.text import normal_item
 
     pattern = r"(?i)^\s*((?:fig(?:ure)?|tab(?:le)?)\.?\s*\d+|[图表]\s*\d+)\s*([.:：|]?)\s*(.*)$"
     rows = lines.withColumn("head", F.regexp_extract("line", pattern, 1)).where("head <> ''")
     rows = rows.withColumn("item", normal_item(F.regexp_replace("head", r"\.", " "))).withColumn("strong", F.regexp_extract("line", pattern, 2) != "")
-    return rows.withColumn("any", F.max("strong").over(Window.partitionBy("item"))).where(F.col("strong") | ~F.col("any")).select("page", "no", "item", F.trim("line").alias("caption"))
+    return rows.withColumn("any", F.max("strong").over(Window.partitionBy(*_page(lines), "item"))).where(F.col("strong") | ~F.col("any")).select(*_page(lines), "no", "item", F.trim("line").alias("caption"))
 
 
 def nearest_captions(boxes: DataFrame, captions_: DataFrame, farthest: float = 180.0) -> DataFrame:
-    """(page, box_id, item): for each box (page, box_id, x0, y0, x1, y1) the caption (page, item,
+    """(paper_id if there is one, page, box_id, item): for each box (page, box_id, x0, y0, x1, y1) the caption (page, item,
     x0..y1) of the least gap + 120 (1 - overlap) + .05 centre distance on its page."""
-    c = captions_.select(F.col("page").alias("_p"), "item", *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
+    key = _page(boxes)
+    c = captions_.select(*key, "item", *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
     gap = F.greatest(F.lit(0.0), F.col("cy0") - F.col("y1"), F.col("y0") - F.col("cy1"))
     width = F.least(F.col("x1") - F.col("x0"), F.col("cx1") - F.col("cx0"))
     share = F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.least("x1", "cx1") - F.greatest("x0", "cx0")), width), F.lit(0.0))
     centre = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("cx0") + F.col("cx1")) / 2)
-    rows = boxes.join(c, F.col("page") == F.col("_p")).withColumn("cost", gap + 120 * (1 - share) + 0.05 * centre).where(gap <= farthest)
-    return rows.groupBy("page", "box_id").agg(F.min_by("item", F.struct("cost", "item")).alias("item"))
+    rows = boxes.join(c, key).withColumn("cost", gap + 120 * (1 - share) + 0.05 * centre).where(gap <= farthest)
+    return rows.groupBy(*key, "box_id").agg(F.min_by("item", F.struct("cost", "item")).alias("item"))
 
 
 def json_rows(spark: SparkSession, path: str, schema: T.StructType | str, unique: str | None = None) -> DataFrame:

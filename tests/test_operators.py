@@ -168,3 +168,29 @@ def test_streaming(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
     calls = spark.createDataFrame([("e", i, at, s) for i, (at, s) in enumerate([(0.0, 200), (1.0, 503), (50.0, 200), (122.0, 404), (123.0, 200)])], "endpoint string, call_id long, at double, status int")
     assert [r["allowed"] for r in ingest.breaker(calls).orderBy("call_id").collect()] == [True, True, False, True, True]
+
+
+def test_captions_are_told_apart_by_page_and_paper(spark):
+    lines = spark.createDataFrame([("p", 1, 0, "Figure 2 bare"), ("p", 1, 1, "Figure 2: good"), ("p", 2, 0, "Figure 2 bare here"), ("q", 1, 0, "Fig 2 of q")], "paper_id string, page int, no int, line string")
+    assert {(r["paper_id"], r["page"], r["caption"]) for r in readers.captions(lines).collect()} == {("p", 1, "Figure 2: good"), ("p", 2, "Figure 2 bare here"), ("q", 1, "Fig 2 of q")}
+    boxes = spark.createDataFrame([("p", 1, 0, 0.0, 0.0, 10.0, 10.0), ("q", 1, 0, 0.0, 0.0, 10.0, 10.0)], "paper_id string, page int, box_id int, x0 double, y0 double, x1 double, y1 double")
+    caps = spark.createDataFrame([("p", 1, "fig1", 0.0, 12.0, 10.0, 14.0), ("q", 1, "fig9", 0.0, 90.0, 10.0, 92.0), ("q", 1, "fig8", 0.0, 20.0, 10.0, 22.0)], "paper_id string, page int, item string, x0 double, y0 double, x1 double, y1 double")
+    assert {(r["paper_id"], r["item"]) for r in readers.nearest_captions(boxes, caps).collect()} == {("p", "fig1"), ("q", "fig8")}
+
+
+def test_ocr_acceptance(spark):
+    pages = spark.createDataFrame([("a", f"t{i}", 0.6) for i in range(9)] + [("a", "", 0.0)] + [("b", "t", 0.4)] + [("c", None, None), ("c", "t", 0.9)], "paper_id string, text string, confidence double")
+    assert {r["paper_id"]: r["accepted"] for r in readers.ocr_accepted(pages).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_links_leave_out_what_cannot_be_found(spark):
+    rows = [(1, ["alpha"], "active", None, "claim"), (2, ["alpha"], "candidate", None, "claim"), (3, ["alpha"], "active", 1.0, "claim"), (4, ["alpha"], "active", None, "entity"), (5, ["alpha", "x"], "active", None, "claim"), (6, ["none", "at"], "active", None, "claim"), (7, ["one"], "active", None, "claim")]
+    notes = spark.createDataFrame(rows, "id long, keywords array<string>, status string, invalid_at double, kind string")
+    got = {(r["id"], r["other"]) for r in graph.link_candidates(notes, most=2).collect()}
+    assert {g for g in got if g[0] == 5} == {(5, 1)} and {g for g in got if g[0] == 6} == {(6, 5), (6, 4)} and not [g for g in got if g[0] == 7]
+
+
+def test_newest_before_equals_a_loop(spark):
+    ids = list(range(0, 900, 3))
+    got = graph.newest_before(spark.createDataFrame([(i,) for i in ids[::7]], "id long"), spark.createDataFrame([(i,) for i in ids], "other long"), 4)
+    assert {(r["id"], r["other"]) for r in got.collect()} == {(i, o) for i in ids[::7] for o in [x for x in ids if x < i][-4:]}

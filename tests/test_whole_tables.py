@@ -24,6 +24,8 @@ def _note_links(docs):
     for i in sorted(notes):
         k = set(notes[i])
         near = [o for o in sorted(notes) if o < i and set(notes[i][:6]) & set(notes[o])][:12]
+        if not near and len(notes[i]) >= 2:
+            near = [o for o in sorted(notes) if o < i and notes[o]][-12:]
         good = [o for o in near if any(len(w) >= 5 for w in k & set(notes[o])) or len(k & set(notes[o])) >= 2 or len(k & set(notes[o])) / len(k | set(notes[o])) >= 0.28]
         for o in good[:6]:
             to[o].append(i)
