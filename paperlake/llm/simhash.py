@@ -220,29 +220,42 @@ def with_shingles(rows: DataFrame, shingle: int) -> DataFrame:
     return _mapped(rows, "shingles array<long>", lambda texts: [pa.array([runs(words_of(t), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))])
 
 
-def candidates(nodes: DataFrame, hot: int = 8, hubs: int = 2) -> DataFrame:
-    """(a, b): pairs of ``nodes`` (node, segs) that share a one-wildcard variant of a segment
-    and differ in at most ``MOST_DIFFERENT`` bits. A variant of two nodes gives its pair out
-    of the grouped count; in one of more than ``hot`` nodes each meets ``hubs`` of them only.
-    These follow one order of all nodes, so in a group of near copies they are the same for
-    most variants, and pairs grow with the group's size, not with its square."""
-    keys = [F.lit((s * WIDTH + bit) << 32).cast("long").bitwiseOR(F.get("segs", s).bitwiseAND(F.lit(((1 << WIDTH) - 1) & ~(1 << bit))).cast("long")) for s in range(SEGMENTS) for bit in range(WIDTH)]
-    index = spread(nodes.where(F.size("segs") > 0)).select("node", F.explode(F.array(*keys)).alias("key"))
-    many = saved(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("c > 1"))
-    two = many.where("c = 2").select("a", "b").distinct()
-    more = many.where("c > 2").select("key", "c")
-    if more.count() <= FEW:
-        more = F.broadcast(more)
-    more = saved(index.join(more, "key"))
-    rest, dense = more.where(F.col("c") <= hot), more.where(F.col("c") > hot)
-    few = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # nodes are hashes: the smallest of each residue are the hubs
-    hub = dense.groupBy("key", F.pmod("node", F.lit(hubs)).alias("part")).agg(F.min("node").alias("node")).select("key", "node")
-    stars = dense.alias("x").join(hub.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")))
-    pairs = two.union(few).union(stars.select(F.least("x.node", "y.node"), F.greatest("x.node", "y.node"))).distinct()
-    side = lambda name, segs: nodes.select(F.col("node").alias(name), F.col("segs").alias(segs))
+def candidates(nodes: DataFrame, hot: int = 4, hubs: int = 2) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, segs) of which a segment is equal or differs in one bit,
+    and which differ in at most ``MOST_DIFFERENT`` bits altogether.
+
+    Nodes of an equal segment are a cell. Cells are indexed by their one-wildcard variants; a
+    variant has two cells at most, those with its bit set and not set, so a grouped minimum
+    and maximum are the equality join. Cells of up to ``hot`` nodes stand for themselves; of
+    larger ones ``hubs`` nodes do, which follow one order of all nodes, and each of their nodes
+    meets these. So in a group of near copies pairs grow with its size, not with its square."""
+    cell = [F.get("segs", s).cast("long").bitwiseOR(F.lit(s << WIDTH).cast("long")) for s in range(SEGMENTS)]
+    member = nodes.where(F.size("segs") > 0).select("node", F.explode(F.array(*cell)).alias("cell"))
+    sizes = saved(member.groupBy("cell").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")))
+    within = sizes.where("c = 2").select("a", "b")
+    keys = [F.col("cell").bitwiseAND(F.lit(~(1 << bit)).cast("long")).bitwiseOR(F.lit(bit << 32).cast("long")) for bit in range(WIDTH)]
+    index = spread(sizes.select("cell")).select("cell", F.explode(F.array(*keys)).alias("key"))
+    next_to = saved(index.groupBy("key").agg(F.min("cell").alias("x"), F.max("cell").alias("y")).where("x <> y").select("x", "y"))
+    # who stands for a cell: all of a small one, the smallest of each residue of a large one
+    asked = next_to.select(F.explode(F.array("x", "y")).alias("cell")).distinct()
+    crowd = sizes.where("c > 2").select("cell", "c")
+    if crowd.count() <= FEW:
+        crowd = F.broadcast(crowd)
+    crowd = saved(member.join(crowd, "cell"))
+    large = crowd.where(F.col("c") > hot)
+    hub = large.groupBy("cell", F.pmod("node", F.lit(hubs)).alias("part")).agg(F.min("node").alias("node")).select("cell", "node")
+    ones = sizes.where("c <= 2").select("cell", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
+    reps = ones.join(asked, "cell", "left_semi").union(crowd.where(F.col("c") <= hot).select("cell", "node").union(hub).join(asked, "cell", "left_semi"))
+    reps = saved(reps)
+    side = lambda c, n: reps.select(F.col("cell").alias(c), F.col("node").alias(n))
+    across = next_to.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    some = crowd.where(F.col("c") <= hot)
+    few = some.alias("x").join(some.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    stars = large.alias("x").join(hub.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") != F.col("y.node"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    pairs = within.union(few).union(stars).union(across).distinct()
+    own = lambda name, segs: nodes.select(F.col("node").alias(name), F.col("segs").alias(segs))
     differ = sum(F.bit_count(F.get("s", i).bitwiseXOR(F.get("t", i))) for i in range(SEGMENTS))
-    return pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").where(differ <= MOST_DIFFERENT).select("a", "b")
+    return pairs.join(own("a", "s"), "a").join(own("b", "t"), "b").where(differ <= MOST_DIFFERENT).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
@@ -252,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
     return pairs.join(a, "a").join(b, "b").where(common >= least * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
 
-def similar_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 8, hubs: int = 2) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 4, hubs: int = 2) -> tuple[DataFrame, DataFrame]:
     """Two tables: the nodes (node, doc_id, text_hash: its row of the smallest id, nulls last,
     then hash of the text) and the links (a, b) between different nodes whose texts are near
     copies."""
@@ -270,7 +283,7 @@ def similar_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return firsts, saved(verified(pairs, sets, least))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 8, hubs: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8, hot: int = 4, hubs: int = 2) -> DataFrame:
     """``docs`` with one row of each component of near copies: that of its smallest doc_id, so
     one without an id stays only if all have none; of equal rows one stays. Null and empty
     texts and those of white space are copies of each other. Extra columns may have any names;
