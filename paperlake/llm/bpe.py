@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paperlake.llm.common import slices
+from paperlake.llm.common import give_back, slices
 from paperlake.llm.tokenfile import spans
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
 WIDTHS = np.array([3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128, LONG])
 ROWS = 1 << 15
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # fixed values: the split pattern whose pieces never cross a single blank from the left, and white space
 BLANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -283,6 +283,7 @@ def encode(docs: DataFrame, path: str, pattern: str = BLANK_PATTERN, text: str =
                 ids, counts = codec(path, pattern).encode(piece.column(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*piece.schema.names, name])
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
@@ -306,5 +307,6 @@ def digests(docs: DataFrame, path: str, pattern: str = BLANK_PATTERN, doc_id: st
                 of_ids = [hashlib.sha256(memoryview(packed)[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds, bounds[1:])]
                 of_text = [hashlib.sha256(memoryview(decoded)[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts), pa.array(of_ids), pa.array(of_text)], schema.names)
+            give_back()
 
     return rows.mapInArrow(run, schema)

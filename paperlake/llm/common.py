@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -78,6 +80,14 @@ def named_apart(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Gives memory that Arrow and the allocator hold back to the system. Workers live on from
+    task to task and stage to stage, so each does this after a batch."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of the id as text; null ids count as the text ''."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

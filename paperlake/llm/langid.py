@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import named_apart, slices
+from paperlake.llm.common import give_back, named_apart, slices
 
 ORDERS, BINS = (1, 2, 3), 1 << 14
 SHARPNESS = 40.0
@@ -140,6 +140,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
             for piece in slices(batch, at, SLICE_BYTES):
                 found, scores = shared.value.score(piece.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores)], [*piece.schema.names, *names])
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 

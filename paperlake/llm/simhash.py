@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import components, named_apart, saved, slices, stored
+from paperlake.llm.common import components, give_back, named_apart, saved, slices, stored
 
 BITS = 64
 BLOCK = 1 << 15
@@ -77,6 +77,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "simhash"
             texts = batch.column(at).cast(pa.binary()).to_pylist() if batch.num_rows else []
             prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -195,6 +196,7 @@ def _mapped(rows: DataFrame, schema: str, run) -> DataFrame:
             for batch in slices(whole, at):
                 arrays = run(batch.column(at).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *arrays], [*[batch.schema.names[i] for i in kept], *names])
+            give_back()
 
     return rows.mapInArrow(batches, out)
 

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import new_path, slices, stored
+from paperlake.llm.common import give_back, new_path, slices, stored
 
 SEEK_MAGIC, SEEK_FOOT, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
 FRAME_IDS = 1 << 16
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 CACHED_PIECES, CACHED_LENGTH = 300_000, 48
 #: Documents in a row of the manifest, and bytes of text that a file is made for.
 LISTED, FILE_BYTES = 8192, 128 << 20
@@ -302,6 +302,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
                     writer.add(np.append(part, np.uint32(end_id)))
                     ids.append(own)
                     total += len(part) + 1
+            give_back()
         if writer is not None:
             writer.close()
             out.close()

@@ -19,8 +19,6 @@ sample and have equal scores.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import zlib
 from dataclasses import dataclass, field
@@ -32,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import named_apart, slices
+from paperlake.llm.common import give_back, named_apart, slices
 from paperlake.llm.tokenfile import spans
 
 WINDOW, STRIDE = 24, 16
@@ -236,9 +234,7 @@ class Network:
 def release() -> None:
     """Gives what training held back to the system, as drivers live long."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 def peculiar(n_words: int, index: np.ndarray, counts: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -357,6 +353,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score"
         for batch in batches:
             for piece in slices(batch, at, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shared.value.scores(piece.column(at)))], [*piece.schema.names, name])
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
