@@ -88,7 +88,7 @@ def links(prints: DataFrame, name: str = "simhash", distance: int = 4, hot: int
     if distance % 2:
         raise ValueError("an even distance is needed")
     fp = F.col("fp")
-    prints = prints.select(F.col(name).alias("fp")).distinct()
+    prints = spread(prints.select(F.col(name).alias("fp")).distinct())
     n = distance // 2 + 1
     cuts = [BITS * i // n for i in range(n + 1)]
     firsts, variants = [], []
@@ -143,7 +143,7 @@ def with_components(prints: DataFrame, distance: int = 4, hot: int = 2048) -> Da
     """Adds ``root`` and ``component_id`` to rows with ``doc_id`` and ``simhash``."""
     # an exact copy has its original's fingerprint: these meet here, before any join
     firsts = saved(prints.groupBy("simhash").agg(F.min("doc_id").alias("first")))
-    roots = components(links(spread(firsts), distance=distance, hot=hot))
+    roots = components(links(firsts, distance=distance, hot=hot))
     of = firsts.join(roots, F.col("simhash") == F.col("node"), "left").select("simhash", "first", F.coalesce("root", "simhash").alias("root"))
     smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
     of = saved(of.join(smallest, "root").select("simhash", "root", "component_id"))
