@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
@@ -176,11 +176,18 @@ def even_groups(rows: DataFrame, key: str, order: str, groups: int = 3) -> DataF
     return rows.withColumn("group", F.ntile(groups).over(Window.partitionBy(key).orderBy(order)))
 
 
+FORMULA = r"(?s)\$\$.+?\$\$|\\begin\{equation\*?\}.+?\\end\{equation\*?\}|(?<![\\$])\$[^$\n]+\$(?!\$)"
+
+
+def tex_of(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(raw, r"^\$\$?|\$\$?$|\\(?:begin|end)\{equation\*?\}", ""))
+
+
 def formulas(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, no, tex, display) of $$..$$, $..$ and equation environments."""
-    found = F.regexp_extract_all(blank(F.col(text)), F.lit(r"(?s)\$\$.+?\$\$|\\begin\{equation\*?\}.+?\\end\{equation\*?\}|(?<![\\$])\$[^$\n]+\$(?!\$)"), F.lit(0))
+    found = F.regexp_extract_all(blank(F.col(text)), F.lit(FORMULA), F.lit(0))
     rows = docs.select(key, F.posexplode(found).alias("no", "raw"))
     display = ~F.col("raw").rlike(r"^\$[^$]")
-    return rows.select(key, "no", F.trim(F.regexp_replace("raw", r"^\$\$?|\$\$?$|\\(?:begin|end)\{equation\*?\}", "")).alias("tex"), display.alias("display"))
+    return rows.select(key, "no", tex_of(F.col("raw")).alias("tex"), display.alias("display"))
 
 

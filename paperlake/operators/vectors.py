@@ -54,3 +54,18 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     kept = top(both, ["owner_type", "owner_id", "model"], [F.asc("_age"), F.asc("hash")], 1).drop("_age", "rank")
     sizes = kept.groupBy("model").agg(F.countDistinct("dim").alias("_dims"))
     return kept.join(small(sizes), "model").where(F.when(F.col("_dims") > 1, F.raise_error(F.lit("mixed dimensions"))).otherwise(F.lit(True)).cast("boolean")).drop("_dims")
+
+
+def deleted(vectors: DataFrame, dead: DataFrame, model: str | None = None) -> DataFrame:
+    """``vectors`` without those of the owners in ``dead`` (owner_id); of one model, if given."""
+    ids = dead.select("owner_id").distinct()
+    if model is None:
+        return vectors.join(ids, "owner_id", "left_anti")
+    mine = F.coalesce(F.col("model") == model, F.lit(False))
+    return vectors.where(~mine).unionByName(vectors.where(mine).join(ids, "owner_id", "left_anti"))
+
+
+def counts(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """(model, dim, vectors) to hold against what should be there; null vectors have dim 0."""
+    dim = F.coalesce(F.size(F.col(vec)), F.lit(0))
+    return vectors.groupBy("model", F.when(dim < 0, 0).otherwise(dim).alias("dim")).agg(F.count("*").alias("vectors"))
