@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, decontaminate, fingerprint, langid, quality, sharding, simhash, tokenfile, toxicity, warc
+from paperlake.llm import bpe, decontaminate, fingerprint, langid, packing, quality, resample, sharding, simhash, tokenfile, toxicity, warc, whiten
 from paperlake.llm.common import crc_of_id, table
 
 
@@ -75,6 +75,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_of_id("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whitened(table(spark, sf_dir, "embeddings"), most=16)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, length=4096)
+    return packing.packed(pieces, length=4096).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -86,5 +101,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_resample": op11_resample,
+    "op12_whiten": op12_whiten,
+    "op13_pack": op13_pack,
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op2_warc": warc.ORACLE}
