@@ -8,9 +8,8 @@ their smoothed log ratio is a whole-number gain for each bucket, and the product
 with the gains gives each document's weight. Gumbel noise from the document's id turns the
 highest weights into a draw without replacement (``drawn``).
 
-Only ``buckets`` numbers ever reach the driver. A block holds whole texts of about
-``SLICE_BYTES`` bytes, so a very long text is a block of its own with ``buckets`` entries at
-most. Documents with equal text are rows like any other; nothing is grouped by document or by
+Only ``buckets`` numbers ever reach the driver. A block has about ``ENTRIES`` entries; a very
+long text is a row of ``buckets`` entries at most. Documents with equal text are rows like any other; nothing is grouped by document or by
 word, so no key is hot. Null texts have no features, null ids draw the noise of the empty id,
 and rows of one id and score are ranked by their block and place in it. A table without
 documents gives no rows; a target without features gives gains for an empty target. Only
@@ -30,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import give_back, slices, stored
+from paperlake.llm.common import give_back, new_path, slices, stored
 from paperlake.llm.tokenfile import spans
 
 BUCKETS, RUN = 10_000, 3
-#: Bytes of text in a block, and words shorter than this have a table each in ``Shift``.
+#: Bytes of text that are counted at once; words shorter than ``SHORT`` have tables of their own.
 SLICE_BYTES, SHORT = 2 << 20, 64
+#: Entries of a block, and bytes of blocks that a reader takes at once, about.
+ENTRIES, GROUP_BYTES = 1 << 15, 8 << 20
 #: Rows that a task of the final ranking gets, about.
 RANKED_ROWS = 1 << 20
 
@@ -138,32 +139,35 @@ def csr(texts: pa.Array, buckets: int = BUCKETS, run: int = RUN) -> tuple[np.nda
 
 
 def block_type(id_type: T.DataType) -> T.StructType:
-    many = lambda t: T.ArrayType(t)
-    return T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", many(id_type)), T.StructField("words", many(T.IntegerType())), T.StructField("indptr", many(T.IntegerType())), T.StructField("indices", many(T.IntegerType())), T.StructField("counts", many(T.IntegerType()))])
+    whole = T.ArrayType(T.IntegerType())
+    return T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *[T.StructField(n, whole) for n in ("words", "lengths", "indices", "counts")]])
 
 
 def count_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
-    """The matrix of ``docs`` as CSR blocks, a row each, in the shared folder: block (a number
-    that no other block has), ids, words (a text's number of words), indptr, indices, counts.
-    Rows of ``docs`` are rows of the matrix; texts are taken whole."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    """The matrix of ``docs`` as CSR blocks of about ``ENTRIES`` entries, a row each, in the
+    shared folder: block (a number that no other block has), ids, words (a text's number of
+    words), lengths (entries of each row of the matrix, the steps of its row pointer), indices,
+    counts. Rows of ``docs`` are rows of the matrix; texts are taken whole."""
+    spark, rows = docs.sparkSession, docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    schema = block_type(rows.schema["id"].dataType)
 
     def blocks(batches: Iterator[pa.RecordBatch]):
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in slices(batch, 1, SLICE_BYTES):
                 words, indptr, indices, counts = csr(piece.column(1), buckets, run)
-                arrays = [piece.column(0), *[pa.array(x.astype(np.int32)) for x in (words, indptr, indices, counts)]]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["block", "ids", "words", "indptr", "indices", "counts"])
-                number += 1
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(indptr[:-1] // ENTRIES)) + 1, [piece.num_rows]])
+                whole = lambda x: pa.array(x.astype(np.int32))
+                by_row = [pa.ListArray.from_arrays(whole(cuts), x) for x in (piece.column(0), whole(words), whole(np.diff(indptr)))]
+                by_entry = [pa.ListArray.from_arrays(whole(indptr[cuts]), whole(x)) for x in (indices, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(cuts) - 1)), *by_row, *by_entry], schema.names)
+                number += len(cuts) - 1
             give_back()
 
-    return stored(rows.mapInArrow(blocks, block_type(rows.schema["id"].dataType)), "csr")
-
-
-def _block(batch: pa.RecordBatch, row: int) -> dict[str, pa.Array]:
-    return {n: batch.column(i).slice(row, 1).flatten() for i, n in enumerate(batch.schema.names) if n != "block"}
+    path = new_path(spark, "csr")
+    # readers take a row group at a time
+    rows.mapInArrow(blocks, schema).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -172,10 +176,8 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                # no count in a block is near 2 ** 53
-                indices, counts = (batch.column(i).slice(row, 1).flatten().to_numpy() for i in (0, 1))
-                total += np.bincount(indices, counts, buckets).astype(np.int64)
+            # no sum over a batch is near 2 ** 53
+            total += np.bincount(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), buckets).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
@@ -203,14 +205,12 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def product(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in range(batch.num_rows):
-                of = _block(batch, row)
-                indptr = of["indptr"].to_numpy()
-                counts = of["counts"].to_numpy().astype(np.int64)
-                ends = np.stack([np.concatenate([[0], np.cumsum(x)])[indptr] for x in (counts, counts * shared.value[of["indices"].to_numpy()])])
-                features, weight = np.diff(ends)
-                n = len(features)
-                yield pa.RecordBatch.from_arrays([of["ids"], of["words"].cast(pa.int64()), pa.array(features), pa.array(weight), pa.array(np.full(n, batch.column(0)[row].as_py())), pa.array(np.arange(n))], names)
+            block, ids, words, lengths, indices, counts = (batch.column(i) for i in range(6))
+            rows = np.asarray(ids.value_lengths())
+            n = counts.flatten().to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(), dtype=np.int64)])
+            of_rows = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[ends]))
+            yield pa.RecordBatch.from_arrays([ids.flatten(), words.flatten().cast(pa.int64()), of_rows(n), of_rows(n * shared.value[indices.flatten().to_numpy()]), pa.array(np.repeat(block.to_numpy(), rows)), pa.array(spans(np.zeros(len(rows), np.int64), rows))], names)
 
     return matrix.mapInArrow(product, T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in names[1:]]]))
 
