@@ -83,9 +83,14 @@ def sentence_spans(c: Column) -> Column:
     return F.filter(spans, lambda s: s["sentence"] != "")
 
 
+def raw_tokens(c: Column) -> Column:
+    """Runs of letters, digits and CJK characters, joined by - or _."""
+    return F.regexp_extract_all(blank(c), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters, digits and CJK characters, joined by - or _."""
-    return F.transform(F.regexp_extract_all(blank(c), F.lit(TOKEN), F.lit(0)), F.lower)
+    """The same, lower-cased."""
+    return F.transform(raw_tokens(c), F.lower)
 
 
 def cjk_pairs(c: Column) -> Column:

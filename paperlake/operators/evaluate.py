@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import text_score
+from paperlake.operators import ordered
 from paperlake.operators.common import micro
 
 
@@ -22,22 +23,28 @@ def retrieval_metrics(ranked: DataFrame, positives: DataFrame, k: int, query: st
     return rows.select(query, F.when(none, 1.0).otherwise(F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(none, 1.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
 
 
+def _by_score(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """(value, p, q, and their running sums and totals): positives and negatives of each score."""
+    one = F.col(label).cast("long")
+    return ordered.running(scored.where(F.col(label).isNotNull()), score, {"p": F.sum(one), "q": F.sum(1 - one)})
+
+
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row (positives, negatives, auc): the Mann-Whitney statistic, ties a half. Scores are
-    counted by value first; what is ordered in one place is one row a value."""
-    by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    below = F.sum("q").over(Window.orderBy("s")) - F.col("q")
-    rows = by.select("p", "q", (F.col("p") * (below + F.col("q") / 2.0)).alias("u"))
+    scanned in ranges."""
+    by = _by_score(scored, score, label)
+    rows = by.select("p", "q", (F.col("p") * (F.col("to_q") - F.col("q") / 2.0)).alias("u"))
     return rows.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("u").alias("u")).select("positives", "negatives", F.try_divide("u", F.col("positives") * F.col("negatives")).alias("auc"))
 
 
 def thresholds(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(threshold, recall, fpr) for every score seen, and 1.0: at or above counts as positive."""
-    by = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    one = by.sparkSession.range(1).select(F.lit(1.0).alias("threshold"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
-    by = by.unionByName(one).groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    above, everyone = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    return by.select("threshold", F.try_divide(F.sum("p").over(above), F.sum("p").over(everyone)).alias("recall"), F.try_divide(F.sum("q").over(above), F.sum("q").over(everyone)).alias("fpr"))
+    rows = scored.select(F.col(score).cast("double").alias("s"), F.col(label).cast("long").alias("l"))
+    one = rows.sparkSession.range(1).select(F.lit(1.0).alias("s"), F.lit(None).cast("long").alias("l"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    by = ordered.running(rows.unionByName(one), "s", {"p": zero(F.sum("l")), "q": zero(F.sum(1 - F.col("l")))})
+    above = lambda c: F.try_divide(F.col(f"all_{c}") - F.col(f"to_{c}") + F.col(c), F.col(f"all_{c}"))
+    return by.select(F.col("value").alias("threshold"), above("p").alias("recall"), above("q").alias("fpr"))
 
 
 def calibrate(scored: DataFrame, max_fpr: float = 0.05, least: int = 50, each: int = 20, min_recall: float = 0.8, min_auc: float = 0.8, score: str = "score", label: str = "label") -> DataFrame:
@@ -45,7 +52,7 @@ def calibrate(scored: DataFrame, max_fpr: float = 0.05, least: int = 50, each: i
     with an FPR of ``max_fpr`` at most, the 95th percentile of negatives under it as the review
     line, and whether sample, recall and AUC suffice."""
     best = thresholds(scored, score, label).where(F.col("fpr") <= max_fpr).agg(F.max_by(F.struct("threshold", "recall", "fpr"), F.struct("recall", -F.col("fpr"), -F.col("threshold"))).alias("b"))
-    p95 = scored.where(F.col(label) == 0).agg(F.percentile_disc(0.95, score).alias("neg_p95")) if hasattr(F, "percentile_disc") else scored.where(F.col(label) == 0).agg(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {score})").alias("neg_p95"))
+    p95 = nearest_rank(scored.where(F.col(label) == 0), score, 0.95).agg(F.max("p95").alias("neg_p95"))
     row = roc_auc(scored, score, label).crossJoin(best).crossJoin(p95)
     enough = (F.col("positives") + F.col("negatives") >= least) & (F.col("positives") >= each) & (F.col("negatives") >= each)
     good = enough & (F.col("b.recall") >= min_recall) & (F.col("b.fpr") <= max_fpr) & (F.col("auc") >= min_auc)
@@ -53,13 +60,15 @@ def calibrate(scored: DataFrame, max_fpr: float = 0.05, least: int = 50, each: i
 
 
 def nearest_rank(df: DataFrame, value: str, p: float, group: list[str] | None = None) -> DataFrame:
-    """The value at place round((n - 1) * p), halves to even. Equal values are counted first."""
-    group = group or []
-    by = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*group)
-    rows = by.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy("v")))
-    at = F.bround((F.col("n") - 1) * F.lit(float(p)), 0).cast("long")
-    return rows.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*group, F.col("v").alias(f"p{round(p * 100)}"))
+    """The value at place round((n - 1) * p), halves to even."""
+    found = ordered.at_rank(df, value, lambda n: F.bround((n - 1) * F.lit(float(p)), 0).cast("long"), group)
+    return found.withColumnRenamed("value", f"p{round(p * 100)}")
+
+
+def upper_rank(df: DataFrame, value: str, p: float, group: list[str] | None = None) -> DataFrame:
+    """The least value that a share of ``p`` of all is not above: place ceil(p * n) - 1."""
+    found = ordered.at_rank(df, value, lambda n: F.greatest(F.ceil(n * F.lit(float(p))).cast("long") - 1, F.lit(0)), group)
+    return found.withColumnRenamed("value", f"p{round(p * 100)}")
 
 
 def cell_scores(gold: DataFrame, found: DataFrame) -> DataFrame:

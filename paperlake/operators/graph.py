@@ -61,6 +61,56 @@ def components(edge: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
+def spanning_forest(edge: DataFrame, rounds: int = 40) -> DataFrame:
+    """(a, b, weight): a maximum spanning forest of the undirected ``edge`` (src, dst, weight),
+    in Boruvka's rounds. Each component takes its heaviest edge to another one by a grouped
+    minimum over a total order (weight falling, then both ends), so there is no cycle but of two
+    that take the same edge; then each finds the end of its chain of components by doubling.
+    Rounds halve the components at least and end in a checkpoint; of parallel edges between two
+    components the best is kept, so the table shrinks. Loops and null ends don't count; null
+    weights come last."""
+    if edge.sparkSession.sparkContext.getCheckpointDir() is None:
+        raise ValueError("a spanning forest needs spark.checkpoint.dir")
+    place = F.struct((-F.coalesce(F.col("weight").cast("double"), F.lit(float("-inf")))).alias("w"), "a", "b")
+    rows = edge.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").where("a < b")
+    e = rows.select(F.col("a").alias("u"), F.col("b").alias("v"), place.alias("o")).groupBy("u", "v").agg(F.min("o").alias("o")).checkpoint()
+    taken = []
+    for _ in range(rounds):
+        if e.isEmpty():
+            break
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "o"))
+        best = both.groupBy("u").agg(F.min(F.struct("o", "v")).alias("m")).select("u", "m.o", "m.v").checkpoint()
+        taken.append(best.select("o").distinct())
+        # of two that take each other the smaller is the root
+        back = best.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        up = best.join(back, "v", "left").select("u", F.when((F.col("w") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")).checkpoint()
+        while True:
+            further = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("p").alias("was"), F.col("q").alias("p")).checkpoint()
+            done = further.where("was <> p").isEmpty()
+            up = further.select("u", "p")
+            if done:
+                break
+        e = e.join(up.withColumnRenamed("p", "x"), "u").join(up.select(F.col("u").alias("v"), F.col("p").alias("y")), "v").where("x <> y")
+        e = e.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "o").groupBy("u", "v").agg(F.min("o").alias("o")).checkpoint()
+    else:
+        raise RuntimeError("the forest did not converge")
+    if not taken:
+        return edge.sparkSession.createDataFrame([], rows.schema)
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.union(more)
+    kind = rows.schema["weight"].dataType
+    return out.select("o.a", "o.b", F.when(F.col("o.w") < float("inf"), -F.col("o.w")).cast(kind).alias("weight"))
+
+
+def clusters(forest: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, cluster) for all ``nodes`` (node): those that edges of a weight of ``least`` or
+    more join are one cluster, named by its smallest node. The forest of a graph gives the same
+    clusters as all its edges, at any ``least``."""
+    c = components(forest.where(F.col("weight") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return nodes.select("node").distinct().join(c, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+
+
 def shared_concepts(concepts: DataFrame, least: int = 2, paper: str = "paper_id", concept: str = "concept") -> DataFrame:
     """(a, b, weight): pairs of papers with ``least`` or more common concepts. The pairs come
     from an equi-join on the concept, never from all pairs of papers."""

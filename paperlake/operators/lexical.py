@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import expanded, tokens
-from paperlake.operators.common import kept, light, micro, top
+from paperlake.functions.text import expanded, raw_tokens, tokens
+from paperlake.operators import impact
+from paperlake.operators.common import kept, small
 
 #: Terms up to so many are broadcast to their postings.
 BROADCAST_TERMS = 500_000
 
 
-def postings(docs: DataFrame, key: str, text: str = "text", words=tokens) -> DataFrame:
-    """(key, term, tf). Counting is combined before the shuffle."""
-    return docs.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: str = "text", words=raw_tokens) -> DataFrame:
+    """(key, term, tf): the words of a text, lower-cased. Counting is combined before the
+    shuffle."""
+    return docs.select(key, F.explode(words(F.col(text))).alias("term")).select(key, F.lower("term").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def idf_table(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -46,16 +48,25 @@ class Index:
     posts: DataFrame
     idf: DataFrame
     terms: int
+    documents: int
 
     def idf_near(self) -> DataFrame:
         return F.broadcast(self.idf) if self.terms <= BROADCAST_TERMS else self.idf
 
 
-def index(docs: DataFrame, key: str = "doc_id", text: str = "text", words=tokens) -> Index:
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text", words=raw_tokens) -> Index:
     """Reads the texts once; all rankings over one index share it."""
     posts = kept(postings(docs, key, text, words), "postings")
     idf = kept(idf_table(posts, docs.agg(F.count("*").alias("n"))), "idf")
-    return Index(key, posts, idf, idf.count())
+    return Index(key, posts, idf, idf.count(), docs.count())
+
+
+def cosine_impacts(at: Index, only: DataFrame | None = None) -> impact.Impacts:
+    """Postings with their share in the document's unit vector; ``only`` (term): of these."""
+    w = weighted(at.posts, at.idf_near())
+    norm = kept(norms(w, at.key), "norms")
+    rows = w.join(at.idf_near().select("term", "df"), "term").join(small(norm), at.key)
+    return impact.stored_impacts(rows.withColumn("x", F.col("w") / F.col("norm")), at.key, at.documents, "s", only)
 
 
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc: str = "doc_id", query: str = "item_id", at: Index | None = None) -> DataFrame:
@@ -64,40 +75,36 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc: str = "doc_
     there is one."""
     at = at or index(docs, doc)
     asked = postings(queries, query).join(at.idf.select("term", "idf"), "term", "left")
-    asked = asked.withColumn("idf", F.coalesce("idf", F.ln(F.lit(2.0)) + 1)).withColumn("qw", (1 + F.ln("tf")) * F.col("idf")).select(query, "term", "qw", "idf")
-    asked = kept(asked, "asked")
-    near = F.broadcast if light(queries) else (lambda df: df)
-    # only postings of query terms are weighted for products; all of them count for the norms
-    dots = at.posts.join(near(asked), "term").groupBy(query, doc).agg(F.sum((1 + F.ln("tf")) * F.col("idf") * F.col("qw")).alias("dot"))
-    norm = norms(weighted(at.posts, at.idf_near()), doc)
-    asked_norm = asked.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm")).withColumn("qnorm", F.when(F.col("qnorm") == 0, F.lit(1.0)).otherwise(F.col("qnorm")))
-    scored = dots.join(norm, doc).join(near(asked_norm), query)
-    scored = scored.select(query, doc, micro(F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score_micro"))
-    return top(scored, [query], [F.desc("score_micro"), F.asc(doc)], k).select(query, "rank", doc, "score_micro")
+    asked = asked.select(query, "term", ((1 + F.ln("tf")) * F.coalesce("idf", F.ln(F.lit(2.0)) + 1)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(query)))
+    asked = asked.select(query, "term", (F.col("w") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("qw"))
+    asked = kept(asked, "queries")
+    return impact.topk(cosine_impacts(at, asked.select("term").distinct()), asked, k, query)
 
 
-def low_expanded(c: Column) -> Column:
-    return F.transform(expanded(c), F.lower)
+def bm25_impacts(docs: DataFrame, doc: str = "doc_id", k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> impact.Impacts:
+    """Postings of index tokens with what they add to a score; n and the mean length are those
+    of all documents; an idf under 1e-6 is 1e-6. ``only`` (term): of these terms."""
+    posts = kept(postings(docs, doc, words=expanded), "postings")
+    n = docs.count()
+    mean = (posts.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = kept(df.select("term", "df", F.greatest(F.lit(1e-6), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf")), "idf")
+    near = F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    lengths = kept(posts.groupBy(doc).agg(F.sum("tf").alias("len")), "lengths")
+    rows = posts.join(near, "term").join(small(lengths), doc)
+    x = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
+    return impact.stored_impacts(rows.withColumn("x", x), doc, n, "x", only)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "item_id", k1: float = 1.2, b: float = 0.75, most_terms: int = 24, posts: DataFrame | None = None) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "item_id", most_terms: int = 24, at: impact.Impacts | None = None) -> DataFrame:
     """(query, rank, doc, score_micro). Terms are index tokens; a query is its first
-    ``most_terms`` of them, repeats counted once; n and the mean length are those of all
-    documents; an idf under 1e-6 is 1e-6. ``posts``: the postings of these tokens, if there
-    are any."""
-    posts = kept(postings(docs, doc, words=low_expanded), "postings") if posts is None else posts
-    near = F.broadcast if light(queries) else (lambda df: df)
-    asked = queries.select(query, F.explode(F.array_distinct(F.slice(low_expanded(F.col("text")), 1, most_terms))).alias("term"))
-    n = docs.count()
-    lengths = posts.groupBy(doc).agg(F.sum("tf").alias("len"))
-    mean = (posts.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
-    hits = posts.join(near(asked.select("term").distinct()), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.greatest(F.lit(1e-6), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
-    rows = hits.join(near(asked.join(idf, "term")), "term").join(lengths, doc)
-    value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    scored = rows.groupBy(query, doc).agg(micro(F.sum(value)).alias("score_micro"))
-    return top(scored, [query], [F.desc("score_micro"), F.asc(doc)], k).select(query, "rank", doc, "score_micro")
+    ``most_terms`` of them, repeats counted once. ``at``: the documents' impacts, if there are
+    any."""
+    low = F.array_distinct(F.transform(F.slice(expanded(F.col("text")), 1, most_terms), F.lower))
+    asked = kept(queries.select(query, F.explode(low).alias("term"), F.lit(1.0).alias("qw")), "queries")
+    at = at or bm25_impacts(docs, doc, only=asked.select("term").distinct())
+    return impact.topk(at, asked, k, query)
 
 
 def _pair_terms(pairs: DataFrame, claim: str, source: str) -> DataFrame:

@@ -1,11 +1,19 @@
-"""Vectors: exact cosine search in blocks, incremental embedding."""
+"""Vectors: exact cosine search over lists around centroids, incremental embedding."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paperlake.operators.common import micro, small, top
+from paperlake.operators.common import kept, micro, small, top
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,17 +31,153 @@ def unit(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm))
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", query: str = "query_id", vec: str = "embedding", other: bool = True) -> DataFrame:
-    """(query, rank, key, score_micro) of the k most similar vectors of each query vector, all
-    vectors compared. Queries are a stated set; vectors stay where they are while the queries
-    are broadcast after a count, and each task keeps k rows of a query. ``other``: a vector is
-    no answer to a query of its own id."""
-    q = small(queries.select(F.col(query).alias("_q"), unit(F.col("query_vec")).alias("_u")), 10_000)
-    pairs = vectors.select(key, unit(F.col(vec)).alias("_v")).crossJoin(q)
-    if other:
-        pairs = pairs.where(F.col(key) != F.col("_q"))
-    scored = pairs.where(F.size("_u") == F.size("_v")).select(F.col("_q").alias(query), key, micro(dot(F.col("_u"), F.col("_v"))).alias("score_micro"))
-    return top(scored, [query], [F.desc("score_micro"), F.asc(key)], k).select(query, "rank", key, "score_micro")
+#: Vectors that centroids are fitted on, most lists, and vectors of a list that meet in a task.
+SAMPLE, LISTS, PART = 16_384, 1024, 1 << 16
+#: Scores are ranked in millionths; bounds give way by more than their rounding.
+SLACK = 4e-6
+
+
+@dataclass
+class VectorIndex:
+    """``rows`` (key, dim, list, part, r: the angle to the list's centroid, v: the unit vector)
+    in the shared folder; of each dimension the centroids, and of each of its lists the number
+    of vectors, the least and the largest angle."""
+
+    key: str
+    rows: DataFrame
+    centroids: dict[int, np.ndarray]
+    lists: dict[int, np.ndarray]
+
+
+def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of each length; those that are null, empty, without
+    a norm or hold what is no number are left out."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == d)
+        # a null entry is no number
+        x = np.asarray(pc.fill_null(column.take(pa.array(at)).flatten().cast(pa.float64()), math.nan)).reshape(-1, d)
+        norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        yield at[good], x[good] / norm[good, None]
+
+
+def _listed(v: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(np.ascontiguousarray(v).ravel()))
+
+
+def _centroids(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from evenly spaced rows."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    for _ in range(rounds):
+        of = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, of, x)
+        norm = np.linalg.norm(total, axis=1)
+        c = np.where(norm[:, None] > 0, total / np.where(norm > 0, norm, 1)[:, None], c)
+    return c
+
+
+def index(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", sample: int = SAMPLE) -> VectorIndex:
+    """Lists of vectors around centroids. These are fitted on the ``sample`` rows of the smallest
+    hashes of their keys, a bounded number; every vector is put into the list of the nearest
+    one. Vectors of a dimension that the sample lacks are a list of their own. Rows without a
+    unit vector are left out, as no cosine is theirs."""
+    n = vectors.count()
+    got = vectors.select(F.xxhash64(key).alias("h"), F.col(vec).alias("v")).orderBy("h").limit(sample).toArrow()
+    centers: dict[int, np.ndarray] = {}
+    if got.num_rows:
+        for _, u in _units(got["v"].combine_chunks()):
+            if len(u):
+                centers[u.shape[1]] = _centroids(u, max(1, min(len(u), LISTS, math.isqrt(n))))
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+    kind = vectors.schema[key].dataType
+
+    def place(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at, u in _units(batch.column(1)):
+                if not len(at):
+                    continue
+                c = shared.value.get(u.shape[1])
+                cos = u @ c.T if c is not None else np.ones((len(u), 1))
+                of = cos.argmax(axis=1)
+                r = np.arccos(np.clip(cos[np.arange(len(u)), of], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(u), u.shape[1], np.int32)), pa.array(of.astype(np.int32)), pa.array(r), _listed(u)], ["key", "dim", "list", "r", "v"])
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("dim", T.IntegerType()), T.StructField("list", T.IntegerType()), T.StructField("r", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    rows = kept(vectors.select(key, vec).mapInArrow(place, schema), "vectors")
+    lists: dict[int, np.ndarray] = {}
+    for r in rows.groupBy("dim", "list").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect():  # LISTS a dimension at most
+        d = r["dim"]
+        if d not in centers:
+            centers[d], r = np.zeros((1, d)), {"list": 0, "n": r["n"], "low": 0.0, "high": math.pi}
+        lists.setdefault(d, np.tile([0.0, math.pi, 0.0], (len(centers[d]), 1)))[r["list"]] = r["n"], r["low"], r["high"]
+    return VectorIndex(key, rows, centers, lists)
+
+
+def _probed(queries: DataFrame, at: VectorIndex, query: str, k: int | None) -> DataFrame:
+    """(query, least, dim, list, part, a, u): the lists that each query looks into, nearest
+    first: those that hold ``k`` vectors together, or without ``k`` those that may hold one of
+    a cosine of ``least``. By the triangle inequality a vector at angle r of a centroid is at
+    an angle of |a - r| at least from a query at angle a."""
+    shared = queries.sparkSession.sparkContext.broadcast((at.centroids, at.lists))
+
+    def probe(batches: Iterator[pa.RecordBatch]):
+        centroids, lists = shared.value
+        for batch in batches:
+            least = np.asarray(pc.fill_null(batch.column(2), -2.0))
+            for rows, u in _units(batch.column(1)):
+                if u.shape[1] not in lists:
+                    continue
+                held, low, high = lists[u.shape[1]].T
+                a = np.arccos(np.clip(u @ centroids[u.shape[1]].T, -1, 1))
+                nearest = np.maximum(0, np.maximum(a - high, low - a))
+                for row, angle, own, v in zip(rows.tolist(), a, nearest, u):
+                    if k is None:
+                        lists_of = np.flatnonzero((held > 0) & (np.cos(own) >= least[row] - SLACK))
+                    else:
+                        order = np.argsort(own + 1e-9 * angle, kind="stable")
+                        order = order[held[order] > 0]
+                        lists_of = order[: 1 + int(np.searchsorted(np.cumsum(held[order]), k))]
+                    parts = -(-held[lists_of].astype(np.int64) // PART)
+                    l = np.repeat(lists_of, parts)
+                    if len(l):
+                        same = pa.array(np.full(len(l), row))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(same), pa.array(np.full(len(l), least[row])), pa.array(np.full(len(l), len(v), np.int32)), pa.array(l.astype(np.int32)), pa.array((np.arange(len(l)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)), pa.array(angle[l]), _listed(np.tile(v, (len(l), 1)))], [query, "least", "dim", "list", "part", "a", "u"])
+
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField("least", T.DoubleType()), *[T.StructField(n, T.IntegerType()) for n in ("dim", "list", "part")], T.StructField("a", T.DoubleType()), T.StructField("u", T.ArrayType(T.DoubleType()))])
+    return queries.select(query, "query_vec", "least").mapInArrow(probe, schema)
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", query: str = "query_id", vec: str = "embedding", other: bool = True, at: VectorIndex | None = None) -> DataFrame:
+    """(query, rank, key, score_micro) of the k vectors of the highest cosine to each query
+    vector, exactly. The nearest lists give the k-th best so far; lists, and vectors in them,
+    that can't reach it are left out. Vectors and queries meet by list, and a list of many
+    vectors is cut by the hash of their keys. ``other``: a vector is no answer to a query of
+    its own id. Queries have different ids. ``at``: the vectors' index, if there is one."""
+    at = at or index(vectors, key, vec)
+    large = [(d, i, -(-int(n) // PART)) for d, x in at.lists.items() for i, n in enumerate(x[:, 0].tolist()) if n > PART]
+    if large:
+        sizes = vectors.sparkSession.createDataFrame(large, "dim int, list int, _parts int")  # LISTS a dimension at most
+        rows = at.rows.join(F.broadcast(sizes), ["dim", "list"], "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    else:
+        rows = at.rows.withColumn("part", F.lit(0))
+
+    def scored(asked: DataFrame) -> DataFrame:
+        pairs = rows.join(small(asked), ["dim", "list", "part"])
+        if other:
+            pairs = pairs.where(F.col(key) != F.col(query))
+        # what the angles leave open is multiplied
+        may = F.cos(F.abs(F.col("a") - F.col("r"))) >= F.col("least") - SLACK
+        return top(pairs.where(may).select(query, key, micro(dot(F.col("u"), F.col("v"))).alias("score_micro")), [query], [F.desc("score_micro"), F.asc(key)], k)
+
+    first = kept(_probed(queries.withColumn("least", F.lit(-2.0)), at, query, 2 * k + 1), "probes")
+    found = scored(first)
+    least = found.where(F.col("rank") == k).select(query, (F.col("score_micro") / 1e6).alias("least"))
+    bounded = queries.select(query, "query_vec").join(small(kept(least, "least")), query, "left")
+    probes = kept(_probed(bounded, at, query, None), "probes")
+    return scored(probes).select(query, "rank", key, "score_micro")
 
 
 def to_embed(notes: DataFrame, known: DataFrame, model: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.operators import budget, documents, entities, evaluate, graph, memory, ranking, verify
 from paperlake.operators.common import micro, small, top
-from paperlake.plans.tables import query, rows, table, values
+from paperlake.plans.tables import query, rows, table, texts, values
 
 # fixtures shared by Spark and SQL
 ENTITIES = [(1, 0, "FlashAttention 2", "Algorithm/Model"), (1, 1, "model", "Algorithm/Model"), (1, 2, "X", "Author"), (1, 3, "flashattention v2", "Algorithm/Model"), (1, 4, "BLEU4", "Evaluation Metric"), (1, 5, "Latency", "Evaluation Metric"), (2, 0, "ImageNet1k", "Dataset/Benchmark"), (2, 1, "Geant4", "Algorithm/Model")]
@@ -107,6 +107,34 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(order_edges(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")))
 
 
+FIELD = "pc AS (SELECT DISTINCT l_suppkey % 200 AS paper_id, l_partkey AS c FROM lineitem), w AS (SELECT x.paper_id AS a, y.paper_id AS b, count(*) AS weight FROM pc x JOIN pc y ON x.c = y.c AND x.paper_id < y.paper_id GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+def _field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Papers (groups of suppliers) and their weighted edges by common parts."""
+    from paperlake.plans.tables import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 200).alias("paper_id"), F.col("l_partkey").cast("string").alias("concept"))
+    edge = graph.shared_concepts(li).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").checkpoint()
+    return li.select(F.col("paper_id").alias("node")).distinct(), edge
+
+
+@query()
+def field_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest edges that hold papers together; sorted union-find tests it."""
+    return graph.spanning_forest(_field(spark, sf_dir)[1])
+
+
+@query(f"""WITH RECURSIVE {FIELD}, m AS (SELECT quantile_disc(weight, 0.9) AS m FROM w), e AS (SELECT a AS src, b AS dst FROM w, m WHERE weight >= m UNION ALL SELECT b, a FROM w, m WHERE weight >= m),
+n AS (SELECT DISTINCT paper_id AS node FROM pc), r(node, root) AS (SELECT node, node FROM n UNION SELECT e.dst, r.root FROM r JOIN e ON r.node = e.src) SELECT node, min(root) AS cluster FROM r GROUP BY 1""")
+def field_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers held together by the heaviest tenth of the edges, from the forest alone."""
+    nodes, edge = _field(spark, sf_dir)
+    least = evaluate.upper_rank(edge, "weight", 0.9).first()
+    return graph.clusters(graph.spanning_forest(edge), nodes, least[0] if least else 0)
+
+
 def note_links(docs: DataFrame) -> DataFrame:
     """(id, other, n, kind) of ``docs`` (doc_id, text): each copy of a text hangs on the text's
     smallest id ("copy"), and these link as notes do ("link"); n keywords are common."""
@@ -379,7 +407,7 @@ def html_strip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1")
 def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"))
+    return evaluate.upper_rank(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.95, ["l_returnflag"])
 
 
 @query("WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, v AS p90 FROM r WHERE i = CAST(round_even((n - 1) * 0.9, 0) AS BIGINT)")
@@ -405,7 +433,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequential fold over each text; tested against a plain loop."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("0").alias("sec"), "text")
+    docs = texts(spark, sf_dir).select("doc_id", F.lit("0").alias("sec"), "text")
     return documents.chunks(docs, "doc_id").select("doc_id", "chunk_no", "chunk_id", F.length("text").alias("n"))
 
 

@@ -205,8 +205,8 @@ def ask_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     half = items.select("item_id", F.substr("text", (F.length("text") / 2).cast("int")).alias("text"))
     visible = n.where(memory.retrievable()).select("id", F.col("content").alias("text"))
-    posts = kept(lexical.postings(visible, "id", words=lexical.low_expanded), "postings")
-    hits = [lexical.bm25_topk(visible, q, 12, doc="id", posts=posts).select(F.col("item_id").alias("query"), F.lit(v).alias("variant"), "rank", "id", (F.col("score_micro") / 1e6).alias("score")) for v, q in enumerate((items, half))]
+    at = lexical.bm25_impacts(visible, "id")
+    hits = [lexical.bm25_topk(visible, q, 12, doc="id", at=at).select(F.col("item_id").alias("query"), F.lit(v).alias("variant"), "rank", "id", (F.col("score_micro") / 1e6).alias("score")) for v, q in enumerate((items, half))]
     hits = kept(hits[0].unionByName(hits[1]), "hits")
     wanted = hits.select("id").distinct()
     words = memory.keywords(visible.join(wanted, "id", "left_semi"), "id").groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("keywords"))
@@ -412,4 +412,8 @@ def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, median(value) AS median_value, count(*) AS n FROM events GROUP BY 1")
 def median_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("median_value"), F.count("*").alias("n"))
+    from paperlake.operators import ordered
+
+    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    middle = ordered.median(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", F.col("median").alias("median_value"))
+    return n.join(middle, "event_type", "left").select("event_type", "median_value", "n")

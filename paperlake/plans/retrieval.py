@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.operators import evaluate, lexical, memory, ranking, vectors
 from paperlake.operators.common import kept, micro, small, top
-from paperlake.plans.tables import query, table
+from paperlake.plans.tables import query, table, texts
 
 TOKENS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9一-鿿]+(?:[-_][A-Za-z0-9一-鿿]+)*'), lambda t: lower(t))"
 EXPANDED = "list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z\\-]{{1,}}|\\d+(?:\\.\\d+)?'), lambda t: lower(t))"
@@ -55,7 +55,7 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score_mic
 
 @query(f"{TFIDF} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score_micro FROM r WHERE rank <= 3")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.tfidf_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 3)
+    return lexical.tfidf_topk(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), 3)
 
 
 BM25 = f"""WITH be AS (SELECT doc_id, {expd('text')} AS t FROM documents),
@@ -70,7 +70,7 @@ b AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
 
 @query(f"{BM25} SELECT * FROM b WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return lexical.bm25_topk(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), 10)
 
 
 @query(f"""{BM25}, t3 AS (SELECT item_id, string_agg(text, ' ' ORDER BY rank) AS blob FROM b JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1),
@@ -78,7 +78,7 @@ w AS (SELECT item_id, list_filter({toks('text')}, lambda x: length(x) >= 2)[1:12
 c AS (SELECT item_id, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_filter(k, lambda x: contains(lower(coalesce(blob, '')), x))) / len(k)::DOUBLE END AS conf FROM w LEFT JOIN t3 USING (item_id))
 SELECT item_id, CAST(floor(conf * 1e6 + 0.5) AS BIGINT) AS conf_micro, CAST(floor(greatest(0.0, least(1.0, (conf - 0.6) / 0.4)) * 1e6 + 0.5) AS BIGINT) AS trust_micro FROM c""")
 def lexical_confidence_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     rows = _confidence(docs, items, lexical.bm25_topk(docs, items, 3))
     return rows.select("item_id", micro(F.col("c")).alias("conf_micro"), micro(lexical.trust(F.col("c"))).alias("trust_micro"))
 
@@ -97,7 +97,7 @@ j AS (SELECT * FROM ct FULL JOIN st USING (item_id, doc_id, term))"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str, at: lexical.Index | None = None) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     found = kept(lexical.tfidf_topk(docs, items, 3, at=at).select("item_id", "doc_id"), "found")
     return docs.select("doc_id", F.col("text").alias("source")).join(small(found), "doc_id").join(small(items.select("item_id", F.col("text").alias("claim"))), "item_id")
 
@@ -117,7 +117,7 @@ g AS (SELECT item_id, doc_id, sum(CASE WHEN ctf IS NOT NULL AND stf IS NOT NULL
 b AS (SELECT item_id, doc_id, least(1.0, (0.25 * dot / (cn * sn) + 0.75 * share) * CASE WHEN words < 6 THEN 0.7 ELSE 1 END) AS x FROM g)
 SELECT item_id, doc_id, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS blend_micro, CASE WHEN x < 0.35 THEN 'UNVERIFIED' WHEN x < 0.82 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS band FROM b""")
 def blend_score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lexical.index(table(spark, sf_dir, "documents"))
+    at = lexical.index(texts(spark, sf_dir))
     pairs = kept(_pairs(spark, sf_dir, at).withColumn("pair_id", F.concat_ws("/", "item_id", "doc_id")), "pairs")
     scored = lexical.blend_scores(pairs, at.idf_near())
     band = F.when(F.col("blend") < 0.35, "UNVERIFIED").when(F.col("blend") < 0.82, "NEEDS_REVIEW").otherwise("PASS")
@@ -160,7 +160,7 @@ u AS (SELECT item_id, doc_id, CAST(floor(sum(weight / (60 + rank)) * 1e9 + 0.5)
 
 @query(f"{FUSED}, k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS INTEGER) AS rank, doc_id, rrf AS rrf_nano FROM u) SELECT * FROM k WHERE rank <= 10")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     lists = [x.select("item_id", "doc_id", "rank", F.lit(1.0).alias("weight")) for x in (lexical.tfidf_topk(docs, items, 20), lexical.bm25_topk(docs, items, 20))]
     fused = ranking.rrf(lists[0].unionByName(lists[1]), "item_id", "doc_id").select("item_id", "doc_id", F.floor(F.col("rrf") * 1e9 + 0.5).cast("long").alias("rrf_nano"))
     return top(fused, ["item_id"], [F.desc("rrf_nano"), F.asc("doc_id")], 10).select("item_id", "rank", "doc_id", "rrf_nano")
@@ -191,7 +191,7 @@ g AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC
 
 @query(f"{KEYWORDS} SELECT * FROM g WHERE rank <= 12")
 def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.keywords(table(spark, sf_dir, "documents"), "doc_id")
+    return memory.keywords(texts(spark, sf_dir), "doc_id")
 
 
 @query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
@@ -199,7 +199,7 @@ s AS (SELECT item_id, doc_id, CAST(floor(len(list_intersect(i.w, d.w)) / (len(i.
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sim_micro DESC, doc_id) AS INTEGER) AS rank, doc_id, sim_micro FROM s WHERE sim_micro > 0) SELECT * FROM r WHERE rank <= 5""")
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-set similarity by an equi-join on words: the items are a stated query set."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.word_set(F.col("text")).alias("w"))
+    docs = texts(spark, sf_dir).select("doc_id", X.word_set(F.col("text")).alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", X.word_set(F.col("text")).alias("w"))
     common = docs.select("doc_id", F.size("w").alias("a"), F.explode("w").alias("t")).join(small(items.select("item_id", F.size("w").alias("b"), F.explode("w").alias("t"))), "t")
     n = common.groupBy("item_id", "doc_id", "a", "b").agg(F.count("*").alias("c"))
@@ -210,7 +210,7 @@ def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequential fold; tested against a plain loop."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     pool = kept(lexical.bm25_topk(docs, items, 12).select("item_id", "doc_id", (F.col("rank") - 1).alias("position")), "pool")
     chosen = docs.join(small(pool.select("doc_id").distinct()), "doc_id", "left_semi")
     words = memory.keywords(chosen, "doc_id").groupBy("doc_id").agg(F.collect_list("term").alias("keywords"))
@@ -236,7 +236,7 @@ SELECT * FROM o1 WHERE rank <= 80""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 as the lexical list and TF-IDF in the place of the vector list; trust from the three
     best lexical hits; times of access follow from ids, as documents have none."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     lexic = kept(lexical.bm25_topk(docs, items, 80), "lexical")
     near = kept(lexical.tfidf_topk(docs, items, 80), "near")
     trust = _confidence(docs, items, lexic).select("item_id", lexical.trust(F.col("c")).alias("trust"))

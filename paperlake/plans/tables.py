@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of which every text is worked on: if it has fewer splits than the cluster has
+    cores, its rows are dealt to all of them; larger tables stay as they are."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name, with the same result in DuckDB's SQL."""
 
