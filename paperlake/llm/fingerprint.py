@@ -7,13 +7,19 @@ to or taken from a document by adding or subtracting its vector (``combine``).
 
 Lanes 0 to 15 are the halves of eight XXH64 of the paragraph's SHA-512, added modulo 2^32:
 equal multisets of paragraphs have equal lanes, others differ but for collisions. Lanes 16 to
-143 are the sum over the paragraph's pairs of neighbouring words (split at blanks; the last
-word stands alone) of +1 or -1 by the bits of two XXH64 of the pair, added modulo 2^16: the
-cosine of these lanes estimates that of the two documents' pair counts, which is the likeness.
-Its standard error is about ``(1 - cosine ** 2) / 11``; counts of pairs beyond 32,767 in one
-direction wrap around.
-
-Everything is DataFrame operations. Null texts count as empty; the fingerprint of a text
+143 are the sum over the paragraph's different pairs of neighbouring words (split at blanks;
+the last word stands alone) of +1 or -1 by the bits of two XXH64 of the pair, added modulo
+2^16: the cosine of these lanes estimates that of the two documents' pair counts, which is the
+likeness. Its standard error is about ``(1 - cosine ** 2) / 11``; counts of pairs beyond 32,767
+in one direction wrap around. So that texts without blanks and short ones are seen too, words
+of over ``LONG`` characters are cut into pieces of two, and so is, blanks and all, a text of up
+to ``BRIEF`` characters (up to ``TINY``: of one); pieces pair like words.
+A paragraph's pairs count once, but those of one that mostly repeats at most ``FEW`` pairs
+count by the root of their repeats, so that the norm follows the length.
+
+A document and its edited text share their first paragraphs, which are summed once.
+
+Everything is DataFrame operations. Ids must be whole numbers. Null texts count as empty; the fingerprint of a text
 without a word is zero, its likeness is 1 to an equal one and 0 to others. Extra columns of a
 table, whatever their names, are not looked at.
 """
@@ -23,25 +29,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import stored
+from paperlake.llm.common import stored, whole_numbers
 
 EXACT, GRADED = 16, 128
+LONG, BRIEF, TINY, FEW = 16, 96, 32, 64
 #: Buckets of the chain of rows: so many at most, of about so many rows each.
 MOST_BUCKETS, ROWS_IN_BUCKET = 1 << 16, 64
 #: Rows of one repeated id, or of none, are dealt over so many buckets by their hash.
 SPREAD = 64
 
 
-def sums_of(texts: DataFrame, key: list[str], text: str) -> DataFrame:
+def pieces(c: Column, size: Column | int) -> Column:
+    """``c`` in pieces of ``size`` characters."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), size), lambda i: F.substring(c, i, size))
+
+
+def sums_of(texts: DataFrame, key: list[str], text: str, length: Column | None = None) -> DataFrame:
     """(key..., e, g): the lanes of each row's text, as 32- and 16-bit numbers. ``key`` tells
-    rows apart. If ``texts`` are partitioned by a part of ``key`` nothing is shuffled."""
-    paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda p: F.trim(p) != "")
-    parts = texts.select(*key, F.explode_outer(paragraphs).alias("_p"))
+    rows apart. If ``texts`` are partitioned by a part of ``key`` nothing is shuffled.
+    ``length``: that of the text of which these are paragraphs, if not of these alone."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    paragraphs = F.filter(F.split(whole, "\n"), lambda p: F.trim(p) != "")
+    parts = texts.select(*key, (F.length(whole) if length is None else length).alias("_n"), F.explode_outer(paragraphs).alias("_p"))
     words = F.array_remove(F.split("_p", " "), "")
-    parts = parts.select(*key, F.sha2("_p", 512).alias("_d"), words.alias("_w"))
+    cut = F.flatten(F.transform("_w", lambda w: F.when(F.length(w) > LONG, pieces(w, 2)).otherwise(F.array(w))))
+    parts = parts.select(*key, "_n", "_p", words.alias("_w")).withColumn("_w", F.when(F.col("_p").isNull(), None).when(F.col("_n") <= BRIEF, pieces(F.col("_p"), F.when(F.col("_n") <= TINY, 1).otherwise(2))).when(F.exists("_w", lambda w: F.length(w) > LONG), cut).otherwise(F.col("_w")))
+    parts = parts.select(*key, F.sha2("_p", 512).alias("_d"), "_w")
     # pairs of neighbours; the last word of a paragraph stands alone
     pairs = F.zip_with("_w", F.slice("_w", F.lit(2), F.size("_w")), lambda x, y: F.xxhash64(x, y))
-    parts = parts.select(*key, *[F.xxhash64(F.lit(j), "_d").alias(f"_h{j}") for j in range(EXACT // 2)], pairs.alias("_w"))
+    parts = parts.select(*key, *[F.xxhash64(F.lit(j), "_d").alias(f"_h{j}") for j in range(EXACT // 2)], pairs.alias("_all")).withColumn("_w", F.array_distinct("_all"))
+    often = (F.size("_w") <= FEW) & (2 * F.size("_w") <= F.size("_all"))
+    by_root = F.flatten(F.transform("_w", lambda u: F.array_repeat(u, F.round(F.sqrt(F.size(F.filter("_all", lambda x: x == u)))).cast("int"))))
+    parts = parts.withColumn("_w", F.when(often, by_root).otherwise(F.col("_w"))).drop("_all")
     units = parts.select(*key, *[f"_h{j}" for j in range(EXACT // 2)], F.posexplode_outer("_w").alias("_at", "_u0"))
     units = units.withColumn("_u1", F.when(F.col("_u0").isNotNull(), F.xxhash64(F.lit(1), "_u0")))
     low = F.lit(0xFFFFFFFF).cast("long")
@@ -105,6 +125,7 @@ def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     null ids, are cut further by the hash of the text. Each bucket ends with the first row of
     the one after it as a guest, so no task needs more than one bucket. Rows are partitioned
     by ``bucket`` and texts are shuffled once."""
+    whole_numbers(docs, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     side = max(1, int(min(MOST_BUCKETS, rows.count() // ROWS_IN_BUCKET) ** 0.5))
     n = side * side
@@ -151,14 +172,21 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.withColumn("edited", F.when(~F.col("guest"), edited).otherwise(F.lit("")))
+    # the characters up to the last line feed of what stays; short texts are cut by their length
+    stays = F.left("text", n - third)
+    shared = F.when(F.least(n, F.length("edited")) > BRIEF, F.length(stays) - F.length(F.substring_index(stays, "\n", -1))).otherwise(0)
     # the digest goes through the sums as four numbers, which make a narrow key
     sha = [F.conv(F.substring(F.sha2("edited", 256), 16 * i + 1, 16), 16, -10).cast("long").alias(f"s{i}") for i in range(4)]
     key = ["bucket", "rn", "guest", "doc_id", "n_chars", "s0", "s1", "s2", "s3", "which"]
-    rows = rows.select("bucket", "rn", "guest", "doc_id", n.cast("long").alias("n_chars"), *sha, F.array("text", "edited").alias("texts"))
-    rows = rows.select(*key[:-1], F.posexplode_outer("texts").alias("which", "text"))
+    rest = lambda c: F.substring(F.col(c), F.col("shared") + 1, F.greatest(F.length(c), F.lit(1)))
+    rows = rows.withColumn("shared", shared).select("bucket", "rn", "guest", "doc_id", n.cast("long").alias("n_chars"), *sha, F.length("edited").alias("_edited"), F.array(F.left("text", F.col("shared")), rest("text"), rest("edited")).alias("texts"))
+    rows = rows.select(*key[:-1], "_edited", F.posexplode_outer("texts").alias("which", "text"))
     w = Window.partitionBy("bucket").orderBy("rn", "which")
-    lanes = sums_of(rows, key, "text").withColumn("v", F.struct("e", "g"))
-    out = lanes.select(*key, F.col("v").alias("a"), F.lead("v", 1).over(w).alias("b"), F.lead("v", 2).over(w).alias("c")).where((F.col("which") == 0) & ~F.col("guest"))
+    own = F.when(F.col("which") == 2, F.col("_edited")).otherwise(F.col("n_chars"))
+    lanes = sums_of(rows, key, "text", own).withColumn("v", F.struct("e", "g"))
+    # in order: what is shared, the rest of the text, that of the edited text; the next document's
+    out = lanes.select(*key, F.col("v").alias("v0"), *[F.lead("v", i).over(w).alias(f"v{i}") for i in range(1, 5)]).where((F.col("which") == 0) & ~F.col("guest"))
     digest = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
-    out = out.select("doc_id", "n_chars", digest.alias("edited_sha256"), *[unpacked(F.col(f"{x}.e"), F.col(f"{x}.g")).alias(x) for x in "abc"])
+    out = out.select("doc_id", "n_chars", digest.alias("edited_sha256"), *[unpacked(F.col(f"v{i}.e"), F.col(f"v{i}.g")).alias(f"v{i}") for i in range(5)])
+    out = out.select("doc_id", "n_chars", "edited_sha256", *[combine(F.col(f"v{i}"), F.col(f"v{j}")).alias(x) for x, i, j in (("a", 0, 1), ("b", 0, 2), ("c", 3, 4))])
     return out.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("a")).alias("fingerprint"), text_of(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
