@@ -7,8 +7,8 @@ last one is moved back to end with it); both directions of the network run over
 attention pools its states, and the document's logit is that of its highest window.
 
 Only documents are labelled, so training has to find the windows that count: first those of
-toxic documents that hold the words most peculiar to such documents (around these, other words
-are drawn from clean windows), then, round by round,
+toxic documents that hold the words, or words with the runs of ``STEM`` characters, most
+peculiar to such documents (around these, other words are drawn from clean windows), then, round by round,
 the network's own highest windows of toxic documents against the highest and some random
 windows of clean ones. A part of the sample is held back to place the score of 0.7.
 
@@ -34,7 +34,8 @@ from paperlake.llm.common import give_back, named_apart, slices
 from paperlake.llm.tokenfile import spans
 
 WINDOW, STRIDE = 24, 16
-WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 8
+WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 14, 8, 8
+STEM, STEMS = 5, 1 << 20
 SLICE_BYTES = 4 << 20
 CHUNK = 2048
 
@@ -237,18 +238,44 @@ def release() -> None:
     give_back()
 
 
-def peculiar(n_words: int, index: np.ndarray, counts: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """How much each word speaks for toxic documents: the number of ``known`` toxic documents
-    that have it times the smoothed log of its odds there; 0 in fewer than two of them, and
-    for the padding after the last word."""
-    has = np.unique(np.repeat(np.arange(len(y)), counts) * np.int64(n_words + 1) + index)
-    owner, word = has // (n_words + 1), has % (n_words + 1)
-    of = lambda label: np.bincount(word[(known & (y == label))[owner]], minlength=n_words + 1)
-    toxic, clean = of(1), of(0)
-    odds = np.log((toxic + 0.5) / ((known & (y == 1)).sum() + 1)) - np.log((clean + 0.5) / ((known & (y == 0)).sum() + 1))
+def stems(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed runs of ``STEM`` characters of all words, and how many each word has."""
+    texts = words.to_pylist()
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = np.maximum(sizes - STEM + 1, 0)
+    at = spans(np.cumsum(sizes) - sizes, counts)
+    mixed = np.zeros(len(at), np.uint32)
+    for k in range(STEM):
+        mixed = mixed * np.uint32(0x01000193) ^ points[at + k]
+    return (((mixed ^ mixed >> np.uint32(15)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - int(np.log2(STEMS)))).astype(np.int64), counts
+
+
+def _speaks(toxic: np.ndarray, clean: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of how many toxic and clean documents a thing is in: the number of toxic ones times the
+    smoothed log of its odds there; 0 in fewer than two of them."""
+    odds = np.log((toxic + 0.5) / ((y == 1).sum() + 1)) - np.log((clean + 0.5) / ((y == 0).sum() + 1))
     return np.where(toxic < 2, 0.0, toxic * np.maximum(odds, 0))
 
 
+def peculiar(words: pa.Array, index: np.ndarray, counts: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How much each word, or the run of characters in it that says most, speaks for toxic
+    documents, by the ``known`` ones; 0 for the padding after the last word."""
+    n, (grams_of, own) = len(words), stems(words)
+    first, bounds = np.cumsum(own) - own, np.concatenate([[0], np.cumsum(counts)])
+    by_word, by_stem = np.zeros((2, n + 1), np.int64), np.zeros((2, STEMS), np.int64)
+    for doc in np.flatnonzero(known):
+        has = np.unique(index[bounds[doc] : bounds[doc + 1]])
+        by_word[y[doc], has] += 1
+        by_stem[y[doc], np.unique(grams_of[spans(first[has], own[has])])] += 1
+    out = _speaks(by_word[1], by_word[0], y[known])
+    stem = np.append(_speaks(by_stem[1], by_stem[0], y[known])[grams_of], 0.0)
+    some = np.flatnonzero(own)
+    if len(some):
+        out[some] = np.maximum(out[some], np.maximum.reduceat(stem, first[some]))
+    return out
+
+
 def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, seed: int = 7, rounds: int = 5, steps: int = 80, batch: int = 128, rate: float = 0.01, cut: float = 0.7) -> Network:
     """Fits a network to texts (in memory) and their labels."""
     y = np.asarray(labels, np.int64)
@@ -263,7 +290,7 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, se
     padded, steps_in = np.append(index, len(words)), np.arange(WINDOW)
     aside = rng.random(len(y)) < 0.2
     fit = ~aside[doc]
-    value = peculiar(len(words), index, counts, y, ~aside)
+    value = peculiar(words, index, counts, y, ~aside)
     placed = np.append(value[index], 0.0)
     best = np.empty(len(start))
     for low in range(0, len(start), 1 << 16):
@@ -271,7 +298,7 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, se
         best[here] = placed[np.where(steps_in < size[here, None], start[here, None] + steps_in, len(index))].max(axis=1)
     highest = np.zeros(len(y))
     np.maximum.at(highest, doc, best)
-    bad, good = np.flatnonzero(fit & (y[doc] == 1) & (best >= 0.5 * highest[doc])), np.flatnonzero(fit & (y[doc] == 0))
+    bad, good = np.flatnonzero(fit & (y[doc] == 1) & (best >= 0.7 * highest[doc])), np.flatnonzero(fit & (y[doc] == 0))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -307,10 +334,10 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, se
     top = np.maximum.reduceat(z, np.searchsorted(doc, np.arange(len(y)))).astype(np.float64)
     seen = aside if len(set(y[aside].tolist())) == 2 else np.ones(len(y), bool)
     # the cut lies in the middle of the gap that tells documents apart best; calling a clean
-    # document toxic counts four times
+    # document toxic counts three times
     at = np.sort(np.unique(top[seen]))
     mids = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-    right = np.array([(y[seen & (top >= m)] == 1).sum() - 4 * (y[seen & (top >= m)] == 0).sum() for m in mids])
+    right = np.array([(y[seen & (top >= m)] == 1).sum() - 3 * (y[seen & (top >= m)] == 0).sum() for m in mids])
     best = np.flatnonzero(right == right.max())
     middle = float((mids[best[0]] + mids[best[-1]]) / 2)
     net.scale = 1.0
@@ -319,13 +346,16 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, se
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, accept, most: tuple[int, int]) -> DataFrame:
-    """(text, label) of labelled rows that ``accept`` (a condition on doc_id) lets in: at most
-    ``most[0]`` of label 0 and ``most[1]`` of label 1, those of the smallest hashes of their
-    ids, so whatever else is in the tables the same ids are taken. Null labels are left out."""
+    """(doc_id, text, label) of labelled rows that ``accept`` (a condition on doc_id) lets in: at
+    most ``most[0]`` of label 0 and ``most[1]`` of label 1, in the order of the hashes of their
+    ids and texts, so whatever else is in the tables the same rows are taken. Null labels are
+    left out; rows of one id and text count once for a label."""
     ids = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(accept).where("label in (0, 1) and doc_id is not null").distinct()
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
-    # sum(most) rows at most
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "text", "label")
+    # sum(most) ids at most; an id may have many rows, so these are bounded again
+    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id", "text", "label"])
+    n = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    return rows.withColumn("_n", n).where((F.col("_n") <= max(most)) & (F.col("_n") <= F.when(F.col("label") == 0, most[0]).otherwise(most[1]))).drop("_n")
 
 
 def fit(docs: DataFrame, labels: DataFrame, accept, label: str = "toxic", most: tuple[int, int] = (1500, 1200), most_bytes: int = 48 << 20) -> Network:
