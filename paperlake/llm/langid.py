@@ -25,7 +25,6 @@ from paperlake.llm.common import give_back, named_apart, slices
 ORDERS, BINS = (1, 2, 3), 1 << 14
 SHARPNESS = 40.0
 SLICE_BYTES = 1 << 20
-MOST_LANGUAGES = 256
 _letters: list[np.ndarray] = []
 
 
@@ -89,11 +88,10 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str | Column = "doc_id", rows_per_language: int | None = 3000, smoothing: float = 0.5) -> Model:
     """Learns from ``labelled``: rows of which text or language is null are left out. Of each
     language about ``rows_per_language`` rows count, taken by a hash of ``key`` (all: None);
-    that bound is for speed alone, as nothing but counts leaves the executors."""
+    that bound is for speed alone, as nothing but counts leaves the executors. The model has
+    ``BINS`` numbers for each order and language; all the languages there are count."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h")).where("text is not null and lang is not null")
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     names = sorted(found)
     if not names:
         return Model([], np.zeros((1, 0), np.float32))

@@ -74,9 +74,9 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "simhash"
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist() if batch.num_rows else []
-            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
+            for piece in slices(batch, at):
+                prints = np.array([fingerprint(t, shingle) for t in piece.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(prints)], [*piece.schema.names, name])
             give_back()
 
     return docs.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import give_back, new_path, slices, stored
+from paperlake.llm.common import give_back, new_path, slices, stored, whole_numbers
 
 SEEK_MAGIC, SEEK_FOOT, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
 FRAME_IDS = 1 << 16
@@ -267,7 +267,7 @@ _ROWS = pa.schema([(f.name, pa.int64()) for f in ROWS])
 
 
 def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, files: int | None = None, frame_ids: int = FRAME_IDS, special_as_text: bool = False) -> DataFrame:
-    """Writes the ids of all rows in ascending order of doc_id (null first; rows of one id by
+    """Writes the ids of all rows in ascending order of doc_id (whole numbers; null first; rows of one id by
     the hash of their text) and returns the manifest, itself stored in the shared folder: a
     row for every ``LISTED`` documents of a file, with their ids and the number of the first.
     Null and empty texts have ``end_id`` alone. ``files``: by default one for each shuffle
@@ -275,6 +275,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     over files by the hash. A task writes under a name of its own and attempt, so only files
     of tasks that ended well are listed. Extra columns are not looked at; an empty table gives
     an empty manifest."""
+    whole_numbers(docs, doc_id)
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

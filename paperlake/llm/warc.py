@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import new_path, saved, stored
+from paperlake.llm.common import new_path, saved, stored, whole_numbers
 from paperlake.llm.tokenfile import open_fs
 
 STEP = 1 << 16
@@ -175,8 +175,9 @@ MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("r
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 5, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes all rows to archives in the shared folder and returns their manifest (path,
-    records), stored there too. A task writes under names of its own and attempt, so only
+    records), stored there too. ``page_id`` must hold whole numbers (null: no id). A task writes under names of its own and attempt, so only
     archives of tasks that ended well are listed."""
+    whole_numbers(pages, page_id)
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))

@@ -418,35 +418,47 @@ def test_fingerprints(spark, odd, empty):
     assert fingerprint.compared(empty).count() == 0 and fingerprint.compared(df.limit(1)).count() == 1
 
 
+def own_units(p, whole):
+    """What pairs up in a paragraph: words, pieces of long ones, or pieces of a short text."""
+    if len(whole) <= 96:
+        size = 1 if len(whole) <= 32 else 2
+        return [p[i : i + size] for i in range(0, len(p), size)]
+    return [x for w in p.split(" ") if w for x in ([w[i : i + 2] for i in range(0, len(w), 2)] if len(w) > 16 else [w])]
+
+
 def own_lanes(text):
     """The lanes of a text by a plain loop: hashes as Spark chains them."""
     number = lambda v, n, seed=42: xxhash.xxh64_intdigest(v.to_bytes(n, "little"), seed)
     exact, graded = [0] * 16, [0] * 128
     for p in text.split("\n"):
-        words = [w for w in p.split(" ") if w]
-        if not words:
+        if not p.strip(" "):
             continue
+        words = own_units(p, text)
         digest = hashlib.sha512(p.encode()).hexdigest().encode()
         for j in range(8):
             h = xxhash.xxh64_intdigest(digest, number(j, 4))
             exact[2 * j] += h & 0xFFFFFFFF
             exact[2 * j + 1] += h >> 32
+        units = Counter()
         for x, y in zip(words, [*words[1:], None]):
             one = xxhash.xxh64_intdigest(x.encode(), 42)
-            one = one if y is None else xxhash.xxh64_intdigest(y.encode(), one)
+            units[one if y is None else xxhash.xxh64_intdigest(y.encode(), one)] += 1
+        often = len(units) <= 64 and 2 * len(units) <= len(words)
+        for one, n in units.items():
+            n = round(math.sqrt(n)) if often else 1
             for k, h in enumerate((one, number(one, 8, number(1, 4)))):
                 for i in range(64):
-                    graded[64 * k + i] += 1 if h >> i & 1 else -1
+                    graded[64 * k + i] += n if h >> i & 1 else -n
     return [x % (1 << 32) for x in exact] + [x % (1 << 16) for x in graded]
 
 
 def test_fingerprints_equal_a_plain_loop(spark):
-    docs = [(9, "one two three four five six\nseven  eight\n\n nine"), (5, "ä ö 漢字 ü\nlast line here"), (5, "a b"), (4, None), (2, " \n "), (None, "without an id"), (7, "one two three four five six\nseven  eight")]
+    docs = [(9, "one two three four five six\nseven  eight\n\n nine"), (12, "a b " * 20 + "\n" + "long" * 9 + " c\nx y z\n" + "q r " * 9), (11, "漢字" * 60 + "\nend of it here"), (5, "ä ö 漢字 ü\nlast line here"), (5, "a b"), (4, None), (2, " \n "), (None, "without an id"), (7, "one two three four five six\nseven  eight")]
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, bucket string, _h0 int")
     got = fingerprint.compared(df).collect()
     hexed = lambda lanes: "".join(f"{x:08x}" for x in lanes[:16]) + "".join(f"{x:04x}" for x in lanes[16:])
     by_hash = {r["edited_sha256"]: r for r in got}
-    order = [docs[0], docs[6], *sorted(docs[1:3], key=lambda d: -np.array([xxhash.xxh64_intdigest(d[1].encode(), 42)], np.uint64).view(np.int64)[0]), docs[3], docs[4], docs[5]]
+    order = [docs[1], docs[2], docs[0], docs[8], *sorted(docs[3:5], key=lambda d: -np.array([xxhash.xxh64_intdigest(d[1].encode(), 42)], np.uint64).view(np.int64)[0]), docs[5], docs[6], docs[7]]
     assert len(got) == len(docs)
     for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
         text, after = text or "", after or ""
@@ -465,7 +477,7 @@ def test_fingerprint_likeness_is_near_the_cosine(spark):
 
     def pairs(text):
         words = text.split(" ")
-        return Counter(zip(words, [*words[1:], None]))
+        return Counter(set(zip(words, [*words[1:], None])))
 
     def cosine(a, b):
         return sum(n * b[x] for x, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
@@ -480,6 +492,97 @@ def test_fingerprint_likeness_is_near_the_cosine(spark):
     assert max(map(abs, off_edited)) < 0.25 and np.std(off_edited) < 0.09 and max(map(abs, off_next)) < 0.4
 
 
+def test_fingerprints_see_texts_without_blanks_and_short_ones(spark):
+    rng = random.Random(9)
+    docs = [(i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))) for i, n in enumerate([600, 300, 150] * 4)]
+    docs += [(100 + i, " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 8))) for _ in range(n))) for i, n in enumerate([1, 2, 4, 6, 9, 14, 20, 40] * 6)]
+    rows = fingerprint.compared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    low = [r for r in rows if r["n_chars"] >= 30 and r["near_edited"] < 0.45]
+    assert len(low) <= 1 and all(r["near_edited"] > 0.1 for r in rows if r["n_chars"] >= 6)
+    assert np.mean([r["near_next"] for r in rows if r["n_chars"] > 32]) < 0.15
+
+
+def test_ids_of_another_kind_are_refused(spark):
+    texts = spark.createDataFrame([("d0", "a", "b")], "doc_id string, text string, html string")
+    for run in (lambda: fingerprint.compared(texts), lambda: tokenfile.write(texts, tokenizers.path("word_bpe_49k.json")), lambda: warc.write(texts, page_id="doc_id", url="text")):
+        with pytest.raises(TypeError, match="whole numbers"):
+            run()
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(1, "text 0")] * 50 + [(i, None) for i in range(2, 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(1, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, "toxic", F.lit(True), (20, 30)).collect()
+    assert sum(r["label"] == 0 for r in got) == 20 and sum(r["label"] == 1 for r in got) == 30
+
+
+def test_network_gradients_and_windows_equal_plain_ones():
+    """Gradients by finite differences; window scores by a loop over words."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Network.new(5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = pa.array([" ".join(rng.choice(["alpha", "be", "gamma1", "délta", "x"], n)) for n in (1, 7, 24, 25, 70)] + [""], pa.large_string())
+    words, index, counts = toxicity.tokens(texts)
+    start, size, doc = toxicity.windows(counts)
+    ids, tri, own = toxicity.grams(words)
+    ids, own = np.append(ids, 0), np.append(own, 0)
+    words_in, padded = (ids, tri, own, np.cumsum(own) - own), np.append(index, len(words))
+    steps = np.arange(toxicity.WINDOW)
+    at = padded[np.where(steps < size[:, None], start[:, None] + steps, len(padded) - 1)]
+
+    class Keep:
+        def random(self, shape):
+            return np.ones(shape)
+
+    def one(w, p):
+        """The logit of a window of words, step by step."""
+        if not w:
+            return float(p["b"][0])  # the pooled state is zero
+        sig = lambda x: 1 / (1 + np.exp(-x))
+        places = words.to_pylist()
+        x = []
+        for word in w:
+            k = places.index(word)
+            t = tri[np.cumsum(own)[k] - own[k] : np.cumsum(own)[k]]
+            x.append(np.concatenate([p["word"][ids[k]], p["gram"][t].mean(axis=0)]))
+        states = [[], []]
+        h_size = toxicity.HIDDEN
+        for n, d in enumerate("fb"):
+            h = np.zeros(h_size)
+            for v in x if d == "f" else x[::-1]:
+                g, u = v @ p[f"in_{d}"] + p[f"bias_{d}"], p[f"at_{d}"]
+                z, r = sig(g[:h_size] + h @ u[:, :h_size]), sig(g[h_size : 2 * h_size] + h @ u[:, h_size : 2 * h_size])
+                new = np.tanh(g[2 * h_size :] + r * (h @ u[:, 2 * h_size :]))
+                h = new + z * (h - new)
+                states[n].append(h)
+        s = np.hstack([np.array(states[0]), np.array(states[1][::-1])])
+        e = np.exp(s @ p["v"] - (s @ p["v"]).max())
+        return float((e / e.sum()) @ (s @ p["w"]) + p["b"][0])
+
+    lists = [t.lower().split() for t in texts.to_pylist()]
+    plain, base = [], np.concatenate([[0], np.cumsum(counts)])
+    for a, n, d in zip(start.tolist(), size.tolist(), doc.tolist()):
+        plain.append(one(lists[d][a - base[d] : a - base[d] + n], net.p))
+    some = size > 0
+    assert np.allclose(net.logits(words, index, start, size)[some], np.array(plain)[some], atol=2e-5)
+    label, weight = (np.arange(len(at)) % 2).astype(float), np.ones(len(at))
+    grads = net.gradients(words_in, at[some], size[some], label[some], weight[some], Keep())
+
+    def loss(p):
+        z = np.array([one(lists[d][a - base[d] : a - base[d] + n], p) for a, n, d in zip(start[some].tolist(), size[some].tolist(), doc[some].tolist())])
+        return float(np.mean(np.log1p(np.exp(z)) - label[some] * z))
+
+    for name in net.p:
+        flat = np.flatnonzero(np.abs(grads[name]).ravel() > 1e-4)
+        for i in rng.choice(flat, min(4, len(flat)), replace=False):
+            moved = {k: v.copy() for k, v in net.p.items()}
+            ends = []
+            for step in (1e-4, -1e-4):
+                moved[name].ravel()[i] = net.p[name].ravel()[i] + step
+                ends.append(loss(moved))
+            assert abs((ends[0] - ends[1]) / 2e-4 - grads[name].ravel()[i]) < 1e-3 * max(1.0, abs(grads[name].ravel()[i]) * 10), name
+
+
 def test_fingerprints_of_one_repeated_id(spark):
     docs = [(7, f"text number {i}") for i in range(900)] + [(i, "other") for i in range(8, 40)]
     rows = fingerprint.compared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
