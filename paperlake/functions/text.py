@@ -178,6 +178,11 @@ def content_hash(c: Column, digits: int = 24) -> Column:
     return F.substring(F.sha2(blank(c), 256), 1, digits)
 
 
+def normal_text(c: Column) -> Column:
+    """White space of any kind as single blanks, none around; null counts as empty."""
+    return F.trim(F.regexp_replace(blank(c), r"(?U)\s+", " "))
+
+
 def text_score(gold: Column, found: Column) -> Column:
     """1 less the edit distance as a share of the gold text, 0 at least."""
     n = F.length(gold)

@@ -33,6 +33,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def blocks(df: DataFrame, most: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """A stated set of queries in parts of about ``most`` rows at most, each with a broadcast
+    hint: what has to be held against all rows of a table then meets it part by part."""
+    n = -(-df.count() // most)
+    if n <= 1:
+        return [F.broadcast(df)]
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(2 * n))
+    return [F.broadcast(df.where(part == i)) for i in range(2 * n)]
+
+
 def light(df: DataFrame, text: str = "text", most: int = 32 << 20) -> bool:
     """Whether the texts of a table have few bytes, so that what follows from each of their
     words is small too."""

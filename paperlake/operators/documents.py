@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.functions import text as X
-from paperlake.functions.text import blank, keyword_tokens, normal_item
+from paperlake.functions import reading
+from paperlake.functions.text import blank, normal_item
 from paperlake.operators.common import top
 
 # fixed values: headings by section name with their default numbers, and what ends a paper
@@ -126,15 +126,9 @@ def chunks(parts: DataFrame, key: str = "paper_id", sec: str = "sec", text: str
     return rows.select(key, sec, (F.col("n") + 1).alias("chunk_no"), F.concat(F.col(key).cast("string"), F.lit("_Sec"), F.col(sec).cast("string"), F.lit("_C"), F.lpad((F.col("n") + 1).cast("string"), 3, "0")).alias("chunk_id"), "text")
 
 
-def extractive(docs: DataFrame, key: str, text: str = "text", most: int = 500, sentences: int = 6, words: int = 8) -> DataFrame:
-    """(key, summary): of the ``sentences`` with most keyword hits, in their order, those that
-    fit into ``most`` characters before the first that does not."""
-    rows = docs.select(key, F.slice(F.array_distinct(F.transform(keyword_tokens(F.col(text)), F.lower)), 1, words).alias("kw"), F.posexplode(X.sentences(F.col(text))).alias("pos", "s"))
-    rows = rows.withColumn("hits", F.size(F.filter("kw", lambda k: F.contains(F.lower("s"), k)))).drop("kw")
-    best = top(rows, [key], [F.desc("hits"), F.asc("pos")], sentences)
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    fits = best.withColumn("n", F.sum(F.length("s") + 1).over(upto)).where(F.col("n") - 1 <= most)
-    return fits.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("summary"))
+def extractive(docs: DataFrame, key: str, text: str = "text", most: int = 500, must_have: Column | None = None) -> DataFrame:
+    """(key, summary), a row for each of ``docs``: see ``reading.extract``."""
+    return docs.select(key, reading.extract(F.col(text), most, must_have).alias("summary"))
 
 
 def figure_references(parts: DataFrame, key: str = "paper_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ def alias_table(spark: SparkSession, policy: dict[str, str] | None = None, call:
 
 def resolve(df: DataFrame, aliases: DataFrame, name: str, out: str) -> DataFrame:
     """Adds ``out``: the canonical name, one step; else the trimmed name."""
-    a = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
+    a = small(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
     return df.join(a, F.lower(F.trim(name)) == F.col("_a"), "left").withColumn(out, F.coalesce("_c", F.trim(name))).drop("_a", "_c")
 
 
@@ -79,24 +79,24 @@ def sanitize_relations(relations: DataFrame, entities: DataFrame, aliases: DataF
     return top(rows, ["batch", "src", "rel", "dst"], [F.asc("ord")], 1, "_r").drop("_r", "ord")
 
 
-def rule_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def rule_entities(docs: DataFrame, key: str, text: str = "text", names: list[tuple[str, str]] = TRIGGERS) -> DataFrame:
     """(key, ord, name, type) of the trigger names that a text has."""
-    low = F.filter(F.array(*[F.when(mentions(F.col(text), F.lit(n)), F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(t).alias("type"))) for i, (n, t) in enumerate(TRIGGERS)]), lambda x: x.isNotNull())
+    low = F.filter(F.array(*[F.when(mentions(F.col(text), F.lit(n)), F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(t).alias("type"))) for i, (n, t) in enumerate(names)]), lambda x: x.isNotNull())
     return docs.select(key, F.explode(low).alias("e")).select(key, "e.ord", "e.name", "e.type")
 
 
-def rule_relations(docs: DataFrame, key: str, text: str = "text", most: int = 12) -> DataFrame:
+def rule_relations(docs: DataFrame, key: str, text: str = "text", most: int = 12, names: list[tuple[str, str]] = TRIGGERS, hints: list[tuple[str, str]] = HINTS) -> DataFrame:
     """(key, src, rel, dst, ev): pairs of trigger names in one sentence that hints at a
     relation, in order of sentences and names. A text's search stops after the first name with
     which it has ``most`` pairs, repeats counted; each pair is given once."""
     rows = docs.select(key, F.posexplode(sentences(F.col(text))).alias("no", "s"))
-    rel = F.coalesce(*[F.when(F.col("s").rlike(f"(?iu){p}"), F.lit(r)) for r, p in HINTS])
+    rel = F.coalesce(*[F.when(F.col("s").rlike(f"(?iu){p}"), F.lit(r)) for r, p in hints])
     rows = rows.withColumn("rel", rel).where("rel is not null")
-    found = rule_entities(rows.select(F.struct(key, "no", "s", "rel").alias("k"), F.col("s").alias("t")), "k", "t")
+    found = rule_entities(rows.select(F.struct(key, "no", "s", "rel").alias("k"), F.col("s").alias("t")), "k", "t", names)
     pairs = found.alias("a").join(found.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.ord") != F.col("b.ord")))
     rows = pairs.select(F.col(f"a.k.{key}").alias(key), F.col("a.k.no").alias("no"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.col("a.name").alias("src"), F.col("a.k.rel").alias("rel"), F.col("b.name").alias("dst"), F.left(F.col("a.k.s"), F.lit(160)).alias("ev"))
     order = [F.asc("no"), F.asc("i"), F.asc("j")]
-    raw = top(rows, [key], order, most + len(TRIGGERS), "_n")
+    raw = top(rows, [key], order, most + len(names), "_n")
     begun = raw.withColumn("_first", F.min("_n").over(Window.partitionBy(key, "no", "i"))).where(F.col("_first") <= most)
     first = top(begun, [key, "src", "rel", "dst"], order, 1, "_d")
     return top(first, [key], [F.asc("no"), F.asc("i"), F.asc("j")], most, "_r").select(key, "src", "rel", "dst", "ev")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.operators.documents import extractive
+from paperlake.functions import reading
+from paperlake.functions.text import blank
 
 # fixed values: the section names of an outline, in its order
 BUCKETS = ["abstract", "intro", "method", "experiments", "conclusion"]
@@ -33,16 +34,18 @@ def drafts(outlines: DataFrame, chunks: DataFrame, key: str = "paper_id", most:
 
 
 def citation_chain(chunks: DataFrame, key: str = "paper_id", most: int = 2400) -> DataFrame:
-    line = F.concat(F.lit("[Source: "), F.col("chunk_id"), F.lit("] "), F.left("text", F.lit(220)))
-    return chunks.groupBy(key).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", line.alias("line")))), lambda s: s["line"]), "\n"), F.lit(most)).alias("chain"))
-
-
-def digest(docs: DataFrame, key: str, text: str = "text", window: int = 3000, each: int = 500) -> DataFrame:
-    """(key, digest): every window of a text summed up by itself, in order; nothing is cut off."""
-    n = F.greatest(F.ceil(F.length(text) / float(window)), F.lit(1)).cast("int")
-    parts = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * window + 1, F.lit(window)))).alias("no", "part"))
-    sums = extractive(parts.select(F.struct(key, "no").alias("k"), "part"), "k", "part", each)
-    return sums.groupBy(F.col(f"k.{key}").alias(key)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("k.no").alias("no"), "summary"))), lambda s: s["summary"]), "\n").alias("digest"))
+    """(key, chain): a paper's chunks with their ids, 220 characters of each with a text, reduced
+    evenly to ``most``."""
+    body = F.trim(F.regexp_replace(blank(F.col("text")), r"\s+", " "))
+    line = F.concat(F.lit("[Source: "), F.trim("chunk_id"), F.lit("] "), F.left(body, F.lit(220)))
+    rows = chunks.select(key, "chunk_id", line.alias("line"), (body != "").alias("has"))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("has") & (F.trim("chunk_id") != ""), F.struct("chunk_id", "line")))), lambda s: s["line"])
+    return rows.groupBy(key).agg(lines.alias("lines")).select(key, reading.even_reduced(F.col("lines"), most).alias("chain"))
+
+
+def digest(docs: DataFrame, key: str, text: str = "text", most: int = 1200, must_have: Column | None = None) -> DataFrame:
+    """(key, digest), a row for each of ``docs``: see ``reading.digested``."""
+    return docs.select(key, reading.digested(F.col(text), most, must_have).alias("digest"))
 
 
 def artefact_status(statuses: DataFrame, wanted: list[str], key: str = "paper_id") -> DataFrame:

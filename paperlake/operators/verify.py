@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import blank, keyword_tokens, location, sentence_spans
-from paperlake.operators.common import top
+from paperlake.operators.common import blocks, top
 
 # fixed values: the shape of a citation
 CITATION = r"(?i)[\[【]\s*ref\s*[:：]\s*([^,\]】，]+?)\s*[,，]\s*([^\]】]+?)\s*[\]】]"
@@ -107,6 +107,16 @@ def lexical_support(words: Column, context: Column, least: float = 0.34) -> Colu
     return (F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.contains(low, F.lower(w)))) >= least * F.size(words))
 
 
+def supported(docs: DataFrame, claims_: DataFrame, most: int = 100_000) -> DataFrame:
+    """(item_id, doc_id, supported) of every claim (item_id, words) against every document
+    (doc_id, context): claims are a stated set and are held against the table in blocks."""
+    rows = [docs.join(b, how="cross").select("item_id", "doc_id", lexical_support(F.col("words"), F.lower("context")).alias("supported")) for b in blocks(claims_, most)]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def quotes_hold(quotes: DataFrame, evidence: DataFrame, shortest: int = 12) -> DataFrame:
     """(verdict_id, valid): every quote (verdict_id, evidence_id, quote) has ``shortest``
     characters and stands word for word in the evidence it names."""
