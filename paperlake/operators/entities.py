@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import blank, dedup_key, mentions, sentences
+from paperlake.operators import similar
 from paperlake.operators.common import small, top
 
 # fixed values: what a graph may hold, names that say nothing, and aliases
@@ -46,25 +46,8 @@ def sanitize_entities(items: DataFrame, aliases: DataFrame, generic: list[str] =
 
 def merge_similar(kept: DataFrame, least: float = 0.85) -> DataFrame:
     """Greedy merging by word similarity in order: each name joins the first kept one that is
-    ``least`` similar: (batch, ord, canonical, into). Sequential, so a pandas group a batch."""
-    import re
-
-    def words(name: str) -> frozenset:
-        runs = re.findall("[一-鿿]{2,}", name)
-        return frozenset(re.findall("[a-z0-9]+", name.lower())) | {r[i : i + 2] for r in runs for i in range(len(r) - 1)}
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, stays, into = rows.sort_values("ord"), [], []
-        for name in rows["canonical"]:
-            own = words(name)
-            near = next((n for n, w in stays if own and w and len(own & w) / len(own | w) >= least), None)
-            if near is None:
-                stays.append((name, own))
-            into.append(near or name)
-        return rows.assign(into=into)[["batch", "ord", "canonical", "into"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-    return kept.select("batch", "ord", "canonical").groupBy("batch").applyInPandas(fold, f"batch {kinds['batch']}, ord {kinds['ord']}, canonical string, into string")
+    ``least`` similar: (batch, ord, canonical, into). See ``similar.merged``."""
+    return similar.merged(kept.select("batch", "ord", "canonical"), least)
 
 
 def sanitize_relations(relations: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:

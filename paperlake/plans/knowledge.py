@@ -211,6 +211,15 @@ def contradiction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.contradictions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), "text"), rel)
 
 
+@query()
+def merged_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of the documents of a source as names, merged at a similarity of .6; the plain
+    fold tests it."""
+    line = F.left(F.split_part(X.blank(F.col("text")), F.lit("\n"), F.lit(1)), F.lit(80))
+    names = texts(spark, sf_dir).select(F.col("source").alias("batch"), F.col("doc_id").alias("ord"), line.alias("canonical")).where("batch is not null")
+    return entities.merge_similar(names, 0.6)
+
+
 #: Frequent words of the documents as names, and what hints at a relation in their sentences.
 WORDS = [("the", "Algorithm/Model"), ("tion", "Problem/Task"), ("of", "Algorithm/Model"), ("der", "Dataset/Benchmark"), ("die", "Evaluation Metric"), ("de", "Algorithm/Model"), ("la", "Problem/Task"), ("que", "Evaluation Metric"), ("on", "Theoretical Component")]
 SIGNS = [("Improves_Upon", "ingly|lichkeit"), ("Evaluated_On", "ción|eaux"), ("Requires", "ing|lich|ado")]

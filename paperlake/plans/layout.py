@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.operators import layout, vectors
+from paperlake.operators import boxes, layout, vectors
 from paperlake.plans.tables import query, table
 
 
@@ -19,6 +19,25 @@ def borderless_table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.borderless_tables(lines, captions)
 
 
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as drawings: places and sizes follow from parts, suppliers and amounts; 8 orders
+    are a page."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y = (F.col("l_partkey") * 37 % 560).cast("double"), (F.col("l_suppkey") * 53 % 760).cast("double")
+    w, h = F.when(F.col("l_suppkey") % 97 == 0, 600.0).otherwise(F.col("l_quantity")), F.when(F.col("l_suppkey") % 97 == 0, 1.0).otherwise(F.floor(F.col("l_extendedprice") % 40))
+    rows = li.select(F.lit("p").alias("paper_id"), F.floor(F.col("l_orderkey") / 8).alias("page"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("box_id"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"), F.col("l_linenumber").cast("long").alias("commands"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return rows.dropDuplicates(["box_id"])
+
+
+@query()
+def figure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings of a page that lie near each other, as figures; a plain loop tests it."""
+    from paperlake.plans.tables import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    return boxes.figures(drawings(spark, sf_dir)).drop("cluster")
+
+
 @query("""WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Figure 1 (a) left ' || o_custkey || ' (b) right' WHEN 1 THEN 'Tab. 2' WHEN 2 THEN '(A)(c) only ' || o_custkey ELSE NULL END AS caption FROM orders)
 SELECT id, CASE id % 4 WHEN 0 THEN 'left ' || substr(caption, 19, length(caption) - 28) || '/right' WHEN 2 THEN substr(caption, 8) ELSE '' END AS parts,
 CASE id % 4 WHEN 0 THEN CASE WHEN id % 3 = 0 THEN NULL ELSE 'fig1' END WHEN 1 THEN 'tab2' END AS item FROM c""")
@@ -31,13 +50,13 @@ def caption_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cited_items(rows, items).select("id", F.array_join(layout.caption_parts(F.col("citation")), "/").alias("parts"), "item")
 
 
-@query("""WITH d AS (SELECT doc_id, text, length(text) // 3 AS n FROM documents WHERE length(text) >= 60), t AS (SELECT doc_id, text, instr(text, trim(substr(text, n + 1, 20), ' ')) AS a, instr(text, trim(substr(text, 2 * n + 1, 20), ' ')) AS b, trim(substr(text, n + 1, 20), ' ') AS x, trim(substr(text, 2 * n + 1, 20), ' ') AS y FROM d),
+@query("""WITH d AS (SELECT doc_id, text, length(text) // 3 AS n FROM documents), t AS (SELECT doc_id, text, instr(text, trim(substr(text, n + 1, 20), ' ')) AS a, instr(text, trim(substr(text, 2 * n + 1, 20), ' ')) AS b, trim(substr(text, n + 1, 20), ' ') AS x, trim(substr(text, 2 * n + 1, 20), ' ') AS y FROM d),
 u AS (SELECT doc_id, text, least(a, b) AS lo, greatest(a, b) AS hi, a <= b AS up FROM t WHERE x <> '' AND y <> '')
 SELECT doc_id, 1 AS ord, CASE WHEN up THEN 'method' ELSE 'full' END AS name, CASE WHEN up THEN '1' ELSE '2' END AS sec, md5(regexp_replace(substr(text, 1, hi - 1), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS text_md5 FROM u
 UNION ALL SELECT doc_id, 2, CASE WHEN up THEN 'full' ELSE 'method' END, CASE WHEN up THEN '2' ELSE '1' END, md5(regexp_replace(substr(text, hi), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) FROM u""")
 def located_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two titles for each text, pieces of it as a model would name them."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 60").withColumn("n", F.floor(F.length("text") / 3).cast("int"))
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.floor(F.length("text") / 3).cast("int"))
     title = lambda k, name: docs.select("doc_id", F.lit(k).alias("no"), F.lit(name).alias("name"), F.lit(str(k)).alias("sec"), F.trim(F.substring("text", F.col("n") * k + 1, F.lit(20))).alias("title"))
     rows = layout.located(docs, title(1, "Methods").union(title(2, "Appendix")), "doc_id")
     return rows.select("doc_id", "ord", "name", "sec", F.md5("text").alias("text_md5"))

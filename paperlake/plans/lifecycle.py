@@ -345,7 +345,7 @@ def focused_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperlake.functions.text import sentences
 
     ranked = reading.focus_rank(F.filter(sentences(F.col("text")), lambda s: F.trim(s) != ""), F.lit("the of der la"))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(reading.take_fitting(ranked, 600, F.col("text"))).alias("context_md5"), F.md5(reading.first_sentences(F.col("text"), 2)).alias("lead_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(reading.take_fitting(ranked, 600, F.col("text"))).alias("context_md5"), F.md5(reading.first_sentences(F.col("text"), 2)).alias("lead_md5"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"a": ' || CAST(doc_id AS VARCHAR) || '}' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"b": {"c": 1}}' END AS json FROM documents""")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlake import plans
-from paperlake.operators import evaluate, graph, impact, lexical, ordered, vectors
+from paperlake.operators import boxes, entities, evaluate, graph, impact, lexical, ordered, similar, vectors
 
 
 def _corpus(n, seed):
@@ -150,3 +150,122 @@ def test_field_forest_equals_sorted_union_find(spark, sf_dir):
 
     edges = [tuple(r) for r in _field(spark, sf_dir)[1].collect()]
     assert {tuple(r) for r in plans.QUERIES["field_forest"](spark, sf_dir).collect()} == kruskal(edges)[0]
+
+
+# boxes
+
+
+def _joined(rects, gap):
+    """Clusters of (id, x0, y0, x1, y1), every pair compared."""
+    root = {r[0]: r[0] for r in rects}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    h = gap / 2
+    for a in rects:
+        for b in rects:
+            if a[0] < b[0] and max(a[1], b[1]) - h < min(a[3], b[3]) + h and max(a[2], b[2]) - h < min(a[4], b[4]) + h:
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    return {r: find(r) for r in root}
+
+
+def test_boxes_cluster_as_all_pairs_do(spark):
+    rng = random.Random(3)
+    rows = []
+    for page in range(40):
+        n, size = rng.choice([(3, 60), (30, 8), (60, 25), (25, 1)]), 300
+        for i in range(n[0]):
+            x, y = rng.choice([rng.uniform(0, size), rng.randrange(0, size, 12)]), rng.choice([rng.uniform(0, size), rng.randrange(0, size, 12)])
+            rows.append(("p", page, i, float(x), float(y), float(x) + rng.choice([0, 12, rng.uniform(0, n[1])]), float(y) + rng.choice([0, 12, rng.uniform(0, n[1])])))
+    rows += [("q", 1, i, 5.0, 5.0, 9.0, 9.0) for i in range(200)] + [(None, 1, 0, 5.0, 5.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "paper_id string, page int, box_id int, x0 double, y0 double, x1 double, y1 double")
+    by = defaultdict(list)
+    for p, page, *r in rows:
+        by[p, page].append(r)
+    for gap in (12.0, 35.0):
+        edges = boxes.touching(df, gap, ["paper_id", "page"])
+        assert edges.where("contains(src, '\"q\"')").count() <= 210
+        got = defaultdict(dict)
+        for r in boxes.clustered(df, gap).collect():
+            got[r["paper_id"], r["page"]][r["box_id"]] = r["cluster"]
+        assert got == {k: _joined(v, gap) for k, v in by.items()}
+
+
+def test_sub_figures(spark):
+    wide = [(1, 0.0, 0.0, 100.0, 40.0), (2, 130.0, 0.0, 200.0, 40.0), (3, 130.0, 45.0, 200.0, 46.0)]
+    rows = [("p", 1, i, *b, 7, "c") for i, *b in wide] + [("p", 2, i, *b, 7, "c") for i, *b in wide[:1]]
+    df = spark.createDataFrame(rows, "paper_id string, page int, box_id int, x0 double, y0 double, x1 double, y1 double, commands long, cluster string")
+    captions = spark.createDataFrame([("p", 1, "c", "Figure 1 (a) left (b) right"), ("p", 2, "c", "(a) one (b) two"), ("p", 1, "d", "none")], "paper_id string, page int, cluster string, caption string")
+    got = {(r["page"], r["no"]): (r["label"], r["x0"], r["x1"], r["y1"], r["verdict"]) for r in boxes.sub_figures(df, captions).collect()}
+    assert got == {(1, 0): ("a", 0.0, 100.0, 40.0, "cut"), (1, 1): ("b", 130.0, 200.0, 46.0, "cut"), (2, 0): (None, 0.0, 100.0, 40.0, "manual")}
+    assert boxes.sub_figures(df, captions.withColumn("caption", F.lit(None).cast("string"))).select("verdict").distinct().collect()[0][0] == "whole"
+
+
+def test_figures_of_items_equal_a_loop(spark, sf_dir):
+    from paperlake.plans.layout import drawings
+
+    pages = defaultdict(list)
+    for r in drawings(spark, sf_dir).collect():
+        w, h = r["x1"] - r["x0"], r["y1"] - r["y0"]
+        if not (w > 0.92 * 612 and h > 0.92 * 792 or h <= 1.5 and w > 0.65 * 612 or w <= 1 and h <= 1):
+            pages[r["page"]].append(r)
+    want = Counter()
+    for page, rs in pages.items():
+        of = _joined([(i, r["x0"], r["y0"], r["x1"], r["y1"]) for i, r in enumerate(rs)], 35.0)
+        for c in set(of.values()):
+            own = [r for i, r in enumerate(rs) if of[i] == c]
+            box = (min(r["x0"] for r in own), min(r["y0"] for r in own), max(r["x1"] for r in own), max(r["y1"] for r in own))
+            w, h, n = box[2] - box[0], box[3] - box[1], sum(r["commands"] for r in own)
+            if n >= 5 and w >= 50 and h >= 40 and w * h >= 2500 or n >= 3 and w * h >= 8000 and w >= 70 and h >= 50:
+                want[page, *box, len(own), n] += 1
+    got = Counter(tuple(r[c] for c in ("page", "x0", "y0", "x1", "y1", "boxes", "commands")) for r in plans.QUERIES["figure_clusters"](spark, sf_dir).collect())
+    assert got == want and len(want) > 10
+
+
+# similarity joins
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.85, 1.0])
+def test_similar_pairs_equal_all_pairs(spark, least):
+    rng = random.Random(7)
+    sets = [(g, i, rng.sample([f"w{k}" for k in range(30)], rng.randrange(0, 9))) for g in "ab" for i in range(60)] + [("a", 900 + i, ["same", "set"]) for i in range(6)]
+    got = {(r["g"], r["a"], r["b"]) for r in similar.similar_pairs(spark.createDataFrame(sets, "g string, id int, words array<string>"), least, "id", "g").collect()}
+    want = {(g, i, j) for g, i, s in sets for h, j, t in sets if g == h and i < j and s and t and len({*s} & {*t}) >= least * len({*s} | {*t})}
+    assert got == want and want
+
+
+def _folded(names, least):
+    """(ord, name) in order; the plain fold."""
+    import re
+
+    stays, into = [], {}
+    for i, name in sorted(names):
+        own = set(re.findall("[a-z0-9]+", (name or "").lower()))
+        near = next((n for n, w in stays if own and w and len(own & w) / len(own | w) >= least), None)
+        if near is None:
+            stays.append((name, own))
+        into[i] = name if near is None else near
+    return into
+
+
+def test_merging_equals_the_fold(spark):
+    rng = random.Random(11)
+    for least in (0.4, 0.85):
+        names = {(b, i): " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 6))) for b in range(3) for i in range(70)} | {(9, 0): None, (9, 1): "", (9, 2): "x y"}
+        df = spark.createDataFrame([(*k, v) for k, v in names.items()], "batch int, ord int, canonical string")
+        got = {(r["batch"], r["ord"]): r["into"] for r in entities.merge_similar(df, least).collect()}
+        want = {(b, i): v for b in (0, 1, 2, 9) for i, v in _folded([(i, n) for (c, i), n in names.items() if c == b], least).items()}
+        assert got == want
+
+
+def test_merged_titles_equal_the_fold(spark, sf_dir):
+    by = defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if r["source"] is not None:
+            by[r["source"]].append((r["doc_id"], (r["text"] or "").split("\n")[0][:80]))
+    got = {(r["batch"], r["ord"]): r["into"] for r in plans.QUERIES["merged_titles"](spark, sf_dir).collect()}
+    assert got == {(s, i): v for s, names in by.items() for i, v in _folded(names, 0.6).items()} and len(set(got.values())) < len(got)
