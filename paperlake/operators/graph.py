@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.operators.common import top
+from paperlake.operators.common import kept, top
 
 
 def edges(notes: DataFrame, note_links: DataFrame) -> DataFrame:
@@ -161,16 +161,15 @@ def link_candidates(notes: DataFrame, most: int = 12, terms: int = 6) -> DataFra
 
 
 def newest_before(asking: DataFrame, notes: DataFrame, most: int) -> DataFrame:
-    """(id, other): for each id the ``most`` largest of ``notes`` (other) under it. Ids are cut
-    into ranges of at most a few thousand notes by quantiles; a note looks at its own range and
-    the one before, which holds ``most`` notes or more."""
-    n = notes.count()
-    size = max(1, min(4096, n // max(2 * most, 64)))
-    cuts = sorted(set(notes.agg(F.percentile_approx("other", [i / size for i in range(1, size)] or [0.5], 100 * size)).first()[0] or []))
-    place = lambda c: F.size(F.filter(F.lit(cuts), lambda x: x <= c)) if cuts else F.lit(0)
-    near = asking.withColumn("_r", place(F.col("id"))).select("id", F.explode(F.array(F.col("_r"), F.col("_r") - 1)).alias("_r"))
-    rows = near.join(notes.withColumn("_r", place(F.col("other"))), "_r").where("other < id").select("id", "other")
-    return top(rows, ["id"], [F.desc("other")], most).drop("rank")
+    """(id, other): for each of ``asking`` (id), which are notes, the ``most`` largest of
+    ``notes`` (other) under it. Notes are numbered in order (``ordered.running``), so each asks
+    for the ``most`` numbers before its own and no range is read twice."""
+    from paperlake.operators import ordered
+
+    numbered = kept(ordered.running(notes.select("other").distinct(), "other", {"c": F.count("*")}).select(F.col("value").alias("other"), F.col("to_c").alias("no")), "numbered")
+    own = asking.join(numbered, F.col("id") == F.col("other")).where("no > 1")
+    wanted = own.select("id", F.explode(F.sequence(F.greatest(F.col("no") - most, F.lit(1)), F.col("no") - 1)).alias("no"))
+    return wanted.join(numbered, "no").select("id", "other")
 
 
 def link_notes(notes: DataFrame, candidates: DataFrame, forward: int = 6, backward: int = 24, least: float = 0.28) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
-from paperlake.operators import budget, documents, entities, evaluate, graph, memory, ranking, verify
+from paperlake.operators import budget, documents, entities, evaluate, extraction, graph, memory, ranking, verify
 from paperlake.operators.common import kept, micro, small, top
 from paperlake.plans.tables import query, rows, table, texts, values
 
@@ -211,6 +211,55 @@ def contradiction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.contradictions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), "text"), rel)
 
 
+#: Frequent words of the documents as names, and what hints at a relation in their sentences.
+WORDS = [("the", "Algorithm/Model"), ("tion", "Problem/Task"), ("of", "Algorithm/Model"), ("der", "Dataset/Benchmark"), ("die", "Evaluation Metric"), ("de", "Algorithm/Model"), ("la", "Problem/Task"), ("que", "Evaluation Metric"), ("on", "Theoretical Component")]
+SIGNS = [("Improves_Upon", "ingly|lichkeit"), ("Evaluated_On", "ción|eaux"), ("Requires", "ing|lich|ado")]
+
+
+def _said(words: list[tuple[str, str]]):
+    """An extractor that finds words between blanks; of some texts its first answer, and of some
+    each answer, breaks the rules."""
+
+    def extract(text: str, attempt: int) -> dict:
+        has = set(text.lower().split(" "))
+        names = [(w, t) for w, t in words if w in has]
+        found = [{"name": w, "type": t} for w, t in names]
+        if len(text) % 5 == 0 and attempt == 0 or len(text) % 7 == 0:
+            found.append({"name": "?", "type": "Author"})
+        return {"entities": found, "relations": [{"from": a, "rel": "Requires", "to": b} for (a, _), (b, _) in zip(names, names[1:])]}
+
+    return extract
+
+
+EXTRACTED = f"""w AS (SELECT * FROM {values([(i, *w) for i, w in enumerate(WORDS)], 'o, name, type')}), t AS (SELECT doc_id, source, left(coalesce(text, ''), 15000) AS t FROM documents),
+f AS (SELECT doc_id, source, o, name, type, length(t) AS n FROM t, w WHERE list_contains(string_split(lower(t), ' '), name)),
+g AS (SELECT doc_id, count(*) AS k FROM f GROUP BY 1), s AS (SELECT doc_id, CASE WHEN k IS NULL AND length(t) % 5 <> 0 AND length(t) % 7 <> 0 THEN 'MANUAL_REVIEW' WHEN length(t) % 7 = 0 OR k IS NULL THEN 'MANUAL_REVIEW' WHEN length(t) % 5 = 0 THEN 'RETRY_ACCEPTED' ELSE 'ACCEPTED' END AS status FROM t LEFT JOIN g USING (doc_id))"""
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = texts(spark, sf_dir).select("doc_id", F.lit(1).alias("ord"), "text")
+    return extraction.extracted(parts, _said(WORDS), "doc_id")
+
+
+@query(f"""WITH {EXTRACTED} SELECT doc_id, status, CASE WHEN status = 'MANUAL_REVIEW' THEN 0 ELSE k END AS entities, CASE WHEN status = 'MANUAL_REVIEW' THEN 0 ELSE k - 1 END AS relations FROM s LEFT JOIN g USING (doc_id)""")
+def extracted_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table function extracts from documents; answers are taken or refused as a whole."""
+    return _extracted(spark, sf_dir).groupBy("doc_id", "status").agg(F.count_if(F.col("kind") == "entity").alias("entities"), F.count_if(F.col("kind") == "relation").alias("relations"))
+
+
+@query(f"""WITH {EXTRACTED}, b AS (SELECT source AS paper_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-]{{2,}}|\\d+(?:\\.\\d+)?')) AS term, 1.0 AS w FROM documents),
+m AS (SELECT paper_id, term, w FROM b WHERE lower(term) NOT IN ({', '.join(f"'{w}'" for w in sorted({*X.STOP, *X.KEYWORD_STOP}))}) UNION ALL SELECT source, name, 3.0 FROM f JOIN s USING (doc_id) WHERE status <> 'MANUAL_REVIEW'),
+c AS (SELECT paper_id, term AS concept, sum(w)::DOUBLE AS weight FROM m WHERE length(trim(term)) >= 2 AND lower(term) NOT IN ({', '.join(f"'{w}'" for w in sorted({*entities.GENERIC, *entities.GENERIC_CONCEPTS}))}) GROUP BY 1, 2),
+r AS (SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY weight DESC, concept) AS INTEGER) AS rank, concept, weight FROM c) SELECT * FROM r WHERE rank <= 18""")
+def remembered_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of sources: keywords count 1, entities that were extracted 3."""
+    docs = texts(spark, sf_dir)
+    words = docs.select(F.col("source").alias("paper_id"), F.explode(X.keyword_tokens(F.col("text"))).alias("term"))
+    found, _ = extraction.items_of(_extracted(spark, sf_dir), "doc_id")
+    memory_ = found.join(docs.select(F.col("doc_id").alias("batch"), F.col("source").alias("paper_id")), "batch").select("paper_id", F.col("name").alias("term"))
+    return entities.concepts(words, memory_, entities.alias_table(spark))
+
+
 @query()
 def merged_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of the documents of a source as names, merged at a similarity of .6; the plain
@@ -220,11 +269,6 @@ def merged_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.merge_similar(names, 0.6)
 
 
-#: Frequent words of the documents as names, and what hints at a relation in their sentences.
-WORDS = [("the", "Algorithm/Model"), ("tion", "Problem/Task"), ("of", "Algorithm/Model"), ("der", "Dataset/Benchmark"), ("die", "Evaluation Metric"), ("de", "Algorithm/Model"), ("la", "Problem/Task"), ("que", "Evaluation Metric"), ("on", "Theoretical Component")]
-SIGNS = [("Improves_Upon", "ingly|lichkeit"), ("Evaluated_On", "ción|eaux"), ("Requires", "ing|lich|ado")]
-
-
 @query()
 def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over the sentences of all documents; a plain loop tests it, as lookbehind keeps it

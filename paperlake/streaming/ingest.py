@@ -41,20 +41,68 @@ def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def every_new(path: str, papers: int, then: Callable[[DataFrame], None], key: str = "paper_id") -> Callable[[DataFrame, int], None]:
-    """Calls ``then`` on all papers seen each time ``papers`` more are there."""
+    """Calls ``then`` on all papers seen each time ``papers`` more are there. Batches hold each
+    paper once, as ``distinct_within`` or ``dropDuplicates`` leave them; the running number of
+    papers is kept beside the sink, a row a batch, so no batch but the new one is counted. A
+    batch that comes again replaces its own row."""
     write = idempotent_sink(path)
 
     def finish(batch: DataFrame, number: int) -> None:
         write(batch, number)
-        seen = batch.sparkSession.read.parquet(path)
-        now = seen.select(key).distinct().count()
-        before = seen.where(F.col("batch") < number).select(key).distinct().count()
+        spark, counts = batch.sparkSession, f"{path}-counts"
+        schema = "number long, total long"
+        first = spark.createDataFrame([(-1, 0)], schema)
+        known = first if number == 0 else first.unionByName(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(counts))
+        before = known.where(F.col("number") < number).agg(F.max_by("total", "number")).first()[0]
+        now = before + spark.read.parquet(f"{path}/batch={number}").select(key).distinct().count()
+        spark.createDataFrame([(number, now)], schema).coalesce(1).write.mode("overwrite").parquet(f"{counts}/of={number}")
         if now // papers > before // papers:
-            then(seen.drop("batch"))
+            then(spark.read.parquet(path).drop("batch"))
 
     return finish
 
 
+def rested(stream: DataFrame, key: str, ts: str, rest: str = "24 hours") -> DataFrame:
+    """(key, last, due) of keys of which nothing came for ``rest``: an event-time timer a key,
+    moved by each new row, so the state is one time a key and is cleared when the timer fires.
+    Rows may come in any order within a batch. Needs the RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    wait = int(pd.Timedelta(rest).total_seconds() * 1000)
+    kind = stream.schema[key].dataType
+
+    class Resting(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "ms long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            came = [int(r["ms"].max()) for r in rows if len(r)]
+            if not came:
+                return iter([])
+            newest = max(came)
+            old = self.last.get()[0] if self.last.exists() else None
+            if old is None or newest > old:
+                if old is not None:
+                    self.handle.deleteTimer(old + wait)
+                self.last.update((newest,))
+                self.handle.registerTimer(newest + wait)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last = self.last.get()[0]
+            self.last.clear()
+            yield pd.DataFrame({"key": [key[0]], "last": [last], "due": [last + wait]})
+
+        def close(self) -> None:
+            pass
+
+    rows = stream.withWatermark(ts, "0 seconds").select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"))
+    out = rows.groupBy("key").transformWithStateInPandas(Resting(), T.StructType([T.StructField("key", kind), T.StructField("last", T.LongType()), T.StructField("due", T.LongType())]), "Append", "EventTime")
+    return out.select(F.col("key").alias(key), F.timestamp_millis("last").alias("last"), F.timestamp_millis("due").alias("due"))
+
+
 BREAKER_STATE = T.StructType([T.StructField("open_until", T.DoubleType())])
 
 
