@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.operators import evaluate
+from paperlake.operators.ask import expand_each
+from paperlake.operators.common import top
 from paperlake.operators.memory import retrievable
 
 
@@ -45,6 +47,17 @@ def compared(ranked: DataFrame, positives_: DataFrame, k: int = 5, query: str =
     return m.groupBy(F.col("c.variant").alias("variant")).agg(F.count("*").alias("cases"), mean("recall"), mean("mrr"), mean("ndcg"))
 
 
+def with_graph(hits: DataFrame, edge: DataFrame, query: str = "query", key: str = "id", extra: int = 8) -> DataFrame:
+    """(query, rank, key): ranked ``hits`` (query, rank, key, score_micro), and behind them the
+    ``extra`` nodes that two steps over ``edge`` from all of them reach with most weight."""
+    seeds = hits.select(query, F.col(key).alias("node"), F.when(F.col("score_micro") == 0, 0.1).otherwise(F.col("score_micro") / 1e6).alias("seed"))
+    found = expand_each(edge, seeds, query).join(seeds.select(query, "node"), [query, "node"], "left_anti")
+    found = top(found.withColumn("x", F.floor(F.col("score") * 1e9 + 0.5)), [query], [F.desc("x"), F.asc("node")], extra, "k")
+    n = hits.groupBy(query).agg(F.count("*").alias("n"))
+    more = found.join(n, query).select(query, (F.col("n") + F.col("k")).cast("int").alias("rank"), F.col("node").alias(key))
+    return hits.select(query, "rank", key).unionByName(more)
+
+
 def same_context(a: Column, b: Column, least: int = 20) -> Column:
     """Equal but for case and white space, or the shorter has ``least`` characters and stands
     in the longer."""

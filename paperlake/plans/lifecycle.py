@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from paperlake.functions import reading
 from paperlake.operators import ask, harness, lexical, lifecycle, memory, polish, ranking, versions
 from paperlake.operators.common import kept, micro, top
-from paperlake.plans.retrieval import BM25, TFIDF
-from paperlake.plans.tables import query, rows, table
+from paperlake.plans.retrieval import BM25, TFIDF, hybrid_sql, searched
+from paperlake.plans.tables import query, rows, table, texts
 
 NOTES = """n0 AS (SELECT conv_id * 1000 + turn AS id, conv_id AS paper_id, turn, CASE role WHEN 'user' THEN 'claim' WHEN 'assistant' THEN '方法' ELSE 'entity' END AS kind, text AS content,
  CASE (conv_id * 1000 + turn) % 7 WHEN 0 THEN 'candidate' WHEN 1 THEN 'contested' ELSE 'active' END AS status, (conv_id * 1000 + turn) % 11 = 0 AS gone, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
@@ -370,8 +370,14 @@ def eval_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harness.positives(notes(spark, sf_dir), typed(spark, sf_dir))
 
 
-VARIANTS = f"""{TFIDF}, {BM25[5:]}, rr AS (SELECT item_id, doc_id, CAST(floor(sum(1.0 / (60 + rank)) * 1e9 + 0.5) AS BIGINT) AS x FROM (SELECT item_id, doc_id, rank FROM b WHERE rank <= 12 UNION ALL SELECT item_id, doc_id, rank FROM r WHERE rank <= 12) GROUP BY 1, 2),
-al AS (SELECT 'bm25' AS variant, item_id, rank, doc_id FROM b WHERE rank <= 12 UNION ALL SELECT 'hybrid', item_id, rank, doc_id FROM r WHERE rank <= 12 UNION ALL SELECT 'rrf_w1', item_id, row_number() OVER (PARTITION BY item_id ORDER BY x DESC, doc_id), doc_id FROM rr),
+VARIANTS = f"""{hybrid_sql(40)}, rr AS (SELECT item_id, doc_id, CAST(floor(sum(1.0 / (60 + rank)) * 1e9 + 0.5) AS BIGINT) AS x FROM (SELECT item_id, doc_id, rank FROM b WHERE rank <= 12 UNION ALL SELECT item_id, doc_id, rank FROM r WHERE rank <= 12) GROUP BY 1, 2),
+ed AS (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents WHERE source IS NOT NULL), eb AS (SELECT src, dst FROM ed WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM ed WHERE dst IS NOT NULL), dg AS (SELECT src, count(*) AS deg FROM eb GROUP BY 1),
+p0 AS (SELECT item_id, doc_id AS node, CASE WHEN score_micro = 0 THEN 0.1 ELSE score_micro / 1e6 END AS x FROM o1 WHERE rank <= 12),
+p1 AS (SELECT item_id, node, sum(x) AS x FROM (SELECT item_id, dst AS node, 0.425 * x / deg AS x FROM p0 JOIN eb ON node = src JOIN dg USING (src) UNION ALL SELECT item_id, node, 0.425 * x FROM p0 UNION ALL SELECT item_id, node, 0.15 * x FROM p0) GROUP BY 1, 2),
+p2 AS (SELECT item_id, node, sum(x) AS x FROM (SELECT item_id, dst AS node, 0.425 * x / deg AS x FROM p1 JOIN eb ON node = src JOIN dg USING (src) UNION ALL SELECT item_id, node, 0.425 * x FROM p1 UNION ALL SELECT item_id, node, 0.15 * x FROM p0) GROUP BY 1, 2),
+p3 AS (SELECT item_id, node, row_number() OVER (PARTITION BY item_id ORDER BY CAST(floor(x * 1e9 + 0.5) AS BIGINT) DESC, node) AS k FROM p2 ANTI JOIN p0 USING (item_id, node)),
+al AS (SELECT 'bm25' AS variant, item_id, rank, doc_id FROM b WHERE rank <= 12 UNION ALL SELECT 'hybrid', item_id, rank, doc_id FROM r WHERE rank <= 12 UNION ALL SELECT 'rrf_w1', item_id, row_number() OVER (PARTITION BY item_id ORDER BY x DESC, doc_id), doc_id FROM rr
+ UNION ALL SELECT 'threefactor', item_id, rank, doc_id FROM o1 WHERE rank <= 12 UNION ALL SELECT 'ppr', item_id, rank, doc_id FROM o1 WHERE rank <= 12 UNION ALL SELECT 'ppr', item_id, k + (SELECT count(*) FROM p0 WHERE p0.item_id = p3.item_id), node FROM p3 WHERE k <= 8),
 po AS (SELECT item_id, doc_id FROM benchmark, documents WHERE doc_id % 20 = item_id % 20), pn AS (SELECT item_id, count(*) AS n FROM po GROUP BY 1), cv AS (SELECT variant, item_id, n FROM pn, (SELECT DISTINCT variant FROM al)),
 hi AS (SELECT variant, item_id, count(CASE WHEN rank <= 5 THEN 1 END) AS h, min(rank) AS f, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM al JOIN po USING (item_id, doc_id) GROUP BY 1, 2),
 me AS (SELECT variant, coalesce(h, 0) / n::DOUBLE AS recall, coalesce(1.0 / f, 0) AS mrr, coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(n, 5) AS BIGINT) + 1), lambda i: 1 / log2(i + 1.0))) AS ndcg FROM cv LEFT JOIN hi USING (variant, item_id))
@@ -380,16 +386,24 @@ SELECT variant, count(*) AS cases, round(avg(round(recall, 9)), 4) AS recall, ro
 
 @query(VARIANTS)
 def eval_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical, vector (TF-IDF in its place) and fused lists; documents of an item's residue are
-    its positives."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    a, b = kept(lexical.bm25_topk(docs, items, 12), "bm25"), kept(lexical.tfidf_topk(docs, items, 12), "tfidf")
-    pool = a.unionByName(b).withColumn("weight", F.lit(1.0))
+    """Lexical, vector (TF-IDF in its place) and fused lists, hybrid search alone and with what a
+    graph of neighbours in a source adds; documents of an item's residue are its positives."""
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    a, b = kept(lexical.bm25_topk(docs, items, 40), "bm25"), kept(lexical.tfidf_topk(docs, items, 40), "tfidf")
+    pool = a.unionByName(b).where("rank <= 12").withColumn("weight", F.lit(1.0))
     fused = ranking.rrf(pool, "item_id", "doc_id").withColumn("x", F.floor(F.col("rrf") * 1e9 + 0.5))
     fused = top(fused, ["item_id"], [F.desc("x"), F.asc("doc_id")], 24)
-    lists = [df.select(F.lit(v).alias("variant"), F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("id")) for v, df in (("bm25", a), ("hybrid", b), ("rrf_w1", fused))]
+    three = kept(searched(docs, items, a, b, 40).where("rank <= 12"), "three")
+    both = Window.partitionBy("source").orderBy("doc_id")
+    e = kept(docs.where("source is not null").select(F.col("doc_id").alias("src"), F.lead("doc_id").over(both).alias("dst")).where("dst is not null"), "edges")
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ppr = harness.with_graph(three, e, "item_id", "doc_id")
+    lists = [df.where("rank <= 24").select(F.lit(v).alias("variant"), F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("id")) for v, df in (("bm25", a.where("rank <= 12")), ("hybrid", b.where("rank <= 12")), ("rrf_w1", fused), ("threefactor", three), ("ppr", ppr))]
+    ranked = lists[0]
+    for more in lists[1:]:
+        ranked = ranked.unionByName(more)
     pos = items.select(F.col("item_id").alias("query"), (F.col("item_id") % 20).alias("r")).join(docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("r")), "r").select("query", "id")
-    return harness.compared(lists[0].unionByName(lists[1]).unionByName(lists[2]), pos, 5)
+    return harness.compared(kept(ranked, "ranked"), pos, 5)
 
 
 @query("""WITH g AS (SELECT p_size % 7 AS paper_id, p_partkey % 50 AS item, p_type AS c FROM part), f AS (SELECT p_size % 7 AS paper_id, p_partkey % 60 AS item, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_brand END AS c FROM part),

@@ -222,26 +222,34 @@ def said(names: list[str], text: str) -> str:
     return " + ".join(f"CASE WHEN regexp_matches(lower({text}), '(^|[^a-z0-9]){n}($|[^a-z0-9])') THEN 1 ELSE 0 END" for n in names)
 
 
-@query(f"""{FUSED}, t3 AS (SELECT item_id, string_agg(text, ' ' ORDER BY rank) AS blob FROM b JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1),
+def hybrid_sql(pool: int) -> str:
+    """(o1: item_id, rank, doc_id, score_micro) of the hybrid search with lists of ``pool``."""
+    fused = FUSED.replace("rank <= 20", f"rank <= {pool}")
+    return f"""{fused}, t3 AS (SELECT item_id, string_agg(text, ' ' ORDER BY rank) AS blob FROM b JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1),
 w3 AS (SELECT item_id, list_filter({toks('text')}, lambda x: length(x) >= 2)[1:12] AS k FROM benchmark),
 c AS (SELECT item_id, greatest(0.0, least(1.0, (CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_filter(k, lambda x: contains(lower(coalesce(blob, '')), x))) / len(k)::DOUBLE END - 0.6) / 0.4)) AS trust FROM w3 LEFT JOIN t3 USING (item_id)),
-a1 AS (SELECT item_id, doc_id, rank, 1.0 AS weight, trust FROM b JOIN c USING (item_id) WHERE rank <= CASE WHEN trust < 0.5 THEN 12 ELSE 80 END
- UNION ALL SELECT item_id, doc_id, rank, round_even(1 - trust, 2), trust FROM r JOIN c USING (item_id) WHERE rank <= CASE WHEN trust < 0.5 THEN 12 ELSE 80 END AND round_even(1 - trust, 2) > 0.05),
+a1 AS (SELECT item_id, doc_id, rank, 1.0 AS weight, trust FROM b JOIN c USING (item_id) WHERE rank <= CASE WHEN trust < 0.5 THEN 12 ELSE {pool} END
+ UNION ALL SELECT item_id, doc_id, rank, round_even(1 - trust, 2), trust FROM r JOIN c USING (item_id) WHERE rank <= CASE WHEN trust < 0.5 THEN 12 ELSE {pool} END AND round_even(1 - trust, 2) > 0.05),
 f1 AS (SELECT item_id, doc_id, trust, round(sum(weight / (60 + rank)), 12) AS rrf FROM a1 GROUP BY 1, 2, 3),
 m1 AS (SELECT *, min(rrf) OVER (PARTITION BY item_id) AS lo, max(rrf) OVER (PARTITION BY item_id) AS hi FROM f1),
 h1 AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 0.6 ELSE 0.55 END AS imp, round(pow(0.5, greatest(0.0, ({AS_OF} - (1700000000.0 + (doc_id % 1000) * 100000.0)) / 3600.0) / 168.0), 4) AS rec, {said(PREFERRED, 'text')} AS hits FROM documents),
 s1 AS (SELECT item_id, doc_id, (0.8 * (rrf - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + trust * (0.12 * imp + 0.08 * rec)) * (1 + 0.2 * least(1.0, hits / 2.0) * trust) AS x FROM m1 JOIN h1 USING (doc_id)),
-k1 AS (SELECT item_id, doc_id, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score_micro FROM s1), o1 AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score_micro DESC, doc_id) AS INTEGER) AS rank, doc_id, score_micro FROM k1)
-SELECT * FROM o1 WHERE rank <= 80""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 as the lexical list and TF-IDF in the place of the vector list; trust from the three
-    best lexical hits; times of access follow from ids, as documents have none."""
-    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    lexic = kept(lexical.bm25_topk(docs, items, 80), "lexical")
-    near = kept(lexical.tfidf_topk(docs, items, 80), "near")
+k1 AS (SELECT item_id, doc_id, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score_micro FROM s1), o1 AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score_micro DESC, doc_id) AS INTEGER) AS rank, doc_id, score_micro FROM k1)"""
+
+
+def searched(docs: DataFrame, items: DataFrame, lexic: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+    """Hybrid search over a lexical and a second list; trust from the three best lexical hits;
+    times of access follow from ids, as documents have none."""
     trust = _confidence(docs, items, lexic).select("item_id", lexical.trust(F.col("c")).alias("trust"))
     hits = sum(F.when(X.mentions(F.col("text"), F.lit(n)), 1).otherwise(0) for n in PREFERRED)
     rec = ranking.recency(F.lit(None).cast("double"), F.lit(1.7e9) + (F.col("doc_id") % 1000) * 100_000.0, F.lit(AS_OF))
     wanted = small(kept(lexic.select("doc_id").union(near.select("doc_id")).distinct(), "wanted"))
     notes = docs.join(wanted, "doc_id", "left_semi").select("doc_id", ranking.importance(F.lit("document"), F.col("text")).alias("imp"), rec.alias("rec"), hits.alias("hits"))
-    return ranking.hybrid(lexic.join(trust, "item_id"), near, notes, "item_id", "doc_id", 80)
+    return ranking.hybrid(lexic.join(trust, "item_id"), near, notes, "item_id", "doc_id", limit)
+
+
+@query(f"{hybrid_sql(80)} SELECT * FROM o1 WHERE rank <= 80")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 as the lexical list and TF-IDF in the place of the vector list."""
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    return searched(docs, items, kept(lexical.bm25_topk(docs, items, 80), "lexical"), kept(lexical.tfidf_topk(docs, items, 80), "near"), 80)

@@ -153,3 +153,45 @@ def test_outlines_of_short_empty_and_null_texts(spark, tmp_path):
     for r in plans.QUERIES["outline_drafts"](spark, str(tmp_path)).collect():
         got[r["doc_id"]].add(r["ord"])
     assert got.keys() == {1, 2, 3, 4} and got[2] == got[3]
+
+
+def test_rules_equal_a_loop(spark, sf_dir):
+    """Names in sentences that hint at a relation, in order, twelve pairs a text."""
+    from pyspark.sql import functions as F
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.sentences(F.col("text")).alias("s")).collect()
+    names = [w for w, _ in knowledge.WORDS]
+    want, stopped = set(), 0
+    for r in texts:
+        found, n = {}, 0
+        for s in r["s"] or []:
+            rel = next((k for k, p in knowledge.SIGNS if re.search(p, s, re.I)), None)
+            has = [w for w in names if re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", s.lower())]
+            if rel is None:
+                continue
+            for a in has:
+                if n >= 12:
+                    stopped += 1
+                    break
+                for b in has:
+                    if a != b:
+                        n += 1
+                        found.setdefault((a, rel, b), s[:160])
+        want |= {(r["doc_id"], *k, ev) for k, ev in list(found.items())[:12]}
+    got = {tuple(r) for r in plans.QUERIES["rule_extraction"](spark, sf_dir).select("doc_id", "src", "rel", "dst", "ev").collect()}
+    assert got == want and len(want) > 200 and stopped
+
+
+def test_terms_are_unified(spark, sf_dir):
+    import hashlib
+
+    from paperlake.plans.writing import NAMES
+
+    def unified(t):
+        for alias in sorted(NAMES, key=lambda a: (-len(a), a)):
+            t = re.sub(rf"(?i)(?<![A-Za-z0-9]){re.escape(alias)}(?![A-Za-z0-9])", NAMES[alias], t)
+        return t
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["text_md5"] for r in plans.QUERIES["unify_terms"](spark, sf_dir).collect()}
+    assert got == {i: None if t is None else hashlib.md5(unified(t).encode()).hexdigest() for i, t in docs.items()}
