@@ -28,6 +28,24 @@ def ledger(usage: DataFrame) -> DataFrame:
     return s.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("by_stage"), F.sum("n").alias("total"))
 
 
+def spent(used: DataFrame, estimated: DataFrame) -> DataFrame:
+    """(run_id, stage, tokens, measured): a run's tokens as its model counted them, by stages with
+    any; estimates (run_id, stage, tokens) for runs of which nothing was counted."""
+    by = used.groupBy("run_id", "stage").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").withColumn("measured", F.lit(True))
+    rest = estimated.join(by.select("run_id").distinct(), "run_id", "left_anti").groupBy("run_id", "stage").agg(F.sum("tokens").alias("tokens"))
+    return by.unionByName(rest.withColumn("measured", F.lit(False)))
+
+
+def markers(runs: DataFrame, artefacts: DataFrame, schema: int = 1) -> DataFrame:
+    """(paper_id, marker_schema, source_sha256, run_signature, artifact_signature, task) of
+    finished ``runs`` (paper_id, source_sha256, run_signature, task): the signature is that of
+    a paper's artefacts (paper_id, name, sha256) in the order of their names. Runs without
+    artefacts get no marker."""
+    one = F.concat_ws(":", "name", "sha256")
+    signed = artefacts.groupBy("paper_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("artifact_signature"))
+    return runs.join(signed, "paper_id").select("paper_id", F.lit(schema).alias("marker_schema"), "source_sha256", "run_signature", "artifact_signature", "task")
+
+
 def signature(*columns: str):
     """SHA-256 of the columns as JSON in alphabetical order; nulls are left out."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

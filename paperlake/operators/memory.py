@@ -27,6 +27,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str = "creat
     return top(both, keys, [F.desc(newest), F.asc("_old"), F.asc(F.xxhash64(*old.columns))], 1, "_n").drop("_old", "_n")
 
 
+def entries(memories: DataFrame, paper: str, task: str | None = None) -> DataFrame:
+    """A paper's entries, of one task if given, the newest first."""
+    rows = memories.where(F.col("paper_id") == paper)
+    return (rows if task is None else rows.where(F.col("task") == task)).orderBy(F.desc("created_at"), F.xxhash64(*memories.columns))
+
+
+def known_concepts(concepts: DataFrame, most: int = 40) -> DataFrame:
+    """Up to ``most`` different concepts, in order."""
+    return concepts.select("concept").where("concept IS NOT NULL").distinct().orderBy("concept").limit(most)
+
+
 def keywords(docs: DataFrame, key: str, text: str = "text", most: int = 12) -> DataFrame:
     """(key, rank, term, n): the most frequent words, then alphabetically."""
     counted = docs.select(key, F.explode(keyword_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))

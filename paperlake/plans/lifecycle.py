@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import reading
-from paperlake.operators import ask, harness, lexical, lifecycle, memory, polish, ranking, versions
+from paperlake.operators import budget, ask, harness, lexical, lifecycle, memory, polish, ranking, versions
 from paperlake.operators.common import kept, micro, top
 from paperlake.plans.retrieval import BM25, TFIDF, hybrid_sql, searched
-from paperlake.plans.tables import query, rows, table, texts
+from paperlake.plans.tables import ORACLE, query, rows, table, texts
 
 NOTES = """n0 AS (SELECT conv_id * 1000 + turn AS id, conv_id AS paper_id, turn, CASE role WHEN 'user' THEN 'claim' WHEN 'assistant' THEN '方法' ELSE 'entity' END AS kind, text AS content,
  CASE (conv_id * 1000 + turn) % 7 WHEN 0 THEN 'candidate' WHEN 1 THEN 'contested' ELSE 'active' END AS status, (conv_id * 1000 + turn) % 11 = 0 AS gone, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
@@ -431,3 +431,47 @@ def median_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     middle = ordered.median(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", F.col("median").alias("median_value"))
     return n.join(middle, "event_type", "left").select("event_type", "median_value", "n")
+
+
+# ends of runs and remembered answers
+
+
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, ''), E' \\n\\t\\r') = '' OR length(trim(text, E' \\n\\t\\r')) % 13 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN length(trim(text, E' \\n\\t\\r')) % 101 / 100.0 ELSE length(trim(text, E' \\n\\t\\r')) % 101 / 100.0 END AS score FROM documents""")
+def remembered_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer that fails for some texts; a first run scores the documents of even ids, the
+    second finds their contents' scores and asks for the others."""
+    from pyspark.sql import types as T
+
+    from paperlake.operators import remembered
+
+    def ask(contents):
+        sizes = [len(t.strip(" \n\t\r")) for (t,) in contents]
+        return [None if n % 13 == 0 else n % 101 / 100.0 for n in sizes]
+
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    _, cache = remembered.recalled(docs.where("doc_id % 2 = 0"), None, ["text"], ask, "score", T.DoubleType(), "m")
+    return remembered.recalled(docs, cache, ["text"], ask, "score", T.DoubleType(), "m")[0].select("doc_id", "score")
+
+
+@query("""WITH u AS (SELECT source AS run_id, lang AS stage, sum(CASE WHEN doc_id % 3 = 0 THEN length(text) ELSE 0 END) AS n, sum(length(text) // 4) AS e FROM documents WHERE doc_id % 4 < 3 GROUP BY 1, 2), k AS (SELECT DISTINCT run_id FROM u WHERE n > 0 AND run_id NOT LIKE '%5')
+SELECT run_id, stage, CASE WHEN run_id IN (SELECT run_id FROM k) THEN n ELSE e END AS tokens, run_id IN (SELECT run_id FROM k) AS measured FROM u WHERE run_id IS NOT NULL AND (run_id NOT IN (SELECT run_id FROM k) OR n > 0)""")
+def spent_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as runs, languages as stages; the sources that end with 5 have no counts."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 4 < 3 and source is not null")
+    n = F.length("text").cast("long")
+    used = docs.where("source not like '%5'").select(F.col("source").alias("run_id"), F.col("lang").alias("stage"), F.when(F.col("doc_id") % 3 == 0, n).otherwise(0).alias("tokens"))
+    return budget.spent(used, docs.select(F.col("source").alias("run_id"), F.col("lang").alias("stage"), F.floor(n / 4).alias("tokens")))
+
+
+FINAL = ["paper_cards", "concepts_topk", "paper_shared_concepts", "consolidate_dedup", "reflection_papers"]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS no, '{n}' AS step, count(*) AS rows, NULL AS error FROM ({ORACLE[n]})" for i, n in enumerate(FINAL, 1) if n in ORACLE) + ") UNION ALL SELECT 6, 'field', 1, NULL" if all(n in ORACLE for n in FINAL) else None)
+def finalized_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that end a run, one after the other, over the tables."""
+    from paperlake.operators import finalize
+    from paperlake.plans.tables import QUERIES
+
+    steps = [(n, lambda _, n=n: QUERIES[n](spark, sf_dir)) for n in FINAL]
+    steps.append(("field", lambda done: finalize.field_due(done["concepts_topk"], 0)))
+    return finalize.finalized(spark, steps)[1]
