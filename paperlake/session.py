@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,4 +23,15 @@ def session(name: str = "paperlake", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return shipped(builder.getOrCreate())
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, which may run where it isn't installed: the
+    driver packs it once and Spark hands it to every executor."""
+    here, folder = os.path.dirname(os.path.abspath(__file__)), tempfile.mkdtemp(prefix="code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = os.path.join(folder, "code")
+    shutil.copytree(here, os.path.join(copy, os.path.basename(here)), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, os.path.basename(here)), "zip", copy))
+    return spark

@@ -119,3 +119,24 @@ def test_newest_before(spark):
     asking = spark.createDataFrame([(i,) for i in (3, 9, 40)], "id long")
     got = {tuple(r) for r in graph.newest_before(asking, notes, 3).collect()}
     assert got == {(9, 3), (9, 5), (9, 6), (40, 9), (40, 20), (40, 21)}
+
+
+def test_workers_get_the_package(tmp_path):
+    """A driver elsewhere, with the package on its own path alone."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from paperlake.session import session
+from paperlake.operators import vectors
+spark = session("t", **{{"spark__master": "local[2]", "spark__ui__enabled": "false", "spark__checkpoint__dir": "file://{tmp_path}/shared"}})
+rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+asked = rows.selectExpr("vec_id AS query_id", "embedding AS query_vec").where("query_id = 1")
+print("FOUND", [r["vec_id"] for r in vectors.topk(rows, asked, 1).collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "FOUND [2]" in out.stdout, out.stderr[-2000:]
