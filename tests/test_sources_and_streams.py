@@ -140,3 +140,46 @@ print("FOUND", [r["vec_id"] for r in vectors.topk(rows, asked, 1).collect()])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "FOUND [2]" in out.stdout, out.stderr[-2000:]
+
+
+def test_links_of_any_split_equal_the_batch(spark, tmp_path):
+    """One file a micro-batch, in two splits; those that meet no keyword have no link."""
+    import random
+
+    from paperlake.streaming import linking
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(14)] + [f"keyword{i}" for i in range(3)]
+    notes = [(i, rng.sample(words, rng.randrange(0, 8)) if i % 9 else []) for i in range(150)] + [(200 + i, ["Same"]) for i in range(40)]
+    df = spark.createDataFrame(notes, "id long, keywords array<string>")
+    # the plain rule
+    low = {i: [w.lower() for w in k] for i, k in notes}
+    want, back = set(), {}
+    for i in sorted(low):
+        mine, near = set(low[i]), set()
+        for w in dict.fromkeys(low[i][:6]):
+            near |= set([o for o in sorted(low) if o < i and w in low[o]][:12])
+        good = [o for o in sorted(near)[:12] if any(len(w) >= 5 for w in mine & set(low[o])) or len(mine & set(low[o])) >= 2 or len(mine & set(low[o])) / len(mine | set(low[o])) >= 0.28]
+        for o in good[:6]:
+            back[o] = back.get(o, 0) + 1
+            if back[o] <= 24:
+                want.add((i, o))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, cuts in (("a", [0, 60, 61, 190]), ("b", [0, 190])):
+            folder, links = tmp_path / name, tmp_path / f"{name}-links"
+            for at, (low_, high) in enumerate(zip(cuts, cuts[1:])):
+                df.where(F.col("id").isin([n[0] for n in notes[low_:high]])).coalesce(1).write.parquet(str(folder / f"in/part={at}"))
+            schema = df.schema
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in/part=*"))
+            ingest.drain(linking.offers(stream), str(tmp_path / f"{name}-state"), lambda b, n, links=links: linking.chosen(b).coalesce(1).write.mode("overwrite").parquet(f"{links}/batch={n}"))
+            taken = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{links}/batch=*")
+            out = str(tmp_path / f"{name}-out")
+            ingest.drain(linking.rooms(taken), str(tmp_path / f"{name}-rooms"), ingest.idempotent_sink(out))
+            got = [tuple(r) for r in spark.read.parquet(out).select("src", "dst").collect()]
+            assert len(got) == len(set(got))
+            assert {s for s, _ in got} == {s for s, _ in want}
+            assert len(got) == len(want) and set(got) == want, (name, len(got), len(want))
+    finally:
+        spark.conf.unset(key)
