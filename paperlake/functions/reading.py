@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,34 +70,45 @@ def focus_rank(found: Column, focus: Column) -> Column:
     return F.when(F.size(want) == 0, found).otherwise(F.transform(F.array_sort(rows), lambda x: x["s"]))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed one time, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract(text: Column, most: int | Column, must_have: Column | None = None, keep: int = 6) -> Column:
     """A summary of up to ``most`` characters: the text's sentences up to the first that doesn't
     fit; with ``must_have`` (words) only the ``keep`` that have most of them, and equal ones,
     each in its place. If nothing fits, the text's beginning; never null."""
-    most, found = F.lit(most) if isinstance(most, int) else most, sentences(text)
-    if must_have is not None:
+    most = F.lit(most) if isinstance(most, int) else most
+    zero = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+    step = lambda a, s: F.when(a["full"] | (F.length(a["out"]) + F.length(s) + 1 > most), F.struct(a["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(a["out"], s, F.lit(" ")).alias("out"), F.lit(False).alias("full")))
+    fitted = lambda found: F.rtrim(F.aggregate(found, zero, step)["out"])
+
+    def chosen(found: Column) -> Column:
         low = F.transform(F.coalesce(must_have, F.array().cast("array<string>")), F.lower)
         by_hits = F.transform(found, lambda s, i: F.struct((-F.size(F.filter(low, lambda w: F.contains(F.lower(s), w)))).alias("n"), i.alias("i"), s.alias("s")))
         best = F.transform(F.slice(F.array_sort(by_hits), 1, keep), lambda x: x["s"])
-        found = F.when(F.size(low) > 0, F.filter(found, lambda s: F.array_contains(best, s))).otherwise(found)
-    zero = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
-    step = lambda a, s: F.when(a["full"] | (F.length(a["out"]) + F.length(s) + 1 > most), F.struct(a["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(a["out"], s, F.lit(" ")).alias("out"), F.lit(False).alias("full")))
-    out = F.rtrim(F.aggregate(found, zero, step)["out"])
-    return F.when(out != "", out).otherwise(F.left(blank(text), most))
+        some = once(best, lambda b: F.filter(found, lambda s: F.array_contains(b, s)))
+        return F.when(F.size(low) > 0, some).otherwise(found)
+
+    out = once(sentences(text), lambda found: fitted(found if must_have is None else chosen(found)))
+    return once(out, lambda o: F.when(o != "", o).otherwise(F.left(blank(text), most)))
 
 
 def even_reduced(parts: Column, most: int) -> Column:
     """Parts in their order within ``most`` characters, an equal share for each; if there are
     more than could have a character, those at equal distances, the first and the last among
     them."""
-    parts = F.filter(parts, lambda p: F.rlike(p, F.lit(r"\S")))
-    room = max(1, (most + 1) // 2)
-    parts = evenly(parts, room)
-    each = F.greatest(F.lit(1), F.floor((most - (F.size(parts) - 1)) / F.greatest(F.size(parts), F.lit(1))).cast("int"))
-    many = F.left(F.array_join(F.transform(parts, lambda p: extract(p, each)), " "), F.lit(most))
     if most <= 0:
         return F.lit("")
-    return F.when(F.size(parts) == 0, "").when(F.size(parts) == 1, F.left(F.get(parts, F.lit(0)), F.lit(most))).otherwise(many)
+
+    def reduced(parts: Column) -> Column:
+        each = F.greatest(F.lit(1), F.floor((most - (F.size(parts) - 1)) / F.greatest(F.size(parts), F.lit(1))).cast("int"))
+        many = F.left(F.array_join(F.transform(parts, lambda p: extract(p, each)), " "), F.lit(most))
+        return F.when(F.size(parts) == 0, "").when(F.size(parts) == 1, F.left(F.get(parts, F.lit(0)), F.lit(most))).otherwise(many)
+
+    whole = F.filter(parts, lambda p: F.rlike(p, F.lit(r"\S")))
+    return once(whole, lambda w: once(evenly(w, max(1, (most + 1) // 2)), reduced))
 
 
 def digested(text: Column, most: int, must_have: Column | None = None, window: int = 3000, each: int = 500) -> Column:
