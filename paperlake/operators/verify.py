@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paperlake.functions.text import blank, keyword_tokens, location, sentence_spans
+from paperlake.functions.text import blank, keyword_tokens, let, location, sentence_spans
 from paperlake.operators.common import blocks, top
 
 # fixed values: the shape of a citation
@@ -96,23 +101,81 @@ def draft_status(drafts: DataFrame, reports: DataFrame) -> DataFrame:
 
 def support_words(claim: Column, most: int = 8) -> Column:
     """The claim's top keywords: by frequency, then alphabetically."""
-    words = keyword_tokens(claim)
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("w")))
-    return F.slice(F.transform(F.array_sort(counted), lambda s: s["w"]), 1, most)
+
+    def first(words: Column) -> Column:
+        counted = F.transform(F.array_distinct(words), lambda w: F.struct((F.size(F.array_remove(words, w)) - F.size(words)).alias("n"), w.alias("w")))
+        return F.slice(F.transform(F.array_sort(counted), lambda s: s["w"]), 1, most)
+
+    return let(keyword_tokens(claim), first)
 
 
 def lexical_support(words: Column, context: Column, least: float = 0.34) -> Column:
     """Whether a third of a claim's ``support_words`` stand in the context; none: false."""
-    low = F.lower(blank(context))
-    return (F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.contains(low, F.lower(w)))) >= least * F.size(words))
+
+    def third(ws: Column, low: Column) -> Column:
+        return (F.size(ws) > 0) & (F.size(F.filter(ws, lambda w: F.contains(low, w))) >= least * F.size(ws))
+
+    return let(F.transform(words, F.lower), lambda ws: let(F.lower(blank(context)), lambda low: third(ws, low)))
+
+
+def hits(words: list[list[str]]):
+    """A function of a text: how many of each list's ``words`` stand in it, repeats counted. A word
+    stands within one run of characters that words have, so a run's pieces of the words' lengths
+    are looked up; what a run holds is remembered."""
+    owners: dict[str, list[int]] = {}
+    for i, ws in enumerate(words):
+        for w in ws:
+            owners.setdefault(w, []).append(i)
+    always = np.bincount(owners.pop("", []), minlength=len(words))
+    held = {w: np.array(at) for w, at in owners.items()}
+    sizes = sorted({len(w) for w in held})
+    run = re.compile("[" + "".join(map(re.escape, sorted(set("".join(held))))) + "]+") if held else None
+    seen: dict[str, tuple[str, ...]] = {}
+
+    def pieces(r: str) -> tuple[str, ...]:
+        found = seen.get(r)
+        if found is None:
+            found = tuple({r[k : k + n] for n in sizes for k in range(len(r) - n + 1)} & held.keys())
+            if len(r) <= 64 and len(seen) < 1 << 18:
+                seen[r] = found
+        return found
+
+    def count(text: str) -> np.ndarray:
+        found = {w for r in set(run.findall(text)) for w in pieces(r)} if run else ()
+        return always + np.bincount(np.concatenate([held[w] for w in found]), minlength=len(words)) if found else always
+
+    return count
 
 
-def supported(docs: DataFrame, claims_: DataFrame, most: int = 100_000) -> DataFrame:
+def supported(docs: DataFrame, claims_: DataFrame, most: int = 100_000, least: float = 0.34) -> DataFrame:
     """(item_id, doc_id, supported) of every claim (item_id, words) against every document
-    (doc_id, context): claims are a stated set and are held against the table in blocks."""
-    rows = [docs.join(b, how="cross").select("item_id", "doc_id", lexical_support(F.col("words"), F.lower("context")).alias("supported")) for b in blocks(claims_, most)]
-    out = rows[0]
-    for more in rows[1:]:
+    (doc_id, context): claims are a stated set and are held against the table in blocks. Each
+    text is read once for a block, not once for a claim."""
+    low = docs.select("doc_id", F.lower(blank(F.col("context"))).alias("low"))
+    lower = claims_.select("item_id", F.transform("words", F.lower).alias("words"))
+    kinds = {f.name: f for f in [*claims_.select("item_id").schema, *docs.select("doc_id").schema]}
+    schema = T.StructType([kinds["item_id"], kinds["doc_id"], T.StructField("supported", T.BooleanType())])
+
+    def held(block: DataFrame) -> DataFrame:
+        rows = block.toArrow()
+        items, words = rows["item_id"].combine_chunks(), [ws or [] for ws in rows["words"].to_pylist()]
+        sizes = np.array([len(ws) for ws in words], np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((items, words))
+
+        def run(batches):
+            items, words = shared.value
+            count, each = hits(words), max(1, (1 << 16) // max(1, len(words)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, each):
+                    part = batch.slice(at, each)
+                    n = np.array([count(t) for t in part.column(1).to_pylist()], np.int64).reshape(-1, len(words))
+                    of = np.repeat(np.arange(len(n)), len(words))
+                    yield pa.RecordBatch.from_arrays([items.take(pa.array(np.tile(np.arange(len(words)), len(n)))), part.column(0).take(pa.array(of)), pa.array(((sizes > 0) & (n >= least * sizes)).ravel())], schema.names)
+
+        return low.mapInArrow(run, schema)
+
+    out, *others = [held(b) for b in blocks(lower, most)]
+    for more in others:
         out = out.unionByName(more)
     return out
 

@@ -195,3 +195,16 @@ def test_terms_are_unified(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r["doc_id"]: r["text_md5"] for r in plans.QUERIES["unify_terms"](spark, sf_dir).collect()}
     assert got == {i: None if t is None else hashlib.md5(unified(t).encode()).hexdigest() for i, t in docs.items()}
+
+
+def test_supported_reads_each_text_once(spark):
+    """No join of texts with claims; words within words, across signs, repeated and empty ones."""
+    from paperlake.operators import verify
+
+    texts = [(1, "Deep-learning of tracks, 12.5 m; 模型训练"), (1, "deep"), (2, None), (None, "ing 2.5 训练 learn")]
+    claims = [(7, ["deep", "Deep", "absent"]), (8, ["learning", "2.5", "训练", "p-l"]), (9, []), (None, ["ing", "xyz", "q"]), (10, ["", "zzz"])]
+    docs = spark.createDataFrame(texts, "doc_id long, context string")
+    got = verify.supported(docs, spark.createDataFrame(claims, "item_id long, words array<string>"))
+    want = [(i, d, bool(ws) and sum(w.lower() in (t or "").lower() for w in ws) >= 0.34 * len(ws)) for d, t in texts for i, ws in claims]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
