@@ -194,3 +194,12 @@ def test_newest_before_equals_a_loop(spark):
     ids = list(range(0, 900, 3))
     got = graph.newest_before(spark.createDataFrame([(i,) for i in ids[::7]], "id long"), spark.createDataFrame([(i,) for i in ids], "other long"), 4)
     assert {(r["id"], r["other"]) for r in got.collect()} == {(i, o) for i in ids[::7] for o in [x for x in ids if x < i][-4:]}
+
+
+def test_support_extracts_words_once(spark):
+    """Repeats, ties and case in a claim, against a plain count; one extraction of its words."""
+    words = verify.support_words(F.col("a"))
+    assert str(words).count("regexp_extract_all") == 1
+    assert one(spark, words, "Beta alpha Beta gamma Alpha alpha 3.5 zeta eta theta iota kappa", "") == ["Beta", "alpha", "3.5", "Alpha", "eta", "gamma", "iota", "kappa"]
+    assert one(spark, verify.lexical_support(words, F.col("b")), "Beta alpha gamma", "BETA only") is False
+    assert one(spark, verify.lexical_support(words, F.col("b")), "Beta Beta gamma", "BETA only") is True
