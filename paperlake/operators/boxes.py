@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.operators.common import kept
 from paperlake.operators.graph import components
 
 EDGES = ["x0", "y0", "x1", "y1"]
@@ -34,11 +35,12 @@ def named(page: list[str]) -> Column:
     return F.to_json(F.struct(*page, "box_id"))
 
 
-def touching(boxes: DataFrame, gap: float, page: list[str]) -> DataFrame:
-    """(src, dst) over boxes, each named by ``page`` and box_id (``named``), whose components are
-    those of all pairs on a page that overlap when widened by half a ``gap``."""
+def touching(boxes: DataFrame, gap: float, page: list[str], name: Column | None = None) -> DataFrame:
+    """(src, dst) over boxes, each named by ``name`` (else by ``page`` and box_id: ``named``),
+    whose components are those of all pairs on a page that overlap when widened by half a
+    ``gap``. A name is held for each grid point of a box, so a short one spares most of the disk."""
     half, step = gap / 2.0, gap * 0.96
-    b = boxes.select(*page, named(page).alias("n"), (F.col("x0") - half).alias("x0"), (F.col("y0") - half).alias("y0"), (F.col("x1") + half).alias("x1"), (F.col("y1") + half).alias("y1"))
+    b = boxes.select(*page, (named(page) if name is None else name).alias("n"), (F.col("x0") - half).alias("x0"), (F.col("y0") - half).alias("y0"), (F.col("x1") + half).alias("x1"), (F.col("y1") + half).alias("y1"))
     cell = lambda c: F.floor(F.col(c) / step).cast("long")
     # points strictly inside
     first, last = (lambda c: cell(c) + 1), (lambda c: F.ceil(F.col(c) / step).cast("long") - 1)
@@ -71,8 +73,9 @@ def touching(boxes: DataFrame, gap: float, page: list[str]) -> DataFrame:
 def clustered(boxes: DataFrame, gap: float = 35.0, page: tuple[str, ...] = ("paper_id", "page")) -> DataFrame:
     """``boxes`` with ``cluster``: the smallest box_id that near boxes of a page lead to."""
     by = list(page)
-    rows = boxes.withColumn("_n", named(by))
-    c = components(touching(boxes, gap, by))
+    # numbers stay as they are once they are written
+    rows = kept(boxes.withColumn("_n", F.monotonically_increasing_id()), "boxes")
+    c = components(touching(rows, gap, by, F.col("_n")))
     rows = rows.join(c.select(F.col("node").alias("_n"), F.col("component").alias("_c")), "_n", "left").withColumn("_c", F.coalesce("_c", "_n"))
     least = rows.groupBy("_c").agg(F.min("box_id").alias("cluster"))
     return rows.join(least, "_c").drop("_n", "_c")

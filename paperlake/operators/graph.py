@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.operators.common import kept, top
+from paperlake.operators.common import kept, tidied, top
 
 
 def edges(notes: DataFrame, note_links: DataFrame) -> DataFrame:
@@ -44,8 +44,9 @@ def components(edge: DataFrame, rounds: int = 60) -> DataFrame:
     ``checkpoint`` to the shared folder."""
     if edge.sparkSession.sparkContext.getCheckpointDir() is None:
         raise ValueError("components need spark.checkpoint.dir")
-    e = edge.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct().checkpoint()
-    last = None
+    # loops stay here, for nodes that have nothing else; ``edge`` isn't computed again
+    every = edge.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct().checkpoint()
+    e, last = every.where("u <> v"), None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -55,9 +56,10 @@ def components(edge: DataFrame, rounds: int = 60) -> DataFrame:
         e = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last:
-            nodes = edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+            nodes = every.select(F.explode(F.array("u", "v")).alias("node")).distinct()
             return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         last = now
+        tidied(edge.sparkSession)
     raise RuntimeError("components did not converge")
 
 

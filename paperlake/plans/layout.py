@@ -22,11 +22,12 @@ def borderless_table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as drawings: places and sizes follow from parts, suppliers and amounts; 8 orders
     are a page."""
-    li = table(spark, sf_dir, "lineitem")
+    own = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    # all columns but l_quantity follow from these; repeated rows go while they are narrow
+    li = table(spark, sf_dir, "lineitem").select(*own, "l_quantity").dropDuplicates(own)
     x, y = (F.col("l_partkey") * 37 % 560).cast("double"), (F.col("l_suppkey") * 53 % 760).cast("double")
     w, h = F.when(F.col("l_suppkey") % 97 == 0, 600.0).otherwise(F.col("l_quantity")), F.when(F.col("l_suppkey") % 97 == 0, 1.0).otherwise(F.floor(F.col("l_extendedprice") % 40))
-    rows = li.select(F.lit("p").alias("paper_id"), F.floor(F.col("l_orderkey") / 8).alias("page"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("box_id"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"), F.col("l_linenumber").cast("long").alias("commands"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
-    return rows.dropDuplicates(["box_id"])
+    return li.select(F.lit("p").alias("paper_id"), F.floor(F.col("l_orderkey") / 8).alias("page"), F.struct(*own).alias("box_id"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"), F.col("l_linenumber").cast("long").alias("commands"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
 
 
 @query()
