@@ -100,3 +100,18 @@ def test_large_families(spark, hot):
     got = {r["doc_id"] for r in simhash.keep_one(df, hot=hot).collect()}
     kept = _kept(docs)
     assert got >= kept and len(got - kept) <= 0.03 * (len(docs) - len(kept))
+
+
+def test_links_that_no_hub_has(spark):
+    """A large cell whose hubs have no near copy, and in it, and beside it, pairs that are."""
+    segs = [5] * simhash.SEGMENTS
+    nodes = [(i, segs) for i in range(1, 13)] + [(i, [4] * simhash.SEGMENTS) for i in range(21, 31)]
+    df = spark.createDataFrame(nodes, "node long, segs array<int>")
+    cells = simhash._cells(df)
+    first = {(r["a"], r["b"]) for r in simhash.candidates(df, cells, 4, 2).collect()}
+    assert (7, 9) not in first and (8, 27) not in first
+    roots = spark.createDataFrame([(i, 1) for i in range(1, 7)], "node long, root long")
+    for part in (1024, 2):
+        rest = {(r["a"], r["b"]) for r in simhash.left_over(df, roots, cells, 4, part).collect()}
+        ids = [i for i, _ in nodes]
+        assert rest == {(a, b) for a in ids for b in ids if a < b and not (a < 7 and b < 7)}
