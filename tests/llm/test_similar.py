@@ -115,3 +115,42 @@ def test_links_that_no_hub_has(spark):
         rest = {(r["a"], r["b"]) for r in simhash.left_over(df, roots, cells, 4, part).collect()}
         ids = [i for i, _ in nodes]
         assert rest == {(a, b) for a in ids for b in ids if a < b and not (a < 7 and b < 7)}
+
+
+def _family(rng, n, edits):
+    """``n`` texts of 150 words, each with some of ``edits`` words of its own."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for i in range(n):
+        copy = list(words)
+        for at in rng.sample(range(0, 145, 6), rng.choice(edits)):
+            copy[at] = f"own{rng.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_large_family_of_no_links_is_not_paired(spark, monkeypatch):
+    """Of 200 edits of one text most are too far from all others: what is compared must not grow
+    with the square of the family, and no link may be lost."""
+    docs = _family(random.Random(11), 200, [2, 5, 6, 7])
+    compared, plain = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _kept(docs)
+    assert sum(compared) < 20 * len(docs)
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_first_shingles_lose_no_link(spark, part):
+    """Pairs of different components with an index of 0.8, in texts of many lengths."""
+    rng = random.Random(3)
+    docs = _family(rng, 60, [0, 1, 2, 3, 6])
+    docs += [(100 + i, " ".join(t.split()[: rng.randrange(110, 150)])) for i, t in docs[:30]] + [(200, "a b"), (201, "a b"), (202, "c d e f g")]
+    sets = spark.createDataFrame([(i, sorted({hash(s) for s in _sets([(i, t)])[i]})) for i, t in docs], "node long, shingles array<long>")
+    of, roots = _sets(docs), {i: i % 7 for i, _ in docs if i % 2}
+    true = {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]) and roots.get(a, a) != roots.get(b, b)}
+    prefix, own = simhash.prefixes(sets), spark.createDataFrame(list(roots.items()), "node long, root long")
+    met = {(r["a"], r["b"]) for r in simhash.sharing(prefix, own, part=part).collect()}
+    assert len(true) > 100 and true <= met
+    star = [(r["a"], r["b"]) for r in simhash.centred(prefix, own).collect()]
+    assert all(roots.get(a, a) != roots.get(b, b) for a, b in star) and len(star) <= 34 * len(docs)
