@@ -71,8 +71,9 @@ def caption_scores(golden: DataFrame, found: DataFrame) -> DataFrame:
     """(paper_id, matched, total, score): golden captions (paper_id, item, context) whose found
     one has the same context, over all items of either side, so that invented ones count
     against; a repeated item counts by its best. Papers of neither side have no row."""
-    g = golden.select("paper_id", "item", F.col("context").alias("_g"))
-    f = found.select("paper_id", "item", F.col("context").alias("_f"))
+    # equal contexts of an item count once, so they meet before the join
+    g = golden.select("paper_id", "item", F.col("context").alias("_g")).distinct()
+    f = found.select("paper_id", "item", F.col("context").alias("_f")).distinct()
     rows = g.join(f, ["paper_id", "item"], "full")
     good = F.col("_g").isNotNull() & F.col("_f").isNotNull() & same_context(F.col("_g"), F.col("_f"))
     by = rows.groupBy("paper_id", "item").agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("ok"))
