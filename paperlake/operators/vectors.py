@@ -115,21 +115,44 @@ def index(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", sampl
     return VectorIndex(key, rows, centers, lists)
 
 
-def _probed(queries: DataFrame, at: VectorIndex, query: str, k: int | None) -> DataFrame:
-    """(query, least, dim, list, part, a, u): the lists that each query looks into, nearest
-    first: those that hold ``k`` vectors together, or without ``k`` those that may hold one of
-    a cosine of ``least``. By the triangle inequality a vector at angle r of a centroid is at
-    an angle of |a - r| at least from a query at angle a."""
-    shared = queries.sparkSession.sparkContext.broadcast((at.centroids, at.lists))
+def _cells(at: VectorIndex, cores: int) -> dict[int, np.ndarray]:
+    """Of each dimension, for each list: its first cell and its number of cells. Vectors meet
+    queries by cells, which hold lists of about ``n / 4 cores`` vectors together, or a part of
+    one that has over ``PART``."""
+    out, cell = {}, 0
+    for d, x in at.lists.items():
+        held, out[d], size = x[:, 0].astype(np.int64), np.zeros((len(x), 2), np.int64), 0
+        most = min(PART, max(2048, int(held.sum()) // (4 * cores)))
+        for i, n in enumerate(held.tolist()):
+            parts = max(1, -(-n // PART))
+            if size and size + n > most:
+                cell, size = cell + 1, 0
+            out[d][i] = cell, parts
+            size += n
+            if parts > 1:
+                cell, size = cell + parts, 0
+        cell += 1
+    return out
+
+
+def _probed(queries: DataFrame, at: VectorIndex, query: str, k: int | None, cells: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(query, least, cell, u): the cells that each query looks into, or without ``cells`` (query,
+    least, list, u): the lists. These are the nearest lists that hold ``k`` vectors together, or without ``k`` those that may hold one of a
+    cosine of ``least``. By the triangle inequality a vector at angle r of a centroid is at an
+    angle of |a - r| at least from a query at angle a."""
+    place = "list" if cells is None else "cell"
+    cells = cells or {d: np.stack([np.arange(len(x)), np.ones(len(x), np.int64)], axis=1) for d, x in at.lists.items()}
+    shared = queries.sparkSession.sparkContext.broadcast((at.centroids, at.lists, cells))
 
     def probe(batches: Iterator[pa.RecordBatch]):
-        centroids, lists = shared.value
+        centroids, lists, cells = shared.value
         for batch in batches:
             least = np.asarray(pc.fill_null(batch.column(2), -2.0))
             for rows, u in _units(batch.column(1)):
                 if u.shape[1] not in lists:
                     continue
                 held, low, high = lists[u.shape[1]].T
+                first, parts = cells[u.shape[1]].T
                 a = np.arccos(np.clip(u @ centroids[u.shape[1]].T, -1, 1))
                 nearest = np.maximum(0, np.maximum(a - high, low - a))
                 for row, angle, own, v in zip(rows.tolist(), a, nearest, u):
@@ -139,45 +162,82 @@ def _probed(queries: DataFrame, at: VectorIndex, query: str, k: int | None) -> D
                         order = np.argsort(own + 1e-9 * angle, kind="stable")
                         order = order[held[order] > 0]
                         lists_of = order[: 1 + int(np.searchsorted(np.cumsum(held[order]), k))]
-                    parts = -(-held[lists_of].astype(np.int64) // PART)
-                    l = np.repeat(lists_of, parts)
-                    if len(l):
-                        same = pa.array(np.full(len(l), row))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(same), pa.array(np.full(len(l), least[row])), pa.array(np.full(len(l), len(v), np.int32)), pa.array(l.astype(np.int32)), pa.array((np.arange(len(l)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)), pa.array(angle[l]), _listed(np.tile(v, (len(l), 1)))], [query, "least", "dim", "list", "part", "a", "u"])
+                    n = parts[lists_of]
+                    c = np.unique(np.repeat(first[lists_of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    if len(c):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(c), row))), pa.array(np.full(len(c), least[row])), pa.array(c.astype(np.int32)), _listed(np.tile(v, (len(c), 1)))], [query, "least", place, "u"])
 
-    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField("least", T.DoubleType()), *[T.StructField(n, T.IntegerType()) for n in ("dim", "list", "part")], T.StructField("a", T.DoubleType()), T.StructField("u", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField("least", T.DoubleType()), T.StructField(place, T.IntegerType()), T.StructField("u", T.ArrayType(T.DoubleType()))])
     return queries.select(query, "query_vec", "least").mapInArrow(probe, schema)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
+
+
+def _best(rows: pa.Table, asked: pa.Table, key: str, query: str, k: int, other: bool) -> pa.Table:
+    """(query, key, score_micro) of a cell's k best vectors for each query that looks into it.
+    Blocks are multiplied as matrices; what can be among the best is summed in the order of
+    the dimensions, as ``dot`` does, and ranked by millionths, then keys."""
+    rows = rows.sort_by(key)
+    keys, ids = rows[key].combine_chunks(), asked[query].combine_chunks()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(keys) and len(ids):
+        v, u, least = _matrix(rows["v"]), _matrix(asked["u"]), np.asarray(asked["least"])
+        size = max(1, (1 << 22) // len(v))
+        for b in range(0, len(u), size):
+            s = u[b : b + size] @ v.T
+            low = least[b : b + size].copy()
+            full = np.flatnonzero((s >= low[:, None] - SLACK).sum(axis=1) > 4 * k + 4)
+            if len(full) and len(v) > k:
+                low[full] = np.maximum(low[full], np.partition(s[full], len(v) - k - 1, axis=1)[:, len(v) - k - 1])
+            i, j = np.nonzero(s >= low[:, None] - SLACK)
+            i += b
+            if other:
+                same = pc.equal(keys.take(pa.array(j)), ids.take(pa.array(i)))
+                apart = ~np.asarray(pc.fill_null(same, True))
+                i, j = i[apart], j[apart]
+            x = np.zeros(len(i))
+            for d in range(v.shape[1]):
+                x += u[i, d] * v[j, d]
+            m = np.floor(x * 1e6 + 0.5).astype(np.int64)
+            order = np.lexsort((j, -m, i))
+            i, j, m = i[order], j[order], m[order]
+            stays = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((i[stays], j[stays], m[stays]))
+    i, j, m = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+    return pa.table({query: ids.take(pa.array(i)), key: keys.take(pa.array(j)), "score_micro": pa.array(m)})
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", query: str = "query_id", vec: str = "embedding", other: bool = True, at: VectorIndex | None = None) -> DataFrame:
     """(query, rank, key, score_micro) of the k vectors of the highest cosine to each query
-    vector, exactly. The nearest lists give the k-th best so far; lists, and vectors in them,
-    that can't reach it are left out. Vectors and queries meet by list, and a list of many
-    vectors is cut by the hash of their keys. ``other``: a vector is no answer to a query of
-    its own id. Queries have different ids. ``at``: the vectors' index, if there is one."""
+    vector, exactly. The nearest lists give the k-th best so far; lists that can't reach it are
+    left out. Vectors and queries meet by cells of lists, as matrices, and of each cell only its
+    k best leave it. A list of many vectors is cut by the hash of their keys, the queries of a
+    cell by that of theirs. ``other``: a vector is no answer to a query of its own id. Queries
+    have different ids. ``at``: the vectors' index, if there is one."""
     at = at or index(vectors, key, vec)
-    large = [(d, i, -(-int(n) // PART)) for d, x in at.lists.items() for i, n in enumerate(x[:, 0].tolist()) if n > PART]
-    if large:
-        sizes = vectors.sparkSession.createDataFrame(large, "dim int, list int, _parts int")  # LISTS a dimension at most
-        rows = at.rows.join(F.broadcast(sizes), ["dim", "list"], "left")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    else:
-        rows = at.rows.withColumn("part", F.lit(0))
+    cells = _cells(at, vectors.sparkSession.sparkContext.defaultParallelism)
+    of = [(d, i, int(c), int(n)) for d, x in cells.items() for i, (c, n) in enumerate(x.tolist())]
+    if not of:
+        of = [(0, 0, 0, 1)]
+    where = F.broadcast(vectors.sparkSession.createDataFrame(of, "dim int, list int, _first int, _parts int"))  # LISTS a dimension at most
+    rows = at.rows.join(where, ["dim", "list"]).select((F.col("_first") + F.pmod(F.xxhash64(key), F.col("_parts"))).cast("int").alias("cell"), key, "v")
+    shares = max(1, -(-queries.count() // PART))
+    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    kind = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(key, at.rows.schema[key].dataType), T.StructField("score_micro", T.LongType())])
 
     def scored(asked: DataFrame) -> DataFrame:
-        pairs = rows.join(small(asked), ["dim", "list", "part"])
-        if other:
-            pairs = pairs.where(F.col(key) != F.col(query))
-        # what the angles leave open is multiplied
-        may = F.cos(F.abs(F.col("a") - F.col("r"))) >= F.col("least") - SLACK
-        return top(pairs.where(may).select(query, key, micro(dot(F.col("u"), F.col("v"))).alias("score_micro")), [query], [F.desc("score_micro"), F.asc(key)], k)
-
-    first = kept(_probed(queries.withColumn("least", F.lit(-2.0)), at, query, 2 * k + 1), "probes")
+        asked = asked.withColumn("share", F.pmod(F.xxhash64(query), F.lit(shares)).cast("int"))
+        met = rows.groupBy("cell", "share").cogroup(asked.groupBy("cell", "share")).applyInArrow(lambda a, b: _best(a, b, key, query, k, other), kind)
+        return top(met, [query], [F.desc("score_micro"), F.asc(key)], k)
+
+    first = _probed(queries.withColumn("least", F.lit(-2.0)), at, query, 2 * k + 1, cells)
     found = scored(first)
     least = found.where(F.col("rank") == k).select(query, (F.col("score_micro") / 1e6).alias("least"))
     bounded = queries.select(query, "query_vec").join(small(kept(least, "least")), query, "left")
-    probes = kept(_probed(bounded, at, query, None), "probes")
-    return scored(probes).select(query, "rank", key, "score_micro")
+    return scored(_probed(bounded, at, query, None, cells)).select(query, "rank", key, "score_micro")
 
 
 def to_embed(notes: DataFrame, known: DataFrame, model: str) -> DataFrame:
