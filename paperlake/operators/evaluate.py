@@ -10,14 +10,15 @@ from paperlake.operators import ordered
 from paperlake.operators.common import micro
 
 
-def retrieval_metrics(ranked: DataFrame, positives: DataFrame, k: int, query: str = "query_id", key: str = "key") -> DataFrame:
+def retrieval_metrics(ranked: DataFrame, positives: DataFrame, k: int, query: str = "query_id", key: str = "key", n: DataFrame | None = None) -> DataFrame:
     """(query, recall, mrr, ndcg) of ranked (query, rank, key) against positives (query, key).
     Queries are those of ``positives`` and of ``ranked``; without positives recall and ndcg
-    are 1."""
+    are 1. ``n`` (query, n): how many different positives each query has, where this is known
+    without making them; then ``positives`` may hold those of the ranked lists alone."""
     pos = positives.select(query, key).distinct()
-    n = pos.groupBy(query).agg(F.count("*").alias("n"))
+    n = pos.groupBy(query).agg(F.count("*").alias("n")) if n is None else n.where("n > 0").select(query, "n")
     hits = ranked.join(pos, [query, key]).groupBy(query).agg(F.count_if(F.col("rank") <= k).alias("h"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
-    rows = ranked.select(query).union(pos.select(query)).distinct().join(n, query, "left").join(hits, query, "left")
+    rows = ranked.select(query).union(n.select(query)).distinct().join(n, query, "left").join(hits, query, "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     none = F.col("n").isNull()
     return rows.select(query, F.when(none, 1.0).otherwise(F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(none, 1.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
