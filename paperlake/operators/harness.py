@@ -34,15 +34,16 @@ def positives(notes: DataFrame, note_links: DataFrame) -> DataFrame:
     return rows.distinct().join(valid, "id", "left_semi").join(valid.select(F.col("id").alias("pos")), "pos", "left_semi").select("id", "pos")
 
 
-def compared(ranked: DataFrame, positives_: DataFrame, k: int = 5, query: str = "query", key: str = "id") -> DataFrame:
+def compared(ranked: DataFrame, positives_: DataFrame, k: int = 5, query: str = "query", key: str = "id", n: DataFrame | None = None) -> DataFrame:
     """(variant, cases, recall, mrr, ndcg): means, four digits, over the queries that have
     positives, of ranked lists (variant, query, rank, key). A query that a variant finds
-    nothing for counts as 0."""
-    cases = positives_.select(query).distinct()
-    wide = cases.crossJoin(F.broadcast(ranked.select("variant").distinct())).select(F.struct("variant", query).alias("c"))
+    nothing for counts as 0. ``n`` (query, n) as in ``retrieval_metrics``."""
+    n = positives_.select(query, key).distinct().groupBy(query).agg(F.count("*").alias("n")) if n is None else n.where("n > 0")
+    wide = n.crossJoin(F.broadcast(ranked.select("variant").distinct())).select(F.struct("variant", query).alias("c"), "n")
     lists = ranked.select(F.struct("variant", query).alias("c"), "rank", key)
-    pos = wide.withColumn(query, F.col(f"c.{query}")).join(positives_.select(query, key), query).select("c", key)
-    m = evaluate.retrieval_metrics(lists.join(wide, "c", "left_semi"), pos, k, "c", key)
+    # positives meet the lists alone; of the others only the number counts
+    pos = ranked.select("variant", query, key).join(positives_.select(query, key), [query, key]).select(F.struct("variant", query).alias("c"), key)
+    m = evaluate.retrieval_metrics(lists.join(wide, "c", "left_semi"), pos, k, "c", key, wide)
     mean = lambda c: F.round(F.avg(F.round(c, 9)), 4).alias(c)
     return m.groupBy(F.col("c.variant").alias("variant")).agg(F.count("*").alias("cases"), mean("recall"), mean("mrr"), mean("ndcg"))
 
