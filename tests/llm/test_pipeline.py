@@ -44,3 +44,21 @@ def test_documents_with_a_short_item_can_stay(spark):
     items = spark.createDataFrame([(1, "word")], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.keep_uncontaminated(docs, items).collect()] == [2]
     assert decontaminate.keep_uncontaminated(docs, items, least_words=2).count() == 2
+
+
+def test_stages_are_stored_in_small_row_groups(spark):
+    """A task holds a whole one while it writes, and again while it reads: with eight tasks and
+    groups of 128 MB that is all of a heap of 1 GB."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    ids = spark.range(0, 8000, 1, 1)
+    texts = ids.select("id", F.concat_ws("", *[F.sha2(F.concat_ws(" ", "id", F.lit(i)), 512) for i in range(40)]).alias("text"))
+    found = common.stored(texts, "texts")
+    (file,) = glob.glob(found.inputFiles()[0].removeprefix("file://"))
+    meta = pq.ParquetFile(file).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert sum(sizes) > 35 << 20 and max(sizes) < 16 << 20
+    assert found.where(F.length("text") == 40 * 128).select("id").distinct().count() == 8000
