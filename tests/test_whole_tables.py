@@ -208,3 +208,20 @@ def test_supported_reads_each_text_once(spark):
     want = [(i, d, bool(ws) and sum(w.lower() in (t or "").lower() for w in ws) >= 0.34 * len(ws)) for d, t in texts for i, ws in claims]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fused_queries_are_read_to_their_end(spark, tmp_path):
+    """Of a query with many words the last ones count too: only they lead to the third document."""
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(40)]
+    tables = {
+        "documents": spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words[:3], words[5:7], words[30:38], ["zz"], ["yy"], ["vv"], ["uu"]))], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(1, " ".join(words)), (2, None)], "item_id long, text string"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {(r["doc_id"], r["rank"]): r["rrf_nano"] for r in plans.QUERIES["rrf_fusion"](spark, str(tmp_path)).collect()}
+    want = {(d, k): n for _, k, d, n in con.execute("SELECT item_id, rank, doc_id, rrf_nano FROM (" + plans.ORACLE["rrf_fusion"] + ")").fetchall()}
+    # first in both lists
+    assert got == want and got[2, 1] == int(2e9 / 61 + 0.5)
