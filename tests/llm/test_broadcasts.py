@@ -38,3 +38,26 @@ def test_components_broadcast_by_count(spark, monkeypatch):
             m.setattr(common, "saved", lambda df: plans.append(broadcasts(df)) or real(df))
             assert {tuple(r) for r in common.components(edges).collect()} == want
         assert all(plans[1:]) if few else not any(plans)
+
+
+def test_near_copies_do_not_broadcast_exploded_rows(spark, monkeypatch):
+    """Of the cells, shingles and pairs that the search for near copies makes, none is broadcast
+    but what was counted."""
+    import random
+
+    rng, texts = random.Random(5), []
+    for _ in range(3):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(80)]
+        texts += [" ".join([*words[:i], "x", *words[i + 1 :]]) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans, saved, stored = [], simhash.saved, simhash.stored
+    monkeypatch.setattr(simhash, "saved", lambda df: plans.append(broadcasts(df)) or saved(df))
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.append(broadcasts(df)) or stored(df, name))
+    nodes = simhash.stored(simhash.with_segments(docs), "segments").select("node", "segs")
+    simhash.candidates(nodes, simhash._cells(nodes))
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    sets = simhash.stored(simhash.with_shingles(docs.withColumnRenamed("doc_id", "node"), 5), "shingles")
+    simhash.saved(simhash.verified(pairs, sets))
+    simhash.saved(simhash.prefixes(sets))
+    found = [b for p in plans for b in p]
+    assert not [b for b in found if "Generate" in b or "FileScan" in b or "Aggregate" in b]
